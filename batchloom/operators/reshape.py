@@ -46,6 +46,7 @@ def to_wide(rows: DataFrame, entity: Sequence[str], attribute: str, value: Colum
     contradicting = cells.where("_value <> _other").select(*entity, F.col("_attribute").alias(attribute))
     grid = cells.select(*entity).distinct()
     places = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(a).alias("name")) for i, (a, _, _) in enumerate(attributes)])
+    places = places.cast(f"array<struct<at:int,name:{dict(rows.dtypes)[attribute]}>>")
     grid = grid.select(*entity, F.explode(places).alias("p")).select(*entity, F.col("p.at").alias("_at"), F.col("p.name").alias("_attribute"))
     single = cells.select(*entity, "_attribute", F.when(F.col("_value") == F.col("_other"), F.col("_value")).alias("_value"))
     filled = grid.join(single, [*entity, "_attribute"], "left")
