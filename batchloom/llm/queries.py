@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchloom.llm.encoding import find_garbled, margin_report
 from batchloom.llm.splits import split_batches, tied_batches
 from batchloom.session import table
 
@@ -19,4 +20,18 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_batches(table(spark, sf_dir, "batch_metadata"), table(spark, sf_dir, "split_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled pages with the likeliest chain and their text as it was before."""
+    return find_garbled(table(spark, sf_dir, "documents"))
+
+
+def p8_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the margin does on clean lines garbled on purpose, by chain."""
+    return margin_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p8_found": p8_found, "p8_restored": p8_restored, "p8_margin": p8_margin}
