@@ -225,6 +225,29 @@ def _garbled_run(run: str) -> bool:
     return False
 
 
+def unscrambled(text: str, seen: dict[str, str]) -> str:
+    """``text`` with runs that are UTF-8 read with a wrong codec, once or twice, set right, where usual characters result; needs no model."""
+
+    def read(m: re.Match) -> str:
+        run = m.group()
+        got = seen.get(run)
+        if got is None:
+            got = run
+            for _ in range(2):
+                options = [_utf8(got, MAPS[d]) for d in WRONG_FOR_UTF8]
+                better = [(hits, new) for new, hits in options if hits and (_usual(new) or any("\x80" <= c < "\xa0" for c in new))]
+                if not better:
+                    break
+                got = max(better, key=lambda x: x[0])[1]
+            got = got if _usual(got) else run
+            if len(seen) > 100_000:
+                seen.clear()
+            seen[run] = got
+        return got
+
+    return text if text.isascii() else _RUN.sub(read, text)
+
+
 def train(texts: DataFrame, exclude: DataFrame | None = None) -> Model:
     """Count the n-grams of all records of ``texts`` (doc_id, text) without a sign of garbling, nor in ``exclude`` (doc_id)."""
     clean = texts if exclude is None else texts.join(exclude, "doc_id", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.llm.encoding import find_garbled, margin_report
+from batchloom.llm.leaks import find_leaks
 from batchloom.llm.splits import split_batches, tied_batches
 from batchloom.session import table
 
@@ -20,6 +21,16 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_batches(table(spark, sf_dir, "batch_metadata"), table(spark, sf_dir, "split_targets"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each leaked item: the pages that hold it and the longest passage found, in words."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_pages"), F.max("n_words").alias("most_words"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -34,4 +45,4 @@ def p8_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return margin_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p8_found": p8_found, "p8_restored": p8_restored, "p8_margin": p8_margin}
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found, "p8_restored": p8_restored, "p8_margin": p8_margin}
