@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from batchloom.operators.bad_rows import load_rows
 from batchloom.operators.fill import Filled, fill_missing
+from batchloom.operators.spikes import cell_flags, reading_flags
 from batchloom.operators.reshape import curves_wide, named_as_listed, time_points
 from batchloom.session import table
 
@@ -49,7 +51,21 @@ def p4_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named_as_listed(wide, batch_names(spark, sf_dir)).select("batch", *[c for c in wide.columns if c != "batch_key"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p3_found": p3_found, "p3_valid": p3_valid, "p4_found": p4_found, "p4_wide": p4_wide}
+def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every implausible reading or cell with the reasons it was flagged for."""
+    cells = cell_flags(*(table(spark, sf_dir, n) for n in ("batch_wide", "batch_metadata", "variable_families", "imputation_record")))
+    readings = named_as_listed(reading_flags(table(spark, sf_dir, "dissolution")), batch_names(spark, sf_dir))
+    run = readings.schema["run_no"].dataType
+    cells = cells.select("batch", "field", F.lit("").alias("medium"), F.lit(0).cast(run).alias("run_no"), F.lit(0).alias("time_min"), "reason")
+    both = readings.select("batch", F.lit("percent_released").alias("field"), "medium", "run_no", "time_min", "reason").unionByName(cells)
+    return both.groupBy("batch", "field", "medium", "run_no", "time_min").agg(F.array_join(F.array_sort(F.collect_set("reason")), " ").alias("reasons"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_flags(spark, sf_dir).drop("reasons")
+
+
+QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p3_found": p3_found, "p3_valid": p3_valid, "p4_found": p4_found, "p4_wide": p4_wide, "p5_found": p5_found, "p5_flags": p5_flags}
 
 _WORDS = "('', '-', '?', 'n/a', 'na', 'none', 'null', 'nan', 'unknown', 'not recorded', 'missing', 'tbd', 'pending')"
 _MEDIUM = """CASE upper(replace(medium, ' ', '')) WHEN '0.1NHCL' THEN '0.1N HCl'

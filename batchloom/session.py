@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,26 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their Python workers can import it from anywhere."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="batchloom-")) / "batchloom.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(here.rglob("*.py")):
+            out.write(source, Path(here.name) / source.relative_to(here))
+    context.addPyFile(str(target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables in ``sf_dir``."""
+    """One of the tables in ``sf_dir``; the first read of an application ships the package."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
