@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.encoding import find_garbled, margin_report
 from batchloom.llm.leaks import find_leaks
+from batchloom.llm.mixing import draw, plan, shares, with_tokens
 from batchloom.llm.splits import split_batches, tied_batches
-from batchloom.session import table
+from batchloom.session import durable, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,26 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_pages"), F.max("n_words").alias("most_words"))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
+    """The drawn pages and their plan. Only pages of sources with a target are put through the tokenizer."""
+    targets = table(spark, sf_dir, "mix_targets")
+    wanted = [r.source for r in targets.where("source is not null").select("source").distinct().collect()]
+    pages = durable(with_tokens(table(spark, sf_dir, "documents").where(F.col("source").isin(wanted))))
+    mix = plan(pages, targets)
+    return draw(pages, mix), mix
+
+
+def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages drawn, with their tokens and copies."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target shares and the shares really reached."""
+    drawn, mix = _mixed(spark, sf_dir)
+    return shares(durable(drawn), mix)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -45,4 +66,4 @@ def p8_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return margin_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found, "p8_restored": p8_restored, "p8_margin": p8_margin}
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p6_found": p6_found, "p6_items": p6_items, "p7_sample": p7_sample, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored, "p8_margin": p8_margin}
