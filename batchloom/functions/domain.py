@@ -47,10 +47,9 @@ def stem(batch: Column) -> Column:
 
 def canonical_medium(text: Column) -> Column:
     """The medium under its reported spelling; unknown media keep theirs, trimmed."""
-    key, out = squeezed(text), None
+    key, out = squeezed(text), F.when(text.isin(*MEDIA), text)
     for name in MEDIA:
-        hit = key == name.upper().replace(" ", "")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        out = out.when(key == name.upper().replace(" ", ""), name)
     return out.otherwise(F.trim(text))
 
 

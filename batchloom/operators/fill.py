@@ -108,13 +108,13 @@ def first_usable(wide: DataFrame, rules: Rules) -> DataFrame:
     return clean.groupBy("batch").agg(F.min("_at").alias("_at"), *first)
 
 
-def first_labels(metadata: DataFrame) -> DataFrame:
+def first_labels(metadata: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """One row per batch: formulation number, manufacturing date and first usable label of every category."""
     loaded = F.col("loaded_at") if "loaded_at" in metadata.columns else F.lit(None).cast("timestamp_ntz")
     clean = metadata.where("batch is not null").select(
-        "batch", loaded.alias("_at"), formulation_number(F.col("formulation")).alias("formulation"), "manufacturing_date", *[usable_word(F.col(c)).alias(c) for c in CATEGORIES]
+        "batch", loaded.alias("_at"), formulation_number(F.col("formulation")).alias("formulation"), "manufacturing_date", *[usable_word(F.col(c)).alias(c) for c in categories]
     )
-    first = [F.min(F.when(F.col(c).isNotNull(), F.struct("_at", F.col(c))))[c].alias(c) for c in ("formulation", "manufacturing_date", *CATEGORIES)]
+    first = [F.min(F.when(F.col(c).isNotNull(), F.struct("_at", F.col(c))))[c].alias(c) for c in ("formulation", "manufacturing_date", *categories)]
     return clean.groupBy("batch").agg(F.min("_at").alias("_seen"), *first)
 
 

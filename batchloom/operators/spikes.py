@@ -36,14 +36,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from batchloom.functions.domain import canonical_medium, finite, minute, squeezed
-from batchloom.operators.fill import first_labels, first_usable, find_rules, measured_columns
+from batchloom.operators.fill import Rules, find_rules, first_labels, measured_columns
 from batchloom.operators.reshape import time_points
 from batchloom.session import durable
 
 LOWEST, HIGHEST = -1.0, 130.0  # bounds of a reading in percent
-RANK, PASSES = 4, 7
+RANK, PASSES = 4, 6
 TIMES_SCATTER = 8.0
 RUN = 4  # successive equal values that count as stuck
+BIN, EMPTY = 0.04, -40_000  # width of a bin of logarithms, and the bin of zeros
+HOT = 20_000  # batches of a formulation that one task takes as a whole
+CHUNK, MARGIN = 5_000, 64  # batches of a train searched for runs at a time, and those of the neighbours looked at
 FEW_VALUES = 12  # columns with no more different values are settings
 # Columns that follow from other columns or tables.
 DERIVED = ("hpmc_mg", "lactose_pct_ww", "q30_pct")
@@ -76,18 +79,45 @@ def curves(dissolution: DataFrame) -> DataFrame:
     return rows.groupBy("batch_key", "medium", "run_no").agg(F.coalesce(F.max("instrument"), F.lit("")).alias("source"), cells.alias("cells"))
 
 
-def gridded(table: DataFrame, times: list[int]) -> DataFrame:
-    """Adds ``low`` and ``high``: per time point of the grid the smallest and largest reading, NaN where there is none."""
-    grid = F.array(*[F.lit(t) for t in times]) if times else F.array().cast("array<int>")
-
-    def at(pick):
-        return F.transform(grid, lambda t: F.coalesce(pick(F.transform(F.filter("cells", lambda c: c["t"] == t), lambda c: c["y"])), F.lit(float("nan"))))
-
-    return table.withColumns({"low": at(F.array_min), "high": at(F.array_max)})
+def packed(table: DataFrame, times: list[int]) -> DataFrame:
+    """Curves on the grid ``times``: ``low`` and ``high`` are the bytes of one double per time point, NaN where there is no reading.
 
+    ``high`` is NULL where no cell has different readings.
+    """
+    kind = dict(table.dtypes)["run_no"]
+    grid = np.asarray(times)
+    flat = table.select("batch_key", "medium", "run_no", "source", F.transform("cells", lambda c: c["t"]).alias("t"), F.transform("cells", lambda c: c["y"]).alias("y"))
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float)
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            sizes = pdf["t"].map(len).to_numpy()
+            t, y = np.concatenate(pdf["t"].to_numpy()), np.concatenate(pdf["y"].to_numpy())
+            at = np.minimum(np.searchsorted(grid, t), len(grid) - 1)
+            row = np.repeat(np.arange(len(pdf)), sizes)
+            on = grid[at] == t
+            low, high = np.full((len(pdf), len(grid)), np.inf), np.full((len(pdf), len(grid)), -np.inf)
+            np.minimum.at(low, (row[on], at[on]), y[on])
+            np.maximum.at(high, (row[on], at[on]), y[on])
+            low[np.isinf(low)] = np.nan
+            high[np.isinf(high)] = np.nan
+            differ = ((low != high) & ~np.isnan(low)).any(1)
+            out = pdf[["batch_key", "medium", "run_no", "source"]].copy()
+            out["low"] = [x.tobytes() for x in low]
+            out["high"] = [x.tobytes() if d else None for x, d in zip(high, differ, strict=True)]
+            yield out
+
+    return flat.mapInPandas(pack, f"batch_key string, medium string, run_no {kind}, source string, low binary, high binary")
+
+
+def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    low = np.frombuffer(b"".join(pdf["low"]), dtype=float).reshape(len(pdf), -1)
+    high = low.copy()
+    for n, x in enumerate(pdf["high"]):
+        if x is not None:
+            high[n] = np.frombuffer(x, dtype=float)
+    return low, high
 
 
 def stuck(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -158,7 +188,7 @@ def settle(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: np.ndarray
 
 def _usable(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(readings, cells fit for the course, stuck cells, largest readings) of gridded curves."""
-    low, high = _matrix(pdf["low"]), _matrix(pdf["high"])
+    low, high = _matrices(pdf)
     held = stuck(low, high)
     fit = (low == high) & ~held & (low >= LOWEST) & (low <= HIGHEST)
     return np.where(np.isnan(low), 0.0, low), fit, held, high
@@ -168,8 +198,20 @@ def fit_course(table: DataFrame, times: list[int]) -> Course:
     """Components and scatters of gridded curves (source, low, high)."""
     t = np.asarray(times, dtype=float)
     r = RANK
-    start = table.select(*[F.percentile_approx(F.nanvl(F.get("low", F.lit(i)), F.lit(None).cast("double")), 0.5).alias(f"m{i}") for i in range(len(t))]).first()
-    mean = np.array([x if x is not None else np.nan for x in start], dtype=float)
+
+    def middles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, len(times)))
+        for pdf in frames:
+            if len(pdf):
+                y, fit, _, _ = _usable(pdf)
+                sums += [np.where(fit, y, 0).sum(0), fit.sum(0)]
+        yield pd.DataFrame({"at": np.arange(len(times)), "y": sums[0], "n": sums[1]})
+
+    got = table.select("low", "high").mapInPandas(middles, "at int, y double, n double").groupBy("at").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
+    mean = np.full(len(t), np.nan)
+    for x in got:
+        if x["n"]:
+            mean[x["at"]] = x["y"] / x["n"]
     known = np.isfinite(mean)
     mean = np.interp(np.log(t), np.log(t[known]), np.maximum.accumulate(mean[known])) if known.any() else np.full(len(t), 50.0)
     share = np.clip(mean / 100, 0.02, 0.98)
@@ -231,13 +273,13 @@ def fit_course(table: DataFrame, times: list[int]) -> Course:
 
 def reading_flags(dissolution: DataFrame) -> DataFrame:
     """(batch_key, medium, run_no, time_min, reason) of the implausible readings."""
+    outside = (finite(F.col("percent_released")) < LOWEST) | (finite(F.col("percent_released")) > HIGHEST)
+    rows = dissolution.where(outside).select(squeezed(F.col("batch")).alias("batch_key"), canonical_medium(F.col("medium")).alias("medium"), "run_no", minute(F.col("time_h")).alias("time_min"))
+    out = rows.where("batch_key is not null and time_min is not null").distinct().withColumn("reason", F.lit("range"))
     times = time_points(dissolution)
-    table = curves(dissolution)
-    table = durable(gridded(table, times)) if times else table
-    impossible = table.select("batch_key", "medium", "run_no", F.explode("cells").alias("c")).where((F.col("c.y") < LOWEST) | (F.col("c.y") > HIGHEST))
-    out = impossible.select("batch_key", "medium", "run_no", F.col("c.t").alias("time_min"), F.lit("range").alias("reason"))
     if not times:
         return out
+    table = durable(packed(curves(dissolution), times))
     course = fit_course(table, times)
 
     def flag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,8 +287,8 @@ def reading_flags(dissolution: DataFrame) -> DataFrame:
         for pdf in frames:
             if not len(pdf):
                 continue
-            low, high = _matrix(pdf["low"]), _matrix(pdf["high"])
-            y, fit, held, _ = _usable(pdf)
+            y, fit, held, high = _usable(pdf)
+            low = np.where(np.isnan(high), np.nan, y)
             sigma = course.sigma(pdf["source"])
             kept = settle(y, fit, course.basis, sigma, TIMES_SCATTER)
             # The course of the readings kept, against which all others are held.
@@ -267,41 +309,224 @@ def reading_flags(dissolution: DataFrame) -> DataFrame:
     return out.unionByName(table.select("batch_key", "medium", "run_no", "source", "low", "high").mapInPandas(flag, schema))
 
 
+def _labelled_batches(wide: DataFrame, metadata: DataFrame, rules: Rules, columns: list[str]) -> DataFrame:
+    """One row per batch: formulation, train, date, and the array of its values; of different ones in a cell the smallest."""
+    values = wide.where("batch is not null").groupBy("batch").agg(*[F.min(rules.usable(c)).alias(c) for c in columns])
+    values = values.select("batch", F.array(*[F.col(f"`{c}`") for c in columns]).alias("v"))
+    labels = first_labels(metadata, ("equipment_train",)).select("batch", "formulation", "equipment_train", "manufacturing_date")
+    return values.join(labels, "batch", "left")
+
+
+def _mids(v: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower middle, upper middle, number) of the known values of each row's group; ``group`` is sorted."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[first, len(group)])
+    order = np.lexsort((v, group))  # NaN comes last in each group
+    s = v[order]
+    n = np.add.reduceat((~np.isnan(v)).astype(np.int64), first)
+    low, high = s[first + np.maximum(n - 1, 0) // 2], s[first + np.minimum(n // 2, np.maximum(n - 1, 0))]
+    return np.repeat(low, size), np.repeat(high, size), np.repeat(n, size)
+
+
+def column_facts(batches: DataFrame, bounds: list[tuple[float | None, float | None]]) -> tuple[list[float], list[bool]]:
+    """Per column the mean of the values within bounds, and whether there are more than ``FEW_VALUES`` different values.
+
+    Of each column a task sends its sum and as many different values as decide the question.
+    """
+    low, high = _limits(bounds)
+
+    def facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(len(bounds)), np.zeros(len(bounds))
+        seen: list[set] = [set() for _ in bounds]
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            v = np.stack(pdf["v"].to_numpy()).astype(float)
+            for f, s in enumerate(seen):
+                if len(s) <= FEW_VALUES:
+                    s.update(np.unique(v[~np.isnan(v[:, f]), f])[: FEW_VALUES + 1].tolist())
+            inside = (v >= low) & (v <= high)
+            total += np.where(inside, v, 0).sum(0)
+            n += inside.sum(0)
+        yield pd.DataFrame({"f": np.arange(len(bounds)), "total": total, "n": n, "seen": [sorted(s)[: FEW_VALUES + 1] for s in seen]})
+
+    got = batches.select("v").mapInPandas(facts, "f int, total double, n double, seen array<double>")
+    rows = got.groupBy("f").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen")).collect()
+    means, varied = [float("nan")] * len(bounds), [False] * len(bounds)
+    for r in rows:
+        means[r["f"]] = r["total"] / r["n"] if r["n"] else float("nan")
+        varied[r["f"]] = len(r["seen"]) > FEW_VALUES
+    return means, varied
+
+
+def _limits(bounds: list[tuple[float | None, float | None]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([-np.inf if x is None else x for x, _ in bounds]), np.array([np.inf if x is None else x for _, x in bounds])
+
+
+def residuals(batches: DataFrame, bounds: list[tuple[float | None, float | None]], middle: list[float], hot: int = HOT) -> DataFrame:
+    """(batch, equipment_train, outside, off): places of values beyond their bounds, and distances from the formulation's level.
+
+    A level is the median of the formulation's values; of the two in the
+    middle, or between them, what is nearest to the column's mean. Batches of
+    many formulations share a task; a formulation of more than ``hot`` batches
+    is spread over tasks, its levels coming from mergeable sketches.
+    """
+    width = len(bounds)
+    low, high = _limits(bounds)
+    middle = np.asarray(middle, dtype=float)
+    sizes = durable(batches.where("formulation is not null").groupBy("formulation").count())
+    large = sizes.where(F.col("count") > hot).select("formulation")
+    n = sizes.agg(F.sum("count")).first()[0] or 0
+    buckets = max(1, -(-n // hot))
+    own = F.when(F.col("formulation").isNull() | F.col("levels").isNotNull(), F.xxhash64("batch")).otherwise(F.xxhash64("formulation"))
+    if large.isEmpty():
+        with_levels = batches.withColumn("levels", F.lit(None).cast("array<array<double>>"))
+    else:
+        inside = [F.when((F.get("v", F.lit(i)) >= F.lit(float(low[i]))) & (F.get("v", F.lit(i)) <= F.lit(float(high[i]))), F.get("v", F.lit(i))) for i in range(width)]
+        sketches = batches.join(large, "formulation").groupBy("formulation").agg(F.array(*[F.percentile_approx(x, [0.5, 0.5001], 10000) for x in inside]).alias("levels"))
+        with_levels = batches.join(sketches, "formulation", "left")
+    placed = with_levels.withColumn("bucket", F.pmod(own, F.lit(buckets)).cast("int"))
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("formulation", kind="stable", na_position="last").reset_index(drop=True)
+        v = np.stack(pdf["v"].to_numpy()).astype(float)
+        beyond = (v < low) | (v > high)
+        v[beyond] = np.nan
+        none = pdf["formulation"].isna().to_numpy()
+        group = pdf["formulation"].fillna(2**62).astype(np.int64).to_numpy()
+        off = np.full(v.shape, np.nan, dtype=np.float32)
+        given = pdf["levels"].notna().to_numpy()
+        for f in range(width):
+            a, b, n = _mids(v[:, f], group)
+            for k in np.flatnonzero(given):
+                got = pdf["levels"].iat[k][f]
+                a[k], b[k], n[k] = (got[0], got[1], hot) if got is not None else (np.nan, np.nan, 0)
+            at = np.fmin(np.fmax(middle[f], a), b)
+            off[:, f] = np.where(~none & (n >= 2), np.abs(v[:, f] - at), np.nan)
+        return pd.DataFrame({"batch": pdf["batch"], "equipment_train": pdf["equipment_train"], "outside": [np.flatnonzero(x).astype(np.int32) for x in beyond], "off": [x.tobytes() for x in off]})
+
+    return placed.groupBy("bucket").applyInPandas(level, "batch string, equipment_train string, outside array<int>, off binary")
+
+
+def usual_scatter(table: DataFrame, width: int) -> DataFrame:
+    """(equipment_train, usual): per train the array of 1.4826 times the median distance in each column, NULL where that is 0.
+
+    Medians come from histograms with bins of four percent, which add up over
+    any number of rows.
+    """
+
+    def bins(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pdf = pdf[pdf["equipment_train"].notna()]
+            if not len(pdf):
+                continue
+            off = np.frombuffer(b"".join(pdf["off"]), dtype=np.float32).reshape(len(pdf), width).astype(float)
+            train, names = pd.factorize(pdf["equipment_train"])
+            row, col = np.nonzero(~np.isnan(off))
+            x = off[row, col]
+            at = np.where(x > 0, np.floor(np.log(np.maximum(x, 1e-300)) / BIN), EMPTY).astype(np.int64)
+            keys, n = np.unique(np.stack([train[row], col, at]), axis=1, return_counts=True)
+            yield pd.DataFrame({"equipment_train": np.asarray(names, dtype=object)[keys[0]], "f": keys[1].astype(np.int32), "bin": keys[2].astype(np.int32), "n": n})
+
+    counts = table.select("equipment_train", "off").mapInPandas(bins, "equipment_train string, f int, bin int, n long").groupBy("equipment_train", "f", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("equipment_train", "f")
+    placed = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
+    middle = placed.where(F.col("upto") * 2 >= F.col("all")).groupBy("equipment_train", "f").agg(F.min("bin").alias("bin"))
+    usual = F.when(F.col("bin") > EMPTY, F.exp((F.col("bin") + 0.5) * BIN) * 1.4826)
+    per = middle.groupBy("equipment_train").agg(F.map_from_entries(F.collect_list(F.struct("f", usual.alias("u")))).alias("m"))
+    return per.select("equipment_train", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.element_at("m", i)).alias("usual"))
+
+
+def _runs(v: np.ndarray) -> np.ndarray:
+    """Values in runs of at least ``RUN`` equal ones down each column, missing ones left out."""
+    out = np.zeros(v.shape, dtype=bool)
+    for f in range(v.shape[1]):
+        at = np.flatnonzero(~np.isnan(v[:, f]))
+        if len(at) >= RUN:
+            x = v[at, f]
+            edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True])
+            size = np.diff(edge)
+            for k in np.flatnonzero(size >= RUN):
+                out[at[edge[k] : edge[k + 1]], f] = True
+    return out
+
+
+def stuck_cells(batches: DataFrame, varied: list[bool], chunk: int = CHUNK, margin: int = MARGIN) -> DataFrame:
+    """(batch, f) of values in runs over successive batches of one train.
+
+    The place of a batch in its train comes from counts per month, so that no
+    train is sorted in one task; then chunks of ``chunk`` batches are searched
+    with ``margin`` batches of their neighbours. Where a margin has too few
+    values of a column to tell, that train and column are searched value by value.
+    """
+    width = len(varied)
+    dated = batches.where("equipment_train is not null and manufacturing_date is not null")
+    month = F.year("manufacturing_date") * 12 + F.month("manufacturing_date")
+    dated = dated.select("batch", "equipment_train", "manufacturing_date", month.alias("month"), "v")
+    counts = dated.groupBy("equipment_train", "month").count()
+    before = counts.select("equipment_train", "month", (F.sum("count").over(Window.partitionBy("equipment_train").orderBy("month")) - F.col("count")).alias("before"), F.sum("count").over(Window.partitionBy("equipment_train")).alias("all"))
+    rank = F.row_number().over(Window.partitionBy("equipment_train", "month").orderBy("manufacturing_date", "batch"))
+    placed = dated.withColumn("r", rank).join(before, ["equipment_train", "month"]).select("batch", "equipment_train", "v", (F.col("before") + F.col("r") - 1).alias("place"), "all")
+    own = F.floor(F.col("place") / chunk)
+    chunks = F.sequence(F.floor(F.greatest(F.col("place") - margin, F.lit(0)) / chunk), F.floor(F.least(F.col("place") + margin, F.col("all") - 1) / chunk))
+    spread = placed.select("batch", "equipment_train", "v", "place", "all", own.alias("own"), F.explode(chunks).alias("chunk"))
+    skip = ~np.asarray(varied)
+
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place").reset_index(drop=True)
+        v = np.stack(pdf["v"].to_numpy()).astype(float)
+        v[:, skip] = np.nan
+        mine = (pdf["own"] == key[1]).to_numpy()
+        row, col = np.nonzero(_runs(v) & mine[:, None])
+        found = pd.DataFrame({"batch": pdf["batch"].to_numpy()[row], "equipment_train": key[0], "f": col.astype(np.int32), "open": False})
+        first, last = np.flatnonzero(mine)[[0, -1]] if mine.any() else (0, -1)
+        known = ~np.isnan(v)
+        thin = np.zeros(width, dtype=bool)
+        if pdf["place"].iat[0] > 0:
+            thin |= known[:first].sum(0) < RUN - 1
+        if pdf["place"].iat[-1] < pdf["all"].iat[0] - 1:
+            thin |= known[last + 1 :].sum(0) < RUN - 1
+        thin &= known.any(0)
+        return pd.concat([found, pd.DataFrame({"batch": None, "equipment_train": key[0], "f": np.flatnonzero(thin).astype(np.int32), "open": True})], ignore_index=True)
+
+    searched = durable(spread.groupBy("equipment_train", "chunk").applyInPandas(search, "batch string, equipment_train string, f int, open boolean"))
+    found = searched.where("not open").select("batch", "f")
+    unclear = searched.where("open").select("equipment_train", "f").distinct()
+    if unclear.isEmpty():
+        return found
+    cells = placed.select("batch", "equipment_train", "place", F.posexplode("v").alias("f", "x")).where("x is not null").join(unclear, ["equipment_train", "f"])
+    per = Window.partitionBy("equipment_train", "f", "block")
+    cells = cells.withColumn("block", F.floor(F.col("place") / chunk)).withColumn("r", F.row_number().over(per.orderBy("place")))
+    blocks = cells.groupBy("equipment_train", "f", "block").count()
+    earlier = blocks.select("equipment_train", "f", "block", (F.sum("count").over(Window.partitionBy("equipment_train", "f").orderBy("block")) - F.col("count")).alias("before"))
+    cells = cells.join(earlier, ["equipment_train", "f", "block"]).withColumn("at", F.col("before") + F.col("r"))
+    island = F.col("at") - F.row_number().over(Window.partitionBy("equipment_train", "f", "x").orderBy("at"))
+    runs = cells.withColumn("island", island).withColumn("n", F.count("*").over(Window.partitionBy("equipment_train", "f", "x", "island")))
+    return found.unionByName(runs.where(F.col("n") >= RUN).select("batch", "f")).distinct()
+
+
 def cell_flags(wide: DataFrame, metadata: DataFrame, families: DataFrame, record: DataFrame) -> DataFrame:
     """(batch, field, reason) of the implausible cells of the batch table; cells without a usable value are no readings."""
     rules = find_rules(wide, families, record)
     columns = [c for c in measured_columns(wide) if c not in DERIVED]
-    labels = first_labels(metadata).select("batch", "formulation", "equipment_train", "manufacturing_date")
-    batches = first_usable(wide, rules).drop("_at").join(labels, "batch", "left")
     bounds = [rules.bounds.get(c, (None, None)) for c in columns]
-    each = [F.struct(F.lit(i).alias("f"), F.col(f"`{c}`").alias("v"), F.coalesce(F.col(f"`{c}`") < F.lit(b[0]), F.lit(False)).alias("below"), F.coalesce(F.col(f"`{c}`") > F.lit(b[1]), F.lit(False)).alias("above")) for i, (c, b) in enumerate(zip(columns, bounds, strict=True))]
-    cells = batches.select("batch", "formulation", "equipment_train", "manufacturing_date", F.explode(F.array(*each)).alias("c"))
-    cells = durable(cells.where("c.v is not null").select("batch", "formulation", "equipment_train", "manufacturing_date", "c.f", "c.v", (F.col("c.below") | F.col("c.above")).alias("outside")))
-    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("f")).alias("field")
-    outside = cells.where("outside").select("batch", name, F.lit("range").alias("reason"))
-
-    per_field = cells.groupBy("f").agg(F.approx_count_distinct("v", 0.02).alias("n_values"), F.percentile_approx(F.when(~F.col("outside"), F.col("v")), 0.5, 10000).alias("middle"))
-    varied = F.broadcast(per_field.where(F.col("n_values") > FEW_VALUES))  # one row per column of the batch table
-
-    # Levels: the median of the formulation's values; of two in the middle, or between them, what is nearest to the column's own.
-    inside = cells.where("not outside and formulation is not null and equipment_train is not null").join(varied, "f")
-    middles = inside.groupBy("formulation", "f").agg(F.percentile_approx("v", [0.5, 0.5001], 10000).alias("m"), F.count("*").alias("n"))
-    joined = inside.join(middles, ["formulation", "f"])
-    level = F.least(F.greatest(F.col("middle"), F.col("m")[0]), F.col("m")[1])
-    residual = joined.select("batch", "equipment_train", "f", "n", F.abs(F.col("v") - level).alias("off"))
-    usual = residual.where("n >= 3").groupBy("equipment_train", "f").agg((F.percentile_approx("off", 0.5, 10000) * 1.4826).alias("usual"))
-    spikes = residual.where("n >= 2").join(usual, ["equipment_train", "f"]).where((F.col("usual") > 0) & (F.col("off") > TIMES_SCATTER * F.col("usual")))
-    spikes = spikes.select("batch", name, F.lit("spike").alias("reason"))
-
-    # Runs: the place of each value in its train and column, from counts per month, so that no train is sorted in one task.
-    dated = cells.where("equipment_train is not null and manufacturing_date is not null").join(varied.select("f"), "f")
-    dated = dated.withColumn("month", F.year("manufacturing_date") * 12 + F.month("manufacturing_date"))
-    month = Window.partitionBy("equipment_train", "f", "month")
-    ranked = dated.withColumn("r", F.row_number().over(month.orderBy("manufacturing_date", "batch")))
-    counts = dated.groupBy("equipment_train", "f", "month").count()
-    before = counts.select("equipment_train", "f", "month", (F.sum("count").over(Window.partitionBy("equipment_train", "f").orderBy("month")) - F.col("count")).alias("before"))
-    placed = ranked.join(before, ["equipment_train", "f", "month"]).select("batch", "equipment_train", "f", "v", (F.col("before") + F.col("r")).alias("place"))
-    equal = Window.partitionBy("equipment_train", "f", "v")
-    islands = placed.withColumn("island", F.col("place") - F.row_number().over(equal.orderBy("place")))
-    runs = islands.withColumn("n", F.count("*").over(Window.partitionBy("equipment_train", "f", "v", "island"))).where(F.col("n") >= RUN)
-    return outside.unionByName(spikes).unionByName(runs.select("batch", name, F.lit("stuck").alias("reason")))
+    batches = durable(_labelled_batches(wide, metadata, rules, columns))
+    means, varied = column_facts(batches, bounds)
+    table = durable(residuals(batches, bounds, means))
+    usual = usual_scatter(table, len(columns))
+    keep = np.asarray(varied)
+
+    def far(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            off = np.frombuffer(b"".join(pdf["off"]), dtype=np.float32).reshape(len(pdf), len(columns))
+            usual = np.stack(pdf["usual"].to_numpy()).astype(float)
+            with np.errstate(invalid="ignore"):
+                row, col = np.nonzero((off > TIMES_SCATTER * usual) & keep)
+            yield pd.DataFrame({"batch": pdf["batch"].to_numpy()[row], "f": col.astype(np.int32)})
+
+    spikes = table.select("batch", "equipment_train", "off").join(usual, "equipment_train").select("batch", "off", "usual").mapInPandas(far, "batch string, f int")
+    outside = table.select("batch", F.explode("outside").alias("f"))
+    found = outside.withColumn("reason", F.lit("range")).unionByName(spikes.withColumn("reason", F.lit("spike"))).unionByName(stuck_cells(batches, varied).withColumn("reason", F.lit("stuck")))
+    return found.select("batch", F.get(F.array(*[F.lit(c) for c in columns]), F.col("f")).alias("field"), "reason")
