@@ -49,24 +49,29 @@ def _cut(line: Column, delimiter: Column) -> tuple[Column, Column]:
     outside piece between two inside ones. Only array functions are used, so
     that no pattern can backtrack or overflow on very long fields.
     """
-    pieces = F.split(F.regexp_replace(line, _MARK, _KEPT), '"', -1)
-    n = F.size(pieces)
 
-    def sound(x: Column, i: Column) -> Column:
-        before = (i == 0) | F.endswith(x, delimiter)
-        after = (i == n - 1) | F.startswith(x, delimiter)
-        first = (i == 0) & ((n == 1) | (x == "") | F.endswith(x, delimiter))
-        last = (i == n - 1) & ((i == 0) | (x == "") | F.startswith(x, delimiter))
-        return F.when(i % 2 == 1, True).otherwise(first | last | ((i > 0) & (i < n - 1) & ((x == "") | (before & after))))
+    def judged(pieces: Column) -> Column:
+        n = F.size(pieces)
 
-    def written(x: Column, i: Column) -> Column:
-        outside = F.when((x == "") & (i > 0) & (i < n - 1), '"').otherwise(F.replace(x, delimiter, F.lit(_CUT)))
-        return F.when(i % 2 == 1, x).otherwise(outside)
+        def sound(x: Column, i: Column) -> Column:
+            before = (i == 0) | F.endswith(x, delimiter)
+            after = (i == n - 1) | F.startswith(x, delimiter)
+            first = (i == 0) & ((n == 1) | (x == "") | F.endswith(x, delimiter))
+            last = (i == n - 1) & ((i == 0) | (x == "") | F.startswith(x, delimiter))
+            return F.when(i % 2 == 1, True).otherwise(first | last | ((i > 0) & (i < n - 1) & ((x == "") | (before & after))))
 
-    ok = (n % 2 == 1) & F.forall(F.transform(pieces, sound), lambda x: x)
-    joined = F.array_join(F.transform(pieces, written), "")
-    fields = F.transform(F.split(joined, _CUT, -1), lambda x: F.replace(x, F.lit(_KEPT), F.lit(_MARK)))
-    return ok, fields
+        def written(x: Column, i: Column) -> Column:
+            outside = F.when((x == "") & (i > 0) & (i < n - 1), '"').otherwise(F.replace(x, delimiter, F.lit(_CUT)))
+            return F.when(i % 2 == 1, x).otherwise(outside)
+
+        ok = (n % 2 == 1) & F.forall(F.transform(pieces, sound), lambda x: x)
+        joined = F.array_join(F.transform(pieces, written), "")
+        fields = F.transform(F.split(joined, _CUT, -1), lambda x: F.replace(x, F.lit(_KEPT), F.lit(_MARK)))
+        return F.struct(ok.alias("ok"), fields.alias("fields"))
+
+    # Bound to a variable, the pieces are cut once, not once per piece.
+    out = F.get(F.transform(F.array(F.split(F.regexp_replace(line, _MARK, _KEPT), '"', -1)), judged), F.lit(0))
+    return out["ok"], out["fields"]
 
 
 def read_fields(raw: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def read_fields(raw: DataFrame) -> DataFrame:
     joined = body.join(heads, F.col("of_file").eqNullSafe(F.col("file_id")), "left").drop("file_id").withColumnRenamed("of_file", "file_id")
     joined = joined.withColumns({"delimiter": F.coalesce("delimiter", F.lit(",")), "header": F.coalesce("header", F.array().cast("array<string>"))})
     ok, fields = _cut(F.col("line"), F.col("delimiter"))
-    return joined.withColumn("sound", ok).withColumn("fields", fields).drop("line")
+    return joined.withColumn("cut", F.struct(ok.alias("sound"), fields.alias("fields"))).select("*", "cut.sound", "cut.fields").drop("cut", "line")
 
 
 def _errors(bounds: list[tuple[str, float | None, float | None]]) -> Column:
