@@ -121,4 +121,40 @@ SELECT min(coalesce(names.batch, cells.k)) AS batch, medium, run_no,
 FROM cells LEFT JOIN names ON names.k = cells.k GROUP BY cells.k, medium, run_no
 """
 
-SQL = {"p1_found": _P1, "p4_found": _P4, "p4_wide": _P4_WIDE}
+_P3 = r"""
+WITH heads AS (
+  SELECT file_id, min_by(raw_line, line_id) AS head FROM raw_batch_rows WHERE line_no = 1 GROUP BY file_id),
+marks AS (
+  SELECT file_id, CASE WHEN c >= s AND c >= t THEN ',' WHEN s >= t THEN ';' ELSE chr(9) END AS d FROM (
+    SELECT file_id, len(string_split(head, ',')) AS c, len(string_split(head, ';')) AS s, len(string_split(head, chr(9))) AS t FROM heads)),
+pieces AS (
+  SELECT r.line_id, r.file_id, r.line_no, d, string_split(coalesce(raw_line, ''), '"') AS p FROM raw_batch_rows r JOIN marks USING (file_id)),
+cut AS (
+  SELECT line_id, file_id, line_no, d,
+    len(p) % 2 = 1 AND list_bool_and(list_transform(p, lambda x, i: i % 2 = 0 OR ((i = 1 AND (len(p) = 1 OR x = '' OR suffix(x, d)))
+      OR (i = len(p) AND (i = 1 OR x = '' OR prefix(x, d))) OR (i > 1 AND i < len(p) AND (x = '' OR (suffix(x, d) AND prefix(x, d))))))) AS ok,
+    string_split(array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 THEN x WHEN x = '' AND i > 1 AND i < len(p) THEN '"' ELSE replace(x, d, chr(1)) END), ''), chr(1)) AS f
+  FROM pieces),
+body AS (
+  SELECT c.line_id, c.d, c.ok, c.f, h.f AS h FROM cut c JOIN cut h ON h.file_id = c.file_id AND h.line_no = 1 WHERE c.line_no <> 1),
+whole AS (
+  SELECT line_id, d, f, h, CASE WHEN NOT ok THEN 'BROKEN_QUOTING' WHEN len(f) <> len(h) THEN 'WRONG_COLUMN_COUNT'
+    WHEN lower(array_to_string(f, chr(1))) = lower(array_to_string(h, chr(1))) THEN 'REPEATED_HEADER' END AS code FROM body),
+fields AS (SELECT line_id, d, unnest(h) AS name, unnest(f) AS x FROM whole WHERE code IS NULL),
+numbers AS (
+  SELECT line_id, name, x, low, high, v.variable IS NOT NULL AS measured, trim(replace(CASE WHEN d = ';' THEN replace(x, ',', '.') ELSE x END, chr(9), ' ')) AS bare
+  FROM fields LEFT JOIN variable_families v ON v.variable = name),
+judged AS (
+  SELECT line_id, name, CASE
+    WHEN name = 'batch' THEN CASE WHEN NOT regexp_full_match(x, 'B[0-9]{8}([-/._][A-Za-z]?[0-9]+)?') THEN 'INVALID_BATCH_ID' END
+    WHEN x = '' THEN NULL
+    WHEN name = 'manufacturing_date' THEN CASE WHEN NOT regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}( ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])?')
+      OR TRY_CAST(substr(x, 1, 10) AS DATE) IS NULL THEN 'INVALID_DATE' END
+    WHEN measured THEN CASE WHEN NOT regexp_full_match(bare, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN 'NON_NUMERIC_IN_NUMERIC_COLUMN'
+      WHEN TRY_CAST(bare AS DOUBLE) < low OR TRY_CAST(bare AS DOUBLE) > high THEN 'VALUE_OUT_OF_RANGE' END END AS code
+  FROM numbers)
+SELECT line_id, code, '' AS column_name FROM whole WHERE code IS NOT NULL
+UNION ALL SELECT line_id, code, name FROM judged WHERE code IS NOT NULL
+"""
+
+SQL = {"p3_found": _P3, "p1_found": _P1, "p4_found": _P4, "p4_wide": _P4_WIDE}
