@@ -365,3 +365,35 @@ def trees(rows: DataFrame, columns: Sequence[str], kind: str = "random_forest",
     importance = [float(x) for x in learner.fit(data).featureImportances.toArray()]
     data.unpersist()
     return {"model": kind, "q2": 1 - error / (stats.n * stats.v), "n": stats.n, "importance": dict(zip(columns, importance, strict=True))}
+
+
+def contributions(rows: DataFrame, columns: Sequence[str], coef: Sequence[float], means: Sequence[float]) -> DataFrame:
+    """(batch, feature, contribution): what each feature adds to a linear prediction over the mean batch; exact Shapley values."""
+    terms = [F.struct(F.lit(c).alias("feature"), ((F.col(f"x{i}") - F.lit(float(means[i]))) * F.lit(float(coef[i]))).alias("contribution")) for i, c in enumerate(columns)]
+    return rows.select("batch", F.explode(F.array(*terms)).alias("t")).select("batch", "t.feature", "t.contribution")
+
+
+def partial_dependence(rows: DataFrame, columns: Sequence[str], feature: str, coef: Sequence[float], intercept: float, points: int = 20) -> DataFrame:
+    """(value, prediction): mean prediction of a linear model with one feature set to each of ``points`` values between its 2nd and 98th percentile.
+
+    The mean over all rows needs only the other features' means, from one aggregation.
+    """
+    at = list(columns).index(feature)
+    stats = rows.agg(F.percentile_approx(f"x{at}", [0.02, 0.98], 10000).alias("q"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(columns))]).first()
+    if stats.q is None:
+        raise Refusal("no rows to average over")
+    rest = float(intercept) + sum(float(coef[i]) * stats[f"m{i}"] for i in range(len(columns)) if i != at)
+    grid = np.linspace(stats.q[0], stats.q[1], points)
+    return rows.sparkSession.createDataFrame([(float(v), float(rest + coef[at] * v)) for v in grid], "value double, prediction double")
+
+
+def factorial_design(ranges: DataFrame, factors: Sequence[str], centres: int = 2) -> DataFrame:
+    """(run, one column per factor): every combination of low and high, then centre points, from (variable, low, high). At most three factors."""
+    if not 1 <= len(factors) <= 3:
+        raise Refusal("one to three factors can be varied at a time")
+    got = {r.variable: (r.low, r.high) for r in ranges.where(F.col("variable").isin(list(factors))).collect()}
+    if gone := [f for f in factors if f not in got or got[f][0] is None]:
+        raise Refusal("no observed range for " + ", ".join(gone))
+    ends = [(lo, hi) if lo < hi else (lo - 0.1 * abs(lo or 1), lo + 0.1 * abs(lo or 1)) for lo, hi in (got[f] for f in factors)]
+    runs = [[ends[k][(n >> k) & 1] for k in range(len(ends))] for n in range(2 ** len(ends))] + [[(a + b) / 2 for a, b in ends]] * centres
+    return ranges.sparkSession.createDataFrame([(i + 1, *map(float, r)) for i, r in enumerate(runs)], "run int, " + ", ".join(f"`{f}` double" for f in factors))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom.operators import diagnostics, explore, models, profiles, response
 from batchloom.operators.bad_rows import read_fields
+from batchloom.operators.dataset import build_dataset
 from batchloom.operators.longform import batch_labels, clean_wide, exact_quantile, numeric_columns, unpivoted
 from batchloom.operators.reshape import to_wide
 from batchloom.plans.problems import _MEDIUM
@@ -548,6 +549,49 @@ def experiment_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.min("e.value").alias("low"), F.max("e.value").alias("high"), _r((F.min("e.value") + F.max("e.value")) / 2).alias("centre"))
 
 
+@_query(f"""
+WITH {_CELLS}, {_LABELS}, {_ROWS}, c AS (SELECT regr_slope(y, hpmc_level_pct) AS s, avg(hpmc_level_pct) AS m FROM rows)
+SELECT batch, 'hpmc_level_pct' AS feature, round(s * (hpmc_level_pct - m), 6) + 0.0 AS contribution FROM rows, c""")
+def linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first predictor adds to each batch's prediction in a single-predictor fit."""
+    rows = durable(_rows(spark, sf_dir))
+    total = models.fold_sums(rows.select("fold", "x0", "y"), PREDICTORS[:1]).total
+    coef, _ = models.ridge(total, 0.0)
+    return _rounded(models.contributions(rows, PREDICTORS[:1], coef, models.centred(total).mean), "contribution")
+
+
+@_query()
+def partial_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = durable(_rows(spark, sf_dir))
+    _, coef, intercept = models.tuned("ridge", models.fold_sums(rows, PREDICTORS).by_fold)
+    return models.partial_dependence(rows, PREDICTORS, PREDICTORS[0], coef, intercept)
+
+
+@_query()
+def experiment_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A two-level design with centre points in three factors, at their observed extremes."""
+    return models.factorial_design(experiment_ranges(spark, sf_dir), PREDICTORS[:3])
+
+
+@_query(f"""
+WITH {_CELLS}, per AS (SELECT variable, count(*) AS n, count(value) AS k, min(value) AS lo, max(value) AS hi FROM (
+  SELECT batch, variable, min(CASE WHEN NOT isnan(value) THEN value END) AS value FROM (SELECT * EXCLUDE (loaded_at) FROM batch_wide WHERE batch IS NOT NULL)
+  UNPIVOT INCLUDE NULLS (value FOR variable IN (COLUMNS(* EXCLUDE (batch)))) GROUP BY 1, 2) GROUP BY variable),
+own AS (SELECT DISTINCT batch FROM batch_wide WHERE batch IS NOT NULL), other AS (SELECT DISTINCT batch FROM batch_metadata WHERE batch IS NOT NULL),
+i AS (
+  SELECT 'ERROR' AS severity, 'DUPLICATE_BATCH_ID' AS code, count(*) AS n_rows FROM (SELECT batch FROM batch_wide WHERE batch IS NOT NULL GROUP BY batch HAVING count(*) > 1)
+  UNION ALL SELECT 'ERROR', 'BATCH_MISSING_METADATA', count(*) FROM own WHERE batch NOT IN (SELECT batch FROM other)
+  UNION ALL SELECT 'WARNING', 'METADATA_WITHOUT_BATCH', count(*) FROM other WHERE batch NOT IN (SELECT batch FROM own)
+  UNION ALL SELECT 'WARNING', 'CONSTANT_COLUMN', count(*) FROM per WHERE k > 0 AND lo = hi
+  UNION ALL SELECT 'INFO', 'SHAPE', count(*) FROM own)
+SELECT * FROM i WHERE n_rows > 0""")
+def dataset_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the tables taken together; missing cells depend on which repeated row is kept and are in ``missingness``."""
+    families = {r.variable: r.family for r in table(spark, sf_dir, "variable_families").select("variable", "family").collect()}
+    built = build_dataset(table(spark, sf_dir, "batch_wide"), families, table(spark, sf_dir, "batch_metadata"))
+    return built.issues.where("code <> 'HIGH_MISSINGNESS'").select("severity", "code", "n_rows")
+
+
 # ---- streaming
 
 
