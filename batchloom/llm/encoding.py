@@ -140,6 +140,22 @@ def undo(text: str, chain: str, choose: Chooser = _first_usual) -> str:
     return "".join(right[wrong[c]] if c > "\x7f" and c in wrong else c for c in text)
 
 
+_SINGLE_OF: dict[str, tuple[int, int]] = {}
+
+
+def _single_of(c: str) -> tuple[int, int]:
+    """Bits of the single-byte chains that leave ``c`` or read it as a usual character, and of those that change it."""
+    may = changes = 0
+    for k, (right, wrong) in enumerate(SINGLE):
+        new = CHARS[right][MAPS[wrong][c]] if c in MAPS[wrong] else c
+        if new == c or new in _USUAL or new < "\x80":
+            may |= 1 << k
+        if new != c:
+            changes |= 1 << k
+    _SINGLE_OF[c] = may, changes
+    return may, changes
+
+
 def garble(text: str, chain: str) -> str:
     """The reverse of :func:`undo`, for validation; characters that the right codec lacks stay."""
     steps = chain.split(">")
@@ -208,6 +224,14 @@ class Model:
         s = _coded(word + " ")[1]
         return float(self.log_p(s[:-2], s[1:-1], s[2:]).sum())
 
+    def score_all(self, words: list[str]) -> np.ndarray:
+        """:meth:`score` of several words at once."""
+        s = _coded("".join(f"  {w} " for w in words))[1][2:]
+        p = self.log_p(s[:-2], s[1:-1], s[2:])
+        ends = np.cumsum([len(w) + 3 for w in words])
+        starts = ends - [len(w) + 3 for w in words]
+        return np.add.reduceat(np.append(p, 0.0), np.stack([starts, ends - 2], 1).ravel())[::2]
+
     def scores(self, words: list[str]) -> np.ndarray:
         """:meth:`score` of words of one length, without the blank after them."""
         s = np.stack([_coded(w)[1] for w in words])
@@ -299,23 +323,39 @@ class Judge:
         """(likeliest chain or '', gain in nats over the word as it stands)."""
         got = self.words.get(word)
         if got is None:
-            # Capitals are rarer than small letters; a word that is plausible in these isn't garbled.
-            was = max(self.model.score(x) for x in {word, word.lower(), word.capitalize()})
             readings: dict[str, str] = {}
-            for chain in self.chains:
+            for chain in self._possible(word):
                 new = undo(word, chain)
                 if new != word and new not in readings and _plausible(new, word):
                     readings[new] = chain
             best, name = 0.0, ""
-            for new, chain in readings.items():
-                gain = self.model.score(new) - was
-                if gain > best:
-                    best, name = gain, chain
+            if readings:
+                # Capitals are rarer than small letters; a word that is plausible in these isn't garbled.
+                scores = self.model.score_all([word, word.lower(), word.capitalize(), *readings]).tolist()
+                was = max(scores[:3])
+                for chain, score in zip(readings.values(), scores[3:], strict=True):
+                    if score - was > best:
+                        best, name = score - was, chain
             if len(self.words) > 200_000:
                 self.words.clear()
             got = self.words[word] = (name, best)
         return got
 
+    def _possible(self, word: str) -> Iterator[str]:
+        """The chains, in order, that can change ``word`` into usual characters, told from its characters alone."""
+        odd = [c for c in word if c > "\x7f"]
+        if any(a > "\x7f" and b > "\x7f" for a, b in zip(word, word[1:], strict=False)):
+            yield from self.chains[: len(self.chains) - len(SINGLE)]
+        every, some = -1, 0
+        for c in odd:
+            may, changes = _SINGLE_OF.get(c) or _single_of(c)
+            every &= may
+            some |= changes
+        every &= some
+        for k, (right, wrong) in enumerate(SINGLE):
+            if every >> k & 1:
+                yield f"{right}>{wrong}"
+
     def doubtful(self, text: str) -> list[str]:
         """The words of ``text`` with non-ASCII characters that the model finds implausible."""
         points, coded = _coded(text)
