@@ -281,6 +281,7 @@ class Filled:
     tree: Tree
     coding: Coding
     rules: Rules
+    batches: DataFrame  # one row per batch with its usable values, as before filling
 
 
 def _group_bins(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -347,13 +348,16 @@ def fill_missing(wide: DataFrame, metadata: DataFrame, families: DataFrame, reco
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("number"))
     middle = F.aggregate("w", start, lambda a, x: F.struct((a["sum"] + x["weight"]).alias("sum"), F.when(a["sum"] < half, x["number"]).otherwise(a["number"]).alias("number")))
     likeliest = F.array_max(F.transform("w", lambda x: F.struct(x["weight"], x["label"].alias("label"))))["label"]
-    return Filled(cells.select("batch", "field", middle["number"].alias("number"), likeliest.alias("label"), "taken_from"), tree, coding, rules)
+    return Filled(cells.select("batch", "field", middle["number"].alias("number"), likeliest.alias("label"), "taken_from"), tree, coding, rules, batches)
 
 
-def apply_fills(batches: DataFrame, filled: Filled) -> DataFrame:
-    """One row per batch with all fields filled in and ``filled``, the array of fields that were."""
+def apply_fills(filled: Filled) -> DataFrame:
+    """One row per batch with all fields filled in and ``filled``, the array of fields that were.
+
+    A batch of only one of the two tables keeps NULL in the fields of the other.
+    """
     per_batch = filled.cells.groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("number", "label")))).alias("_fills"))
-    joined = batches.join(per_batch, "batch", "left")
+    joined = filled.batches.join(per_batch, "batch", "left")
     numbers = [F.coalesce(F.col(f"`{c}`"), F.col("_fills")[c]["number"]).alias(c) for c in filled.coding.numbers]
     labels = [F.coalesce(F.col(c), F.col("_fills")[c]["label"]).alias(c) for c in CATEGORIES]
     marks = F.coalesce(F.array_sort(F.map_keys("_fills")), F.array().cast("array<string>"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.operators.bad_rows import load_rows
-from batchloom.operators.fill import Filled, fill_missing
+from batchloom.operators.fill import Filled, apply_fills, fill_missing
 from batchloom.operators.spikes import cell_flags, reading_flags
 from batchloom.operators.reshape import curves_wide, named_as_listed, time_points
 from batchloom.session import table
@@ -30,6 +30,11 @@ def p1_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir).cells
 
 
+def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches with every gap filled, and which fields were."""
+    return apply_fills(_filled(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_rows(table(spark, sf_dir, "raw_batch_rows"), table(spark, sf_dir, "variable_families")).errors
 
@@ -65,7 +70,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_flags(spark, sf_dir).drop("reasons")
 
 
-QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p3_found": p3_found, "p3_valid": p3_valid, "p4_found": p4_found, "p4_wide": p4_wide, "p5_found": p5_found, "p5_flags": p5_flags}
+QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p1_table": p1_table, "p3_found": p3_found, "p3_valid": p3_valid, "p4_found": p4_found, "p4_wide": p4_wide, "p5_found": p5_found, "p5_flags": p5_flags}
 
 _WORDS = "('', '-', '?', 'n/a', 'na', 'none', 'null', 'nan', 'unknown', 'not recorded', 'missing', 'tbd', 'pending')"
 _MEDIUM = """CASE upper(replace(medium, ' ', '')) WHEN '0.1NHCL' THEN '0.1N HCl'

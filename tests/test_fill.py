@@ -6,7 +6,7 @@ import numpy as np
 from oracle import SMALL
 from pyspark.sql import functions as F
 
-from batchloom.operators.fill import CATEGORIES, chow_liu, fill_missing, measured_columns, posteriors
+from batchloom.operators.fill import CATEGORIES, apply_fills, chow_liu, fill_missing, measured_columns, posteriors
 from batchloom.session import table
 
 TABLES = ("batch_wide", "batch_metadata", "variable_families", "imputation_record")
@@ -46,6 +46,18 @@ def test_all_filled_from_similar_batches(spark):
     assert all((c.label is not None) == (c.field in CATEGORIES) for c in cells)
 
 
+def test_table_is_complete_and_marked(spark):
+    filled = fill_missing(*(table(spark, SMALL, n) for n in TABLES))
+    marks = {(c.batch, c.field) for c in filled.cells.select("batch", "field").collect()}
+    before = {r.batch: r for r in filled.batches.collect()}
+    for row in apply_fills(filled).collect():
+        old = before[row.batch]
+        fields = [*filled.coding.numbers, *CATEGORIES]
+        assert set(row.filled) == {f for f in fields if (row.batch, f) in marks}
+        assert all(row[f] == old[f] for f in fields if f not in row.filled)
+        assert all(row[f] is not None for f in (filled.coding.numbers if old.in_wide else []) + (list(CATEGORIES) if old.in_metadata else []))
+
+
 def test_held_out_labels_come_back(spark):
     wide, meta, families, record = (table(spark, "/root/testdata/sf0.01", n) for n in TABLES)
     hide = F.pmod(F.xxhash64("batch"), F.lit(20)) == 0
