@@ -41,7 +41,7 @@ from batchloom.operators.reshape import time_points
 from batchloom.session import durable
 
 LOWEST, HIGHEST = -1.0, 130.0  # bounds of a reading in percent
-RANK, PASSES = 4, 6
+RANK, PASSES = 4, 5
 TIMES_SCATTER = 8.0
 RUN = 4  # successive equal values that count as stuck
 BIN, EMPTY = 0.04, -40_000  # width of a bin of logarithms, and the bin of zeros
@@ -66,7 +66,7 @@ class Course:
 
 
 def curves(dissolution: DataFrame) -> DataFrame:
-    """One row per curve: batch_key, medium, run_no, source and its cells (t, y), different readings of a cell in turn."""
+    """One row per curve: batch_key, medium, run_no, source and its cells (t, y), each different reading of a cell once."""
     rows = dissolution.select(
         squeezed(F.col("batch")).alias("batch_key"),
         canonical_medium(F.col("medium")).alias("medium"),
@@ -75,7 +75,7 @@ def curves(dissolution: DataFrame) -> DataFrame:
         (finite(F.col("percent_released")) + F.lit(0.0)).alias("y"),
         "instrument",
     ).where("batch_key is not null and y is not null and t is not null")
-    cells = F.sort_array(F.collect_set(F.struct("t", "y")))
+    cells = F.collect_set(F.struct("t", "y"))
     return rows.groupBy("batch_key", "medium", "run_no").agg(F.coalesce(F.max("instrument"), F.lit("")).alias("source"), cells.alias("cells"))
 
 
@@ -86,7 +86,7 @@ def packed(table: DataFrame, times: list[int]) -> DataFrame:
     """
     kind = dict(table.dtypes)["run_no"]
     grid = np.asarray(times)
-    flat = table.select("batch_key", "medium", "run_no", "source", F.transform("cells", lambda c: c["t"]).alias("t"), F.transform("cells", lambda c: c["y"]).alias("y"))
+    flat = table.select("batch_key", "medium", "run_no", "source", F.col("cells.t").alias("t"), F.col("cells.y").alias("y"))
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
