@@ -19,9 +19,10 @@ Defined results for odd input: NULL, NaN and infinite readings are no readings;
 rows sent twice count once; of contradicting readings in one cell each is
 tested on its own, and neither enters the course; a curve without instrument is
 held against the pooled scatter; curves of fewer than four readings, batches
-without formulation, columns without scatter and batches without train or date
-are only tested for ranges, as far as the rest needs what they lack; NULL
-batches are left out; empty tables give empty results.
+without formulation and columns without scatter are only tested for ranges and
+runs, batches without train or date not for runs; a batch without train is held
+against the widest scatter of any train; NULL batches are left out; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -526,7 +527,14 @@ def cell_flags(wide: DataFrame, metadata: DataFrame, families: DataFrame, record
                 row, col = np.nonzero((off > TIMES_SCATTER * usual) & keep)
             yield pd.DataFrame({"batch": pdf["batch"].to_numpy()[row], "f": col.astype(np.int32)})
 
-    spikes = table.select("batch", "equipment_train", "off").join(usual, "equipment_train").select("batch", "off", "usual").mapInPandas(far, "batch string, f int")
+    usual = durable(usual)
+    widest = [None] * len(columns)
+    for r in usual.select(F.posexplode("usual").alias("f", "u")).groupBy("f").agg(F.max("u").alias("u")).collect():
+        widest[r["f"]] = r["u"]
+    # A batch whose train is not known is held against the train with the widest scatter.
+    most = F.array(*[F.lit(x).cast("double") for x in widest])
+    rows = table.select("batch", "equipment_train", "off").join(usual, "equipment_train", "left").select("batch", "off", F.coalesce("usual", most).alias("usual"))
+    spikes = rows.mapInPandas(far, "batch string, f int")
     outside = table.select("batch", F.explode("outside").alias("f"))
     found = outside.withColumn("reason", F.lit("range")).unionByName(spikes.withColumn("reason", F.lit("spike"))).unionByName(stuck_cells(batches, varied).withColumn("reason", F.lit("stuck")))
     return found.select("batch", F.get(F.array(*[F.lit(c) for c in columns]), F.col("f")).alias("field"), "reason")
