@@ -5,9 +5,9 @@ accents, blanks, punctuation and line breaks vanish, and letters that scanners
 confuse share a class. Of a page's k-grams the smallest hash in every window is
 kept (winnowing); every item k-gram is indexed. So any shared span of at least
 ``K + WINDOW - 1`` classes has a fingerprint in common, whatever surrounds it.
-Fingerprints are joined on their hash, hits on one diagonal are chained, and
-chains that are long enough are extended through misreadings and across inserted
-adverts to measure how many successive words of the item the page holds.
+Fingerprints are joined on their hash, and every hit is extended through
+misreadings and across inserted adverts to measure how many successive words of
+the item the page holds; hits of one stretch of equal letters are extended once.
 
 Before that, the columns of a page are told apart by the boxes of its lines, so
 that columns read straight across, or run together in one line, are each read
@@ -40,11 +40,11 @@ K = 12  # letters of a k-gram
 WINDOW = 6  # k-grams of which one is kept
 MIN_WORDS = 18  # successive words of an item that make a leak
 BLOCK = 4_000_000  # letters of the items indexed at a time
-CHAIN_HITS, CHAIN_LETTERS = 3, 40  # what a chain of hits needs to be extended
-DRIFT, APART = 5, 45  # letters by which hits of one chain may be off the diagonal, and apart
 ADVERT = 900  # letters of an insertion that may be passed over
 # Letters that scanners take for one another, by the class they share.
 CONFUSED = {"ß": "s", "œ": "o", "æ": "a", "1": "l", "i": "l", "|": "l", "!": "l", "0": "o", "5": "s", "8": "b", "c": "e", "y": "v", "f": "t"}
+SEED, SKIPS = 9, (0, 1, 2, 3, 4, 5, 6, 7, 9, 11)  # letters that show where an item goes on after an insertion, and those left out before
+ANY, STEP = 1 << len(SKIPS) + 1, 1 << len(SKIPS)  # bits beside those of SKIPS: whatever there is, and a step
 _STEPS = ((1, 1), (1, 2), (2, 1), (2, 2), (0, 1), (1, 0), (0, 2), (2, 0), (3, 3), (1, 3), (3, 1), (2, 3), (3, 2), (0, 3), (3, 0), (4, 4))
 
 
@@ -115,13 +115,21 @@ class Items:
         classes, owner, at = letters(texts)
         self.owner = owner
         self.start = np.searchsorted(owner, np.arange(len(texts) + 1))
+        self.classes = classes
         self.text = classes.astype("<u2").tobytes().decode("utf-16-le")
+        self.back = self.text[::-1]
         words = np.cumsum(np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) <= 0x20)
         _, self.word = np.unique(words[at], return_inverse=True)
         values, inside = hashes(classes, owner)
         places = np.nonzero(inside)[0]
         order = np.argsort(values[places], kind="stable")
         self.values, self.places = values[places][order], places[order]
+        values, inside = hashes(classes, owner, SEED)
+        self.seeds = np.unique(values[inside])
+        self.seed = np.full(len(classes), -1)  # number of the seed that starts at each letter
+        self.seed[: len(values)][inside] = np.searchsorted(self.seeds, values[inside])
+        self.seed_bits = np.zeros(1 << 20, dtype=bool)
+        self.seed_bits[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
         # Bit table in front of the search: most fingerprints are in no item.
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[(self.values >> np.uint64(42)).astype(np.int64)] = True
@@ -137,22 +145,102 @@ class Items:
         return at[which], self.places[left[which] + offset]
 
 
-def chained(page: np.ndarray, item: np.ndarray, page_at: np.ndarray, item_at: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(page, item, hits) of every chain of hits that lie on one diagonal and is long enough."""
-    if not len(page):
-        return []
-    diagonal = page_at - item_at
-    order = np.lexsort((item_at, diagonal, item, page))
-    p, q, d = page[order], item[order], diagonal[order]
-    run = np.cumsum(np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (d[1:] - d[:-1] > DRIFT)])
-    order = order[np.lexsort((item_at[order], run))]
-    run = np.sort(run)
-    i = item_at[order]
-    new = np.r_[True, (run[1:] != run[:-1]) | (i[1:] - i[:-1] > APART)]
-    first = np.nonzero(new)[0]
+def exact_runs(items: Items, classes: np.ndarray, owner: np.ndarray, page_at: np.ndarray, item_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page place, item place, letters) of every longest stretch of equal letters that holds a hit, each once.
+
+    An extension is the same from wherever in a stretch it starts, so one for each stretch covers all hits.
+    """
+    # Hits that overlap on one diagonal are of one stretch.
+    order = np.lexsort((item_at, page_at - item_at))
+    i, j = item_at[order], page_at[order]
+    q, p = items.owner[i], owner[j]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (j[1:] - i[1:] != j[:-1] - i[:-1]) | (i[1:] - i[:-1] > K) | (q[1:] != q[:-1]) | (p[1:] != p[:-1])
+    first = np.flatnonzero(new)
     last = np.r_[first[1:], len(i)] - 1
-    good = (last - first + 1 >= CHAIN_HITS) & (i[last] - i[first] + K >= CHAIN_LETTERS)
-    return [(int(page[order[a]]), int(item[order[a]]), order[a : b + 1]) for a, b in zip(first[good], last[good], strict=True)]
+    i0, j0, i1, j1 = i[first], j[first], i[last] + K, j[last] + K
+    q, p = q[first], p[first]
+    for i, j, move in ((i0, j0, -1), (i1, j1, 1)):
+        at = np.arange(len(i))
+        while len(at):
+            # The letter before the start, or the one at the end.
+            x, y = (i[at] - 1, j[at] - 1) if move < 0 else (i[at], j[at])
+            inside = (x >= 0) & (y >= 0) & (x < len(items.owner)) & (y < len(owner))
+            at, x, y = at[inside], x[inside], y[inside]
+            same = (items.classes[x] == classes[y]) & (items.owner[x] == q[at]) & (owner[y] == p[at])
+            at = at[same]
+            i[at] += move
+            j[at] += move
+    _, once = np.unique(j0 * len(items.owner) + i0, return_index=True)
+    return j0[once], i0[once], (i1 - i0)[once]
+
+
+def _fours(classes: np.ndarray) -> np.ndarray:
+    """The four letters from each place on as one number; a place with fewer has 0, as have three places more."""
+    wide = np.r_[classes, np.zeros(16, dtype=classes.dtype)].astype(np.uint64)
+    n = len(wide) - 3
+    return wide[:n] | wide[1 : n + 1] << np.uint64(16) | wide[2 : n + 2] << np.uint64(32) | wide[3 : n + 3] << np.uint64(48)
+
+
+class Beyond:
+    """Tells, for many stretches at once, what an extension can go on with on either side, as bits.
+
+    Bit k is set where the seed after ``SKIPS[k]`` letters stands within reach
+    of :func:`_resumed`, ``STEP`` where a step of :func:`_forward` applies;
+    ``ANY`` is set close to the end of an item, where shorter pieces do. With no
+    bit set the extension gets nowhere.
+    """
+
+    TABLE = 23
+
+    def __init__(self, items: Items, classes: np.ndarray, owner: np.ndarray):
+        self.items, self.classes, self.owner = items, classes, owner
+        values, inside = hashes(classes, owner, SEED)
+        at = np.nonzero(inside)[0]
+        at = at[items.seed_bits[(values[at] >> np.uint64(44)).astype(np.int64)]]
+        n = np.searchsorted(items.seeds, values[at])
+        real = items.seeds[np.minimum(n, len(items.seeds) - 1)] == values[at]
+        at, n = at[real], n[real]
+        self.width = len(classes) + 1
+        self.keys = np.sort(n * self.width + at)
+        self.table = np.zeros(1 << self.TABLE, dtype=bool)
+        self.table[self._slot(n, owner[at])] = True
+
+    def _slot(self, seed: np.ndarray, page: np.ndarray) -> np.ndarray:
+        return (seed * 40503 + page * 2654435761) & ((1 << self.TABLE) - 1)
+
+    def sides(self, item: np.ndarray, page: np.ndarray, item_at: np.ndarray, page_at: np.ndarray, sizes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bits of what may follow, bits of what may stand before) of each stretch."""
+        items = self.items
+        low, high, begin, end = items.start[item], items.start[item + 1], start[page], start[page + 1]
+        i, j = item_at + sizes, page_at + sizes
+        after = self._steps(_fours(items.classes), _fours(self.classes), i, high, j, end)
+        n, m = len(items.classes), len(self.classes)
+        before = self._steps(_fours(items.classes[::-1]), _fours(self.classes[::-1]), n - item_at, n - low, m - page_at, m - begin)
+        for k, skip in enumerate(SKIPS):
+            some = np.flatnonzero(i + skip + SEED <= high)
+            after[some] |= self._seeded(i[some] + skip, page[some], j[some], np.minimum(end[some], j[some] + ADVERT) - SEED).astype(np.int64) << k
+            some = np.flatnonzero(item_at - skip - SEED >= low)
+            before[some] |= self._seeded(item_at[some] - skip - SEED, page[some], np.maximum(begin[some], page_at[some] - ADVERT), page_at[some] - SEED).astype(np.int64) << k
+        return after, before
+
+    def _steps(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, end_a: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+        left, room = end_a - i, end_b - j
+        out = np.zeros(len(i), dtype=bool)
+        of_a, of_b = [a[i + k] for k in range(5)], [b[j + k] for k in range(5)]
+        for da, db in _STEPS:
+            out |= (of_a[da] == of_b[db]) & (left >= da + 4) & (room >= db + 4)
+        return out * STEP + ((left > 0) & (left < SKIPS[-1] + SEED)) * ANY
+
+    def _seeded(self, item_at: np.ndarray, page: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether the seed at ``item_at`` starts at some place of the page from ``first`` to ``last``."""
+        seed = self.items.seed[item_at]
+        out = self.table[self._slot(seed, page)]
+        maybe = np.flatnonzero(out)
+        at = np.searchsorted(self.keys, seed[maybe] * self.width + first[maybe])
+        found = np.append(self.keys, np.iinfo(np.int64).max)[at]
+        out[maybe] = found <= seed[maybe] * self.width + last[maybe]
+        return out
 
 
 def _forward(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list[tuple[int, int]]) -> tuple[int, int]:
@@ -180,10 +268,12 @@ def _forward(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list
     return i, j
 
 
-def _resumed(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list[tuple[int, int]]) -> tuple[int, int]:
-    """Where ``a`` goes on in ``b`` after an insertion; (i, j) if it doesn't."""
-    for skip in (0, 1, 2, 3, 4, 5, 6, 7, 9, 11):
-        seed = a[i + skip : min(i + skip + 9, end_a)]
+def _resumed(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list[tuple[int, int]], bits: int = ANY) -> tuple[int, int]:
+    """Where ``a`` goes on in ``b`` after an insertion; (i, j) if it doesn't. ``bits`` tell which seeds there are."""
+    for k, skip in enumerate(SKIPS):
+        if not bits & (ANY | 1 << k):
+            continue
+        seed = a[i + skip : min(i + skip + SEED, end_a)]
         if len(seed) < 6:
             return i, j
         at = b.find(seed, j, min(end_b, j + ADVERT))
@@ -197,36 +287,58 @@ def _resumed(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list
     return i, j
 
 
-def _reach(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list[tuple[int, int]]) -> int:
-    i, j = _forward(a, i, end_a, b, j, end_b, wrong)
-    while i < end_a:
-        ends = _resumed(a, i, end_a, b, j, end_b, wrong)
-        if ends[0] <= i:
-            break
-        i, j = ends
-    return i
-
+def _reach(a: str, i: int, end_a: int, b: str, j: int, end_b: int, known: dict[tuple[int, int], tuple[int, int, list[tuple[int, int]]]], bits: int = ANY) -> tuple[int, list[tuple[int, int]]]:
+    """How far ``a`` from ``i`` is found in ``b`` from ``j``, and the places of ``a`` that were misread.
 
-def successive_words(items: Items, item: int, item_at: int, text: str, page_at: int, begin: int, end: int) -> tuple[int, int]:
-    """(words, item place up to which the page agrees) around one hit: the most successive item words that the page holds.
-
-    A word is held if more than half of its letters agree.
+    ``known`` remembers where a place that no step leads on from was resumed;
+    ``bits`` are those of :class:`Beyond` for the start.
     """
-    low, high = int(items.start[item]), int(items.start[item + 1])
     wrong: list[tuple[int, int]] = []
-    stop = _reach(items.text, item_at, high, text, page_at, end, wrong)
-    missed: list[tuple[int, int]] = []
-    back = _reach(items.text[low:item_at][::-1], 0, item_at - low, text[begin:page_at][::-1], 0, page_at - begin, missed)
-    good = np.zeros(high - low, dtype=bool)
-    good[item_at - low - back : stop - low] = True
-    for x, y in wrong:
-        good[x - low : y - low] = False
-    for x, y in missed:
-        good[item_at - low - y : item_at - low - x] = False
-    words = items.word[low:high] - items.word[low]
-    sizes = np.bincount(words)
-    held = 2 * np.bincount(words, weights=good) > sizes
-    return _longest(held), stop
+    if bits & (ANY | STEP):
+        i, j = _forward(a, i, end_a, b, j, end_b, wrong)
+        bits = ANY
+    while i < end_a:
+        got = known.get((i, j))
+        if got is None:
+            missed: list[tuple[int, int]] = []
+            got = known[i, j] = (*_resumed(a, i, end_a, b, j, end_b, missed, bits), missed)
+        if got[0] <= i:
+            break
+        wrong += got[2]
+        i, j = got[:2]
+        bits = ANY
+    return i, wrong
+
+
+class Extension:
+    """Extends stretches of equal letters of some pages and items in both directions."""
+
+    def __init__(self, items: Items, stream: str):
+        self.items, self.stream, self.back = items, stream, stream[::-1]
+        self.after: dict = {}
+        self.before: dict = {}
+
+    def successive_words(self, item: int, item_at: int, page_at: int, size: int, begin: int, end: int, least: int, after: int = ANY, before: int = ANY) -> int:
+        """The most successive item words that the page (from ``begin`` to ``end``) holds around a stretch; 0 if surely below ``least``.
+
+        ``after`` and ``before`` are the bits of :class:`Beyond`. A word is held if more than half of its letters agree.
+        """
+        items = self.items
+        low, high = int(items.start[item]), int(items.start[item + 1])
+        n, m = len(items.text), len(self.stream)
+        stop, wrong = _reach(items.text, item_at + size, high, self.stream, page_at + size, end, self.after, after) if after else (item_at + size, [])
+        back, missed = _reach(items.back, n - item_at, n - low, self.back, m - page_at, m - begin, self.before, before) if before else (n - item_at, [])
+        start = n - back
+        if items.word[stop - 1] - items.word[start] + 1 < least:  # no word outside start to stop can be held
+            return 0
+        good = np.zeros(high - low, dtype=bool)
+        good[start - low : stop - low] = True
+        for x, y in wrong:
+            good[x - low : y - low] = False
+        for x, y in missed:
+            good[n - y - low : n - x - low] = False
+        words = items.word[low:high] - items.word[low]
+        return _longest(2 * np.bincount(words, weights=good) > np.bincount(words))
 
 
 def _longest(held: np.ndarray) -> int:
@@ -289,19 +401,21 @@ def pages_in(items: Items, doc_ids: list, texts: list[str], least: int = MIN_WOR
     values, inside = hashes(classes, owner)
     kept = winnowed(values, inside)
     page_at, item_at = items.hits(values[kept], kept)
-    page, item = owner[page_at], items.owner[item_at]
-    chains = chained(page, item, page_at, item_at)
-    if not chains:
+    if not len(page_at):
         return []
-    stream = classes.astype("<u2").tobytes().decode("utf-16-le")
+    page_at, item_at, sizes = exact_runs(items, classes, owner, page_at, item_at)
+    by = Extension(items, classes.astype("<u2").tobytes().decode("utf-16-le"))
     start = np.searchsorted(owner, np.arange(len(texts) + 1))
+    page, item = owner[page_at], items.owner[item_at]
+    after, before = Beyond(items, classes, owner).sides(item, page, item_at, page_at, sizes, start)
+    own = items.word[item_at + sizes - 1] - items.word[item_at] + 1
+    some = np.flatnonzero((after | before != 0) | (own >= least))
+    start = start.tolist()
     best: dict[tuple[int, int], int] = {}
-    for p, q, hits in chains:
-        reached = -1
-        for h in hits:
-            if item_at[h] >= reached:
-                n, reached = successive_words(items, q, int(item_at[h]), stream, int(page_at[h]), int(start[p]), int(start[p + 1]))
-                best[p, q] = max(best.get((p, q), 0), n)
+    for p, q, i, j, size, *sides in zip(*[x[some].tolist() for x in (page, item, item_at, page_at, sizes, after, before)], strict=True):
+        n = by.successive_words(q, i, j, size, start[p], start[p + 1], least, *sides)
+        if n > best.get((p, q), 0):
+            best[p, q] = n
     return [(doc_ids[p], items.ids[q], n) for (p, q), n in best.items() if n >= least]
 
 
@@ -345,9 +459,9 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 rows = []
                 ids = list(pdf["doc_id"])
                 at = 0
-                while at < len(texts):  # some million letters at a time
+                while at < len(texts):  # a million letters at a time
                     to, size = at, 0
-                    while to < len(texts) and (to == at or size + len(texts[to]) <= 4_000_000):
+                    while to < len(texts) and (to == at or size + len(texts[to]) <= 1_000_000):
                         size += len(texts[to])
                         to += 1
                     rows += pages_in(shared.value, ids[at:to], texts[at:to])

@@ -56,6 +56,31 @@ def test_noise_advert_and_case():
     assert {(k, k) for k in range(20)} <= set(got) and (20, 5) in got and got[20, 5] >= 28
 
 
+SHORT = "va de la mer un roi bon sel nuit por que los mas fin hoy col ame sur pan eau lit".split()
+
+
+def test_short_words_across_an_advert_and_misread():
+    rng = random.Random(5)
+    item = [*words(rng, 30), *SHORT, *words(rng, 30)]
+    quote = item[30:51]
+    assert len("".join(quote)) < 70
+    advert = ["TO", "BE", "LET", "a", "fine", "cellar", "near", "Upper", "Street"]
+    misread = " ".join(quote).replace("roi", "xoi").replace("hoy", "hqy").split(" ")
+    pages = [page(rng, [*quote[:10], *advert, *quote[10:]]), page(rng, misread), page(rng, quote[:16])]
+    got = found(pages, [" ".join(item)])
+    assert set(got) == {(0, 0), (1, 0)} and got[0, 0] >= 20
+
+
+def test_what_is_not_extended_gets_nowhere(monkeypatch):
+    rng = random.Random(6)
+    items = [" ".join(words(rng, 60)) for _ in range(30)]
+    phrases = [" ".join(i.split()[k : k + 3]) for i in items for k in range(0, 57, 5)]
+    pages = [page(rng, rng.sample(phrases, 12), noise=0.02) for _ in range(10)] + [page(rng, items[k].split()[5:30], noise=0.05) for k in range(5)]
+    some = found(pages, items)
+    monkeypatch.setattr(L.Beyond, "sides", lambda self, item, *rest: (np.full(len(item), L.ANY),) * 2)
+    assert found(pages, items) == some and some
+
+
 def test_winnowing_keeps_what_it_promises():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 50, 400).astype(np.uint64)
