@@ -84,12 +84,6 @@ def curves_wide(dissolution: DataFrame, minutes: Sequence[int]) -> Reshaped:
     return to_wide(readings(dissolution), ["batch_key", "medium", "run_no"], "time_min", F.col("reading"), attributes)
 
 
-def time_points(dissolution: DataFrame, share: float = 1e-4) -> list[int]:
-    """The minutes at which curves are read, in order.
-
-    Times are counted after rounding; a minute written in less than ``share``
-    of the rows is no time point. The list has fewer than 1/``share`` entries.
-    """
-    counted = dissolution.select(minute(F.col("time_h")).alias("m")).where("m is not null").groupBy("m").count()
-    total = counted.agg(F.sum("count")).first()[0] or 0
-    return [r.m for r in counted.where(F.col("count") >= total * share).orderBy("m").collect()]
+def time_points(dissolution: DataFrame) -> list[int]:
+    """The minutes at which curves are read, in order: every whole minute that a row is rounded to, however few there are."""
+    return [r.m for r in dissolution.select(minute(F.col("time_h")).alias("m")).where("m is not null").distinct().orderBy("m").collect()]

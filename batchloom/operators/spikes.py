@@ -17,7 +17,8 @@ sends sums of the size of the grid to the driver, never curves.
 
 Defined results for odd input: NULL, NaN and infinite readings are no readings;
 rows sent twice count once; of contradicting readings in one cell each is
-tested on its own, and neither enters the course; a curve without instrument is
+tested on its own, and neither enters the course; a time point of fewer than
+``FEW`` readings takes the course between its neighbours; a curve without instrument is
 held against the pooled scatter; curves of fewer than four readings, batches
 without formulation and columns without scatter are only tested for ranges and
 runs, batches without train or date not for runs; a batch without train is held
@@ -44,6 +45,7 @@ from batchloom.session import durable
 LOWEST, HIGHEST = -1.0, 130.0  # bounds of a reading in percent
 RANK, PASSES = 4, 5
 TIMES_SCATTER = 8.0
+FEW = 20  # readings of a time point below which its course is read off the neighbouring ones
 RUN = 4  # successive equal values that count as stuck
 BIN, EMPTY = 0.04, -40_000  # width of a bin of logarithms, and the bin of zeros
 HOT = 20_000  # batches of a formulation that one task takes as a whole
@@ -195,6 +197,15 @@ def _usable(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.where(np.isnan(low), 0.0, low), fit, held, high
 
 
+def _between(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """``v`` with the rows not ``known`` read off between those that are, along the logarithm of time."""
+    x = np.log(np.maximum(t, 1))
+    out = v.copy()
+    for k in range(v.shape[1]):
+        out[~known, k] = np.interp(x[~known], x[known], v[known, k])
+    return out
+
+
 def fit_course(table: DataFrame, times: list[int]) -> Course:
     """Components and scatters of gridded curves (source, low, high)."""
     t = np.asarray(times, dtype=float)
@@ -210,11 +221,14 @@ def fit_course(table: DataFrame, times: list[int]) -> Course:
 
     got = table.select("low", "high").mapInPandas(middles, "at int, y double, n double").groupBy("at").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
     mean = np.full(len(t), np.nan)
+    number = np.zeros(len(t))
     for x in got:
         if x["n"]:
             mean[x["at"]] = x["y"] / x["n"]
-    known = np.isfinite(mean)
-    mean = np.interp(np.log(t), np.log(t[known]), np.maximum.accumulate(mean[known])) if known.any() else np.full(len(t), 50.0)
+            number[x["at"]] = x["n"]
+    many = number >= FEW
+    known = many if many.any() else np.isfinite(mean)
+    mean = np.interp(np.log(np.maximum(t, 1)), np.log(np.maximum(t[known], 1)), np.maximum.accumulate(mean[known])) if known.any() else np.full(len(t), 50.0)
     share = np.clip(mean / 100, 0.02, 0.98)
     slope = share * (1 - share)
     shape = np.log(share / (1 - share))
@@ -267,6 +281,8 @@ def fit_course(table: DataFrame, times: list[int]) -> Course:
                 square = v[:size].reshape(r + 1, r + 1)
                 ridge = 1e-6 * np.trace(square) / (r + 1) * np.eye(r + 1)
                 basis[i] = np.linalg.solve(square + ridge, v[size:] + ridge @ basis[i])
+        if many.any():
+            basis = _between(t, basis, many)
         scatter = {k[1]: max(float(np.sqrt(v[0] / v[1])), 1e-6) for k, v in total.items() if k[0] == "source" and v[1] >= 20}
         pooled = float(np.median(list(scatter.values()))) if scatter else pooled
     return Course(times, basis, scatter, pooled)

@@ -30,6 +30,14 @@ def test_time_points_and_empty(spark):
     assert empty.wide.count() == 0 and empty.contradictions.count() == 0 and time_points(dissolution(spark, [])) == []
 
 
+def test_rare_time_points_are_kept(spark):
+    many = spark.range(30_000).selectExpr("concat('B', id) as batch", "'0.1N HCl' as medium", "1 as run_no", "0.5D as time_h", "1D as percent_released")
+    rare = spark.createDataFrame([("B1", "0.1N HCl", 1, 0.75, 5.0)], many.schema)
+    rows = many.union(rare)
+    assert time_points(rows) == [30, 45]
+    assert curves_wide(rows, time_points(rows)).wide.where("batch_key = 'B1'").first().t_45 == 5.0
+
+
 def test_types_are_tried(spark):
     rows = spark.createDataFrame([("e", "a", "1.5"), ("e", "b", "x"), ("f", "b", "7")], "e string, k string, v string")
     got = {r.e: (r.a, r.b) for r in to_wide(rows, ["e"], "k", F.col("v"), [("a", "a", "double"), ("b", "b", "int")]).wide.collect()}

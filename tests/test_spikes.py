@@ -38,6 +38,13 @@ def test_planted_spikes_and_stuck_values(spark):
     assert planted <= found and len(found - planted) <= 3
 
 
+def test_rare_time_point(spark):
+    rows, _ = made_curves(3000)
+    rows += [("B00000001", "0.1N HCl", 1, 1.5, 115.0, "D1"), ("B00000002", "0.1N HCl", 1, 0.0, 0.1, "D2")]  # one reading each at 90 and at 0 minutes
+    found = {(r.batch_key, r.time_min, r.reason) for r in S.reading_flags(spark.createDataFrame(rows, ROWS)).collect()}
+    assert ("B00000001", 90, "spike") in found
+
+
 def test_stuck_with_gaps_and_two_readings():
     nan = np.nan
     low = np.array([[1, 1, nan, 1, 1, 2], [1, 1, 1, 2, 2, 2], [3, 5, 5, 4, 5, nan], [nan] * 6], dtype=float)
