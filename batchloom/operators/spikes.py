@@ -4,7 +4,8 @@ Release curves are profiles over a common time grid. Robust principal
 components separate their low-rank normal course from sparse spikes: a few
 components and the scatter of every instrument are fitted by expectation
 maximisation over all curves, readings far off their own course being left out
-from one pass to the next; then each reading is held against the course that
+from one pass to the next, until the fit changes by less than ``TOLERANCE``
+(``MOST_PASSES`` at most); then each reading is held against the course that
 the other readings of its curve imply. Cells of the batch table are held
 against the level of their formulation, the scatter being that of their
 equipment train in that column. Runs of equal values and ranges are tested
@@ -43,7 +44,8 @@ from batchloom.operators.reshape import time_points
 from batchloom.session import durable
 
 LOWEST, HIGHEST = -1.0, 130.0  # bounds of a reading in percent
-RANK, PASSES = 4, 5
+RANK, PASSES, MOST_PASSES = 4, 7, 40  # components, and the least and most passes that fit them
+TOLERANCE = 0.01  # change from one pass to the next, see moved(), below which the fit has settled
 TIMES_SCATTER = 8.0
 FEW = 20  # readings of a time point below which its course is read off the neighbouring ones
 RUN = 4  # successive equal values that count as stuck
@@ -206,6 +208,14 @@ def _between(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
+def moved(old: Course, new: Course) -> float:
+    """Largest change of a course: of scatters relative to themselves, of the mean to the pooled scatter, of the covariance to its largest entry."""
+    b, c = old.basis[:, :-1] @ old.basis[:, :-1].T, new.basis[:, :-1] @ new.basis[:, :-1].T
+    parts = [np.abs(new.basis[:, -1] - old.basis[:, -1]).max() / new.pooled, np.abs(c - b).max() / max(np.abs(c).max(), 1e-12)]
+    parts += [abs(s / old.scatter.get(k, old.pooled) - 1) for k, s in new.scatter.items()]
+    return float(max(parts))
+
+
 def fit_course(table: DataFrame, times: list[int]) -> Course:
     """Components and scatters of gridded curves (source, low, high)."""
     t = np.asarray(times, dtype=float)
@@ -235,7 +245,7 @@ def fit_course(table: DataFrame, times: list[int]) -> Course:
     basis = np.stack([*(60.0 / 3**k * slope * shape**k for k in range(r)), mean], 1)
     scatter: dict[str, float] = {}
     pooled = 3.0
-    for n_pass in range(PASSES):
+    for n_pass in range(MOST_PASSES):
         course = Course(times, basis, scatter, pooled)
 
         def sums(frames: Iterator[pd.DataFrame], course: Course = course, first: bool = n_pass == 0) -> Iterator[pd.DataFrame]:
@@ -285,6 +295,8 @@ def fit_course(table: DataFrame, times: list[int]) -> Course:
             basis = _between(t, basis, many)
         scatter = {k[1]: max(float(np.sqrt(v[0] / v[1])), 1e-6) for k, v in total.items() if k[0] == "source" and v[1] >= 20}
         pooled = float(np.median(list(scatter.values()))) if scatter else pooled
+        if n_pass + 1 >= PASSES and moved(course, Course(times, basis, scatter, pooled)) < TOLERANCE:
+            break
     return Course(times, basis, scatter, pooled)
 
 

@@ -45,6 +45,19 @@ def test_rare_time_point(spark):
     assert ("B00000001", 90, "spike") in found
 
 
+def test_fit_settles(spark, monkeypatch):
+    rows, _ = made_curves()
+    frame = spark.createDataFrame(rows, ROWS)
+    packed = durable(S.packed(S.curves(frame), list(TIMES)))
+    course = S.fit_course(packed, list(TIMES))
+    seen = []
+    moved = S.moved
+    monkeypatch.setattr(S, "moved", lambda a, b: seen.append(moved(a, b)) or seen[-1])
+    S.fit_course(packed, list(TIMES))
+    assert seen[-1] < S.TOLERANCE and all(x >= S.TOLERANCE for x in seen[:-1])
+    assert moved(course, course) == 0
+
+
 def test_stuck_with_gaps_and_two_readings():
     nan = np.nan
     low = np.array([[1, 1, nan, 1, 1, 2], [1, 1, 1, 2, 2, 2], [3, 5, 5, 4, 5, nan], [nan] * 6], dtype=float)
