@@ -2,8 +2,8 @@
 
 The grid of entities by attributes is completed, values are left joined onto
 it, collected in attribute order and projected to columns by position. Cells
-whose readings contradict one another are reported and left empty in the wide
-table, never merged.
+whose readings contradict one another carry both through the same grid and
+lists, are reported from there and left empty in the wide table, never merged.
 
 Defined results for odd input: a NULL or NaN value is no reading, so an entity
 with nothing else keeps its row with empty columns; rows without entity or
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.functions.domain import canonical_medium, finite, minute, squeezed
+from batchloom.session import durable, setting
 
 
 @dataclass(frozen=True)
@@ -35,23 +36,30 @@ def to_wide(rows: DataFrame, entity: Sequence[str], attribute: str, value: Colum
     Repeated and contradicting cells are settled by one aggregation that is
     combined before the shuffle, so that a hot entity or a cell sent a million
     times costs no more than any other. Entities are whatever ``entity``
-    names; one entity has at most ``len(attributes)`` cells, so no collected
-    array can grow with the data.
+    names; an entity's list has one place per different attribute it has or
+    is to have, so no collected array can grow with the number of rows.
+
+    After that aggregation all is laid out by entity once: the grid, the join
+    and the lists stay where they are. The finished lists are written to the
+    shared folder, and both results read them.
     """
     entity = list(entity)
+    spark = rows.sparkSession
     keyed = rows.where(F.expr(" and ".join(f"`{c}` is not null" for c in [*entity, attribute])))
-    keyed = keyed.select(*entity, F.col(attribute).alias("_attribute"), value.cast("string").alias("_value"))
+    keyed = keyed.select(*entity, F.col(attribute).alias("_attribute"), value.alias("_value"))
     # Of a cell only its smallest and largest reading are kept: more than one reading means they differ.
-    cells = keyed.groupBy(*entity, "_attribute").agg(F.min("_value").alias("_value"), F.max("_value").alias("_other"))
-    contradicting = cells.where("_value <> _other").select(*entity, F.col("_attribute").alias(attribute))
-    grid = cells.select(*entity).distinct()
-    places = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(a).alias("name")) for i, (a, _, _) in enumerate(attributes)])
-    places = places.cast(f"array<struct<at:int,name:{dict(rows.dtypes)[attribute]}>>")
-    grid = grid.select(*entity, F.explode(places).alias("p")).select(*entity, F.col("p.at").alias("_at"), F.col("p.name").alias("_attribute"))
-    single = cells.select(*entity, "_attribute", F.when(F.col("_value") == F.col("_other"), F.col("_value")).alias("_value"))
-    filled = grid.join(single, [*entity, "_attribute"], "left")
-    lists = filled.groupBy(*entity).agg(F.sort_array(F.collect_list(F.struct("_at", "_value"))).alias("_cells"))
-    columns = [F.get("_cells", F.lit(i))["_value"].try_cast(kind).alias(name) for i, (_, name, kind) in enumerate(attributes)]
+    cells = keyed.groupBy(*entity, "_attribute").agg(F.min("_value").alias("_value"), F.max("_value").alias("_other")).repartition(*entity)
+    kind = dict(rows.dtypes)[attribute]
+    places = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(a).alias("name")) for i, (a, _, _) in enumerate(attributes)]).cast(f"array<struct<at:int,name:{kind}>>")
+    grid = keyed.select(*entity).distinct().select(*entity, F.explode(places).alias("p")).select(*entity, F.col("p.name").alias("_attribute"), F.col("p.at").alias("_at"))
+    # A contradicting cell keeps both readings as far as the list; a cell beyond the grid is kept where it contradicts itself.
+    filled = grid.join(cells, [*entity, "_attribute"], "full").where("_at is not null or _value <> _other")
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        cell = F.struct(F.col("_at").isNull().alias("beyond"), "_at", "_attribute", "_value", "_other")
+        lists = durable(filled.groupBy(*entity).agg(F.sort_array(F.collect_list(cell)).alias("_cells")))
+    contradicting = lists.select(*entity, F.explode(F.filter("_cells", lambda c: c["_value"] != c["_other"])).alias("c")).select(*entity, F.col("c._attribute").alias(attribute))
+    at = lambda i: F.get("_cells", F.lit(i))
+    columns = [F.when(at(i)["_value"] == at(i)["_other"], at(i)["_value"].try_cast(to)).alias(name) for i, (_, name, to) in enumerate(attributes)]
     return Reshaped(lists.select(*entity, *columns), contradicting)
 
 

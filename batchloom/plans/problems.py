@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from batchloom.operators.bad_rows import load_rows
 from batchloom.operators.fill import Filled, apply_fills, fill_missing
 from batchloom.operators.spikes import cell_flags, reading_flags
-from batchloom.operators.reshape import curves_wide, named_as_listed, time_points
+from batchloom.operators.reshape import Reshaped, curves_wide, named_as_listed, time_points
 from batchloom.session import table
 
 
@@ -44,15 +44,18 @@ def p3_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_rows(table(spark, sf_dir, "raw_batch_rows"), table(spark, sf_dir, "variable_families")).valid
 
 
+def _curves(spark: SparkSession, sf_dir: str) -> Reshaped:
+    dissolution = table(spark, sf_dir, "dissolution")
+    return curves_wide(dissolution, time_points(dissolution))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reshaped = curves_wide(table(spark, sf_dir, "dissolution"), [])
-    return named_as_listed(reshaped.contradictions, batch_names(spark, sf_dir)).select("batch", "medium", "run_no", "time_min")
+    return named_as_listed(_curves(spark, sf_dir).contradictions, batch_names(spark, sf_dir)).select("batch", "medium", "run_no", "time_min")
 
 
 def p4_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per curve with a double column per time point."""
-    dissolution = table(spark, sf_dir, "dissolution")
-    wide = curves_wide(dissolution, time_points(dissolution)).wide
+    wide = _curves(spark, sf_dir).wide
     return named_as_listed(wide, batch_names(spark, sf_dir)).select("batch", *[c for c in wide.columns if c != "batch_key"])
 
 
@@ -113,17 +116,17 @@ cells AS (
 SELECT coalesce(names.batch, cells.k) AS batch, medium, run_no, time_min FROM cells LEFT JOIN names ON names.k = cells.k
 """
 
-_MINUTES = (10, 15, 20, 30, 45, 60, 90, 120, 180, 240, 360, 480, 600, 720, 960, 1440)
 _P4_WIDE = f"""
 WITH {_NAMES},
 cells AS (
   SELECT upper(replace(batch, ' ', '')) AS k, {_MEDIUM} AS medium, run_no, CAST(round(time_h * 60) AS INTEGER) AS m,
     min(CASE WHEN NOT isnan(percent_released) THEN percent_released END) AS lo,
     max(CASE WHEN NOT isnan(percent_released) THEN percent_released END) AS hi
-  FROM dissolution GROUP BY 1, 2, 3, 4)
-SELECT min(coalesce(names.batch, cells.k)) AS batch, medium, run_no,
-  {', '.join(f'min(CASE WHEN m = {m} AND lo = hi THEN lo END) AS t_{m}' for m in _MINUTES)}
-FROM cells LEFT JOIN names ON names.k = cells.k GROUP BY cells.k, medium, run_no
+  FROM dissolution WHERE batch IS NOT NULL AND medium IS NOT NULL AND run_no IS NOT NULL AND time_h IS NOT NULL GROUP BY 1, 2, 3, 4),
+named AS (
+  SELECT cells.k, coalesce(names.batch, cells.k) AS batch, medium, run_no, 't_' || m AS t, CASE WHEN lo = hi THEN lo END AS y
+  FROM cells LEFT JOIN names ON names.k = cells.k)
+SELECT * EXCLUDE (k) FROM (PIVOT named ON t USING min(y) GROUP BY k, batch, medium, run_no)
 """
 
 _P3 = r"""

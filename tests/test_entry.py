@@ -35,7 +35,7 @@ def test_general_part_stands_alone():
         "import sys\n"
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name.startswith('batchloom.llm'): raise ImportError(name)\n"
+        "        if name.startswith('batchloom.llm'): raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert 'p1_found' in e.queries() and 'p2_found' not in e.queries() and 'p2_found' not in e.oracle_sql()\n"
