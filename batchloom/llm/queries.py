@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from batchloom.llm.encoding import find_garbled, margin_report
 from batchloom.llm.leaks import find_leaks
@@ -22,6 +23,25 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_batches(table(spark, sf_dir, "batch_metadata"), table(spark, sf_dir, "split_targets"))
 
 
+def p2_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spanning forest over the formulations that batches or their sub-lots tie, one row per edge."""
+    return tied_batches(table(spark, sf_dir, "batch_metadata"))[1].edges
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each group of tied batches: how many there are, and over how many splits they spread."""
+    split = split_batches(table(spark, sf_dir, "batch_metadata"), table(spark, sf_dir, "split_targets")).where("group_formulation is not null")
+    return split.groupBy("group_formulation").agg(F.count("*").alias("n_batches"), F.countDistinct("split_name").alias("n_splits"))
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of each split, the share asked for and the share reached."""
+    targets = table(spark, sf_dir, "split_targets")
+    got = split_batches(table(spark, sf_dir, "batch_metadata"), targets).groupBy("split_name").agg(F.count("*").alias("n_batches"))
+    whole = F.sum("n_batches").over(Window.partitionBy())  # one row per split
+    return targets.join(got, "split_name", "left").select("split_name", "share", F.coalesce("n_batches", F.lit(0)).alias("n_batches"), (F.col("n_batches") / whole).alias("share_reached"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -66,4 +86,4 @@ def p8_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return margin_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p6_found": p6_found, "p6_items": p6_items, "p7_sample": p7_sample, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored, "p8_margin": p8_margin}
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_forest": p2_forest, "p2_groups": p2_groups, "p2_shares": p2_shares, "p6_found": p6_found, "p6_items": p6_items, "p7_sample": p7_sample, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored, "p8_margin": p8_margin}

@@ -9,8 +9,8 @@ stratified by size band and dealt systematically to the splits.
 
 All of it is joins and aggregations on distributed tables; each round's tables
 are written to the shared folder, so a lost executor costs one round at most.
-Only per-round counts, the targets and the few largest groups (each holding at
-least ``1/BIG`` of all records, hence at most ``BIG`` of them) reach the driver.
+Only per-round counts, the targets, one sum per split and size band, and the
+groups larger than a whole split reach the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from batchloom.functions.domain import formulation_number, stem
 from batchloom.session import durable
 
-BIG = 500
+APART = 1.0  # groups larger than this part of the smallest split are placed one by one
 BUCKETS = 1024
 GOLDEN = 0.6180339887498949
 
@@ -105,49 +105,57 @@ def tied_batches(metadata: DataFrame) -> tuple[DataFrame, Forest]:
 def deal(groups: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     """Assign ``groups`` (group_key, size) to splits of ``targets`` (split_name, share): adds ``split_name``.
 
-    Groups of at least ``1/BIG`` of all records go, largest first, to the
-    split that still lacks most. The rest is stratified into bands of sizes
-    between powers of two; the r-th group of a band, in hashed order, takes
-    the place frac(r * golden ratio) on the line along which the splits hold
-    what the large groups left them. Ranks come from counts per hash bucket, so
-    no band is sorted in one task. Without any positive share, or without
-    groups, the result is empty.
+    Groups are stratified into bands of sizes between powers of two, which are
+    dealt from the largest sizes down. The r-th group of a band, in hashed
+    order, takes the place frac(r * golden ratio) on a line along which every
+    split holds what it lacks once this band is dealt, so that what the few
+    groups of a high band left uneven is made up for by the many of the next.
+    Ranks come from counts per hash bucket, so no band is sorted in one task.
+
+    A group larger than ``APART`` times the smallest split cannot be dealt like
+    that: such groups, of which there are at most as many as smallest splits
+    would fill the table, go to the split that lacks most. Without any
+    positive share, or without groups, the result is empty.
     """
     spark = groups.sparkSession
-    shares = [(r.split_name, float(r.share)) for r in targets.where("share > 0 and split_name is not null").orderBy("split_name").collect()]
+    shares = {r.split_name: float(r.share) for r in targets.where("share > 0 and split_name is not null").groupBy("split_name").agg(F.sum("share").alias("share")).orderBy("split_name").collect()}
     schema = T.StructType([*groups.schema.fields, T.StructField("split_name", T.StringType())])
     total = groups.agg(F.sum("size")).first()[0]
     if not shares or not total:
         return spark.createDataFrame([], schema)
-    scale = sum(s for _, s in shares)
-    lack = {name: total * s / scale for name, s in shares}
-    big = groups.where(F.col("size") >= total / BIG).orderBy(F.desc("size"), "group_key").collect()
-    placed = []
-    for row in big:
-        name = max(lack, key=lambda k: (lack[k], k))
-        lack[name] -= row["size"]
-        placed.append((row["group_key"], name))
-    large = spark.createDataFrame(placed, "group_key string, split_name string")
-    rest = {k: max(v, 0.0) for k, v in lack.items()}
-    whole = sum(rest.values()) or 1.0
-    ends, at = [], 0.0
-    for k, v in rest.items():
-        at += v / whole
-        ends.append((k, at))
-    small = groups.where(F.col("size") < total / BIG)
-    hashed = small.withColumn("_h", F.xxhash64("group_key", F.lit(seed))).withColumn("_band", F.floor(F.log2("size")).cast("int"))
+    scale = sum(shares.values())
+    shares = {k: v / scale for k, v in shares.items()}
+    limit = APART * min(shares.values()) * total
+    got = dict.fromkeys(shares, 0.0)
+    apart = []
+    for row in groups.where(F.col("size") > limit).orderBy(F.desc("size"), "group_key").collect():
+        name = max(shares, key=lambda k: (total * shares[k] - got[k], k))
+        got[name] += row["size"]
+        apart.append((row["group_key"], name))
+    large = spark.createDataFrame(apart, "group_key string, split_name string")
+    hashed = groups.where(F.col("size") <= limit).withColumn("_h", F.xxhash64("group_key", F.lit(seed))).withColumn("_band", F.floor(F.log2("size")).cast("int"))
     hashed = durable(hashed.withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int")))
     counts = hashed.groupBy("_band", "_bucket").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_band").orderBy("_bucket")) - F.col("_n")).drop("_n")
     ranked = hashed.join(F.broadcast(before), ["_band", "_bucket"])  # at most 64 bands by BUCKETS buckets
     ranked = ranked.withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_band", "_bucket").orderBy("_h", "group_key")))
     place = F.col("_r") * F.lit(GOLDEN) + F.col("_band") * F.lit(0.37)
-    ranked = ranked.withColumn("_x", place - F.floor(place))
-    choice = F.lit(ends[-1][0])
-    for name, end in reversed(ends[:-1]):
-        choice = F.when(F.col("_x") < F.lit(end), F.lit(name)).otherwise(choice)
-    dealt = ranked.select(*groups.columns, choice.alias("split_name"))
-    return dealt.unionByName(groups.join(F.broadcast(large), "group_key").select(*groups.columns, "split_name"))
+    ranked = durable(ranked.select(*groups.columns, "_band", (place - F.floor(place)).alias("_x")))
+    sizes = {r["_band"]: r["s"] for r in ranked.groupBy("_band").agg(F.sum("size").alias("s")).collect()}
+    dealt = large.join(groups, "group_key").select(*groups.columns, "split_name")
+    done = sum(got.values())
+    for band in sorted(sizes, reverse=True):
+        done += sizes[band]
+        lacks = {k: max(done * v - got[k], 0.0) for k, v in shares.items()}
+        choice, at = F.lit(None).cast("string"), 0.0
+        for name, lack in lacks.items():
+            at += lack / sum(lacks.values())
+            choice = F.coalesce(choice, F.when(F.col("_x") < F.lit(at), F.lit(name)))
+        part = ranked.where(F.col("_band") == band).select(*groups.columns, F.coalesce(choice, F.lit(max(lacks, key=lambda k: lacks[k]))).alias("split_name"))
+        for r in part.groupBy("split_name").agg(F.sum("size").alias("s")).collect():
+            got[r["split_name"]] += r["s"]
+        dealt = dealt.unionByName(part)
+    return dealt
 
 
 def split_batches(metadata: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:

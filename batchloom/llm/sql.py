@@ -13,4 +13,7 @@ stems AS (SELECT stem, min(g) AS g FROM pairs JOIN low ON low.u = pairs.f GROUP
 SELECT DISTINCT named.batch, stems.g AS group_formulation FROM named JOIN stems ON stems.stem = named.stem
 """
 
-SQL = {"p2_found": P2_FOUND}
+P2_GROUPS = f"SELECT group_formulation, count(*) AS n_batches, 1::BIGINT AS n_splits FROM ({P2_FOUND}) GROUP BY group_formulation"
+
+# A forest has one edge less than nodes in each group; which edges span it is free, so only their number per group is fixed.
+SQL = {"p2_found": P2_FOUND, "p2_groups": P2_GROUPS}
