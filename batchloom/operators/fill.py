@@ -1,25 +1,28 @@
 """Filling missing values from similar records.
 
-A Chow-Liu dependency tree is fitted over the discretised measured fields and
-the category fields. Messages passed along it give every missing cell a
-posterior over its bins; the frequencies of the bins among the batches of the
-same formulation, else among batches made around the same time, are combined
-with it, and the median bin of a number, or the likeliest of a category, is
-decoded to the median or the most frequent label that those same batches have
-in it. Every cell without a usable value gets one and is marked; cells with one
-are not touched.
+A number is seen as the level of its group plus a distance from it. The level
+is the median of the formulation's values, or, where the formulation has none,
+of the batches made around the same time, else of all. A Chow-Liu dependency
+tree is fitted over the discretised distances and the category fields.
+Messages passed along it give every missing cell a posterior over its bins. A
+number is decoded to its level plus the median distance in the bin in which
+the posterior reaches one half; of a category the group's frequency of every
+label is combined with what the posterior says for it over the prior, and the
+likeliest is taken. Every cell without a usable value gets one and is marked;
+cells with one are not touched.
 
 Work is on distributed tables throughout. What reaches the driver has the size
-of the schema: bin edges, the counts of bin pairs (fields x bins squared) and
-the tree. Medians are of mergeable sketches, so no group is ever gathered.
+of the schema: medians per quarter of a year, counts per field and bin, the
+counts of bin pairs and the tree. Medians of formulations are exact; a
+formulation of any size is shared by several tasks.
 
 Defined results for odd input: NULL, NaN and infinite numbers, numbers that
 recur outside the bounds through the columns, values an earlier run filled in
 and words for "no value" are missing; a batch that appears several times keeps
-its first usable value per field by ``loaded_at``; a batch without metadata or
-without date is placed by the time it was loaded; a field without any usable
-value keeps NULL as value but is still reported as missing; NULL batches are
-left out; empty tables give empty results.
+its first usable value per field by ``loaded_at``, of those loaded at one time
+the smallest; a batch without metadata or without date is placed by the time it
+was loaded; a field without any usable value keeps NULL as value but is still
+reported as missing; NULL batches are left out; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,14 +32,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.functions.domain import finite, formulation_number, usable_word
+from batchloom.operators.longform import exact_middles
 from batchloom.session import durable
 
 CATEGORIES = ("scale", "equipment_train", "site", "operator_shift")
-BINS = 10  # bins of a measured field, and labels of a category field that get a bin of their own
+BINS = 9  # bins of a measured field
+LABELS = 1000  # labels of a category field with a bin of their own; rarer ones share one, and are told apart by the group's frequencies
+GROUP = 20_000  # batches of a formulation whose medians one task finds; those of more are found by counting, with the same result
+WIDTH, ZERO = 0.02, 40_000  # width of a bin of logarithms of distances, and what keeps their numbers positive
 PERIOD_MONTHS = 3  # batches made within one such period count as made around the same time
 
 
@@ -96,16 +103,20 @@ def find_rules(wide: DataFrame, families: DataFrame, record: DataFrame) -> Rules
 
 
 def first_usable(wide: DataFrame, rules: Rules) -> DataFrame:
-    """One row per batch with its first usable value of every measured column, and ``loaded_at``.
+    """One row per batch: ``v``, the array of its first usable value of every measured column, and ``_at``, when it was loaded first.
 
-    Batches are few rows each; the aggregation combines before the shuffle.
+    Rows of a batch are brought together in two aggregations, each combined
+    before its shuffle: first those loaded at one time, then all.
     """
-    columns = measured_columns(wide)
+    names = [f"c{i}" for i in range(len(measured_columns(wide)))]
     loaded = F.col("loaded_at") if "loaded_at" in wide.columns else F.lit(None).cast("timestamp_ntz")
-    clean = wide.where("batch is not null").select("batch", loaded.alias("_at"), *[rules.usable(c).alias(c) for c in columns])
-    order = lambda c: F.struct("_at", F.col(f"`{c}`"))
-    first = [F.min(F.when(F.col(f"`{c}`").isNotNull(), order(c)))[c].alias(c) for c in columns]
-    return clean.groupBy("batch").agg(F.min("_at").alias("_at"), *first)
+    clean = wide.where("batch is not null").select("batch", loaded.alias("_at"), *[rules.usable(c).alias(n) for c, n in zip(measured_columns(wide), names, strict=True)])
+    once = clean.groupBy("batch", "_at").agg(*[F.min(n).alias(n) for n in names])
+    # Rows without a time of loading come last.
+    order = F.coalesce(F.col("_at"), F.lit("9999-12-31").cast("timestamp_ntz"))
+    first = [F.min_by(n, F.when(F.col(n).isNotNull(), order)).alias(n) for n in names]
+    per = once.groupBy("batch").agg(F.min("_at").alias("_at"), *first)
+    return per.select("batch", "_at", F.array(*[F.col(n) for n in names]).cast("array<double>").alias("v"))
 
 
 def first_labels(metadata: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
@@ -119,13 +130,117 @@ def first_labels(metadata: DataFrame, categories: tuple[str, ...] = CATEGORIES)
 
 
 def merged_batches(wide: DataFrame, metadata: DataFrame, rules: Rules) -> DataFrame:
-    """Batches of either table, with ``in_wide``, ``in_metadata``, formulation, period and all fields."""
+    """Batches of either table: in_wide, in_metadata, formulation, period, ``v`` and the category fields."""
     a = first_usable(wide, rules).withColumn("in_wide", F.lit(True))
     b = first_labels(metadata).withColumn("in_metadata", F.lit(True))
     joined = a.join(b, "batch", "full")
     made = F.coalesce("manufacturing_date", "_at", "_seen")
     period = F.floor((F.year(made) * 12 + F.month(made) - 1) / PERIOD_MONTHS).cast("int")
-    return joined.withColumns({"in_wide": F.coalesce("in_wide", F.lit(False)), "in_metadata": F.coalesce("in_metadata", F.lit(False)), "period": period}).drop("_at", "_seen", "manufacturing_date")
+    none = F.array_repeat(F.lit(None).cast("double"), len(measured_columns(wide)))
+    return joined.select("batch", F.coalesce("in_wide", F.lit(False)).alias("in_wide"), F.coalesce("in_metadata", F.lit(False)).alias("in_metadata"), "formulation", period.alias("period"), F.coalesce("v", none).alias("v"), *CATEGORIES)
+
+
+def group_middles(v: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower middle, upper middle, number) of the known values of each row's group; ``group`` is sorted."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[first, len(group)])
+    order = np.lexsort((v, group))  # NaN comes last in each group
+    s = v[order]
+    n = np.add.reduceat((~np.isnan(v)).astype(np.int64), first)
+    low, high = s[first + np.maximum(n - 1, 0) // 2], s[first + np.minimum(n // 2, np.maximum(n - 1, 0))]
+    return np.repeat(low, size), np.repeat(high, size), np.repeat(n, size)
+
+
+def by_formulation(batches: DataFrame, inside: Column, hot: int) -> DataFrame:
+    """``batches`` with ``levels`` and ``bucket``: rows of one bucket are to be one task's.
+
+    Formulations share buckets and lie in one whole, with NULL as ``levels``.
+    Those of more than ``hot`` batches are spread over all buckets; their
+    ``levels`` give the two middle values per place of ``v``, found by
+    counting over all tasks. ``inside`` tells which values count, from
+    ``variable`` and ``value``.
+    """
+    sizes = durable(batches.where("formulation is not null").groupBy("formulation").count())
+    large = sizes.where(F.col("count") > hot).select("formulation")
+    n = sizes.agg(F.sum("count")).first()[0] or 0
+    own = F.when(F.col("formulation").isNull() | F.col("levels").isNotNull(), F.xxhash64("batch")).otherwise(F.xxhash64("formulation"))
+    if large.isEmpty():
+        marked = batches.withColumn("levels", F.lit(None).cast("map<int,array<double>>"))
+    else:
+        cells = batches.join(F.broadcast(large), "formulation").select("formulation", F.posexplode("v").alias("variable", "value"))  # at most n / hot formulations
+        mids = exact_middles(durable(cells.where(inside)), ["formulation", "variable"])
+        per = mids.groupBy("formulation").agg(F.map_from_entries(F.collect_list(F.struct("variable", F.array("low", "high")))).alias("levels"))
+        marked = batches.join(F.broadcast(per), "formulation", "left")
+    return marked.withColumn("bucket", F.pmod(own, F.lit(max(1, -(-n // hot)))).cast("int"))
+
+
+def middles_of(pdf: pd.DataFrame, v: np.ndarray, hot: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, lower middle, upper middle, number of values) per row of a bucket sorted by formulation."""
+    group = pdf["formulation"].fillna(2**62).astype(np.int64).to_numpy()
+    given = np.flatnonzero(pdf["levels"].notna())
+    levels = [dict(pdf["levels"].iat[k]) for k in given]
+    for f in range(v.shape[1]):
+        a, b, n = group_middles(v[:, f], group)
+        for k, known in zip(given, levels, strict=True):
+            got = known.get(f)
+            a[k], b[k], n[k] = (got[0], got[1], hot) if got is not None else (np.nan, np.nan, 0)
+        n[group == 2**62] = 0
+        yield f, a, b, n
+
+
+def period_levels(batches: DataFrame, width: int) -> dict[int | None, np.ndarray]:
+    """Medians of the places of ``v`` among the batches made in one period, and under None among all; there are four periods a year."""
+    mid = F.array(*[F.percentile_approx(F.get("v", F.lit(i)), 0.5, 1000) for i in range(width)]).cast("array<double>").alias("m")
+    known = batches.where("in_wide")
+    out = {r["period"]: np.array([np.nan if x is None else x for x in r["m"]]) for r in known.where("period is not null").groupBy("period").agg(mid).collect()}
+    r = known.agg(mid).first()
+    out[None] = np.array([np.nan if x is None else x for x in r["m"]]) if r["m"] is not None else np.full(width, np.nan)
+    return out
+
+
+def distances(batches: DataFrame, width: int, hot: int = GROUP) -> DataFrame:
+    """``batches`` with ``dist``, the distances of the known values from their levels, ``level`` and ``source``, of the missing ones in order.
+
+    ``source`` is 0 where the level is the formulation's, 1 the period's, 2 that
+    of all batches, 3 where there is none.
+    """
+    by_period = period_levels(batches, width)
+    blank = np.full(width, np.nan)
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("formulation", kind="stable", na_position="last").reset_index(drop=True)
+        v = np.stack(pdf["v"].to_numpy()).astype(float)
+        at, source = np.empty(v.shape), np.zeros(v.shape, dtype=np.int8)
+        for f, a, b, n in middles_of(pdf, v, hot):
+            at[:, f] = np.where(n > 0, (a + b) / 2, np.nan)
+        for k, others in ((1, np.stack([by_period.get(None if p != p else p, blank) for p in pdf["period"]])), (2, by_period[None][None, :])):
+            gone = np.isnan(at)
+            at, source = np.where(gone, others, at), np.where(gone, np.int8(k), source)
+        source[np.isnan(at)] = 3
+        gone = np.isnan(v)
+        out = pdf[["batch", "in_wide", "in_metadata", "formulation", "period", *CATEGORIES]].copy()
+        out["dist"] = [x.tobytes() for x in (v - at).astype(np.float32)]
+        out["level"] = [x[m].tobytes() for x, m in zip(at, gone, strict=True)]
+        out["source"] = [x[m].tobytes() for x, m in zip(source, gone, strict=True)]
+        return out
+
+    labels = ", ".join(f"{c} string" for c in CATEGORIES)
+    schema = f"batch string, in_wide boolean, in_metadata boolean, formulation long, period int, {labels}, dist binary, level binary, source binary"
+    return by_formulation(batches, F.col("value").isNotNull(), hot).groupBy("bucket").applyInPandas(level, schema)
+
+
+def unpacked(column: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.float32).reshape(len(column), width).astype(float)
+
+
+def _place(x: np.ndarray) -> np.ndarray:
+    """Number of the bin of signed logarithms that holds each distance, in the order of the distances; 0 for none."""
+    size = np.floor(np.log(np.maximum(np.abs(x), 1e-300)) / WIDTH).astype(np.int64) + ZERO
+    return np.where(x == 0, 0, np.where(x > 0, size, -size))
+
+
+def _distance(place: np.ndarray) -> np.ndarray:
+    return np.where(place == 0, 0.0, np.sign(place) * np.exp((np.abs(place) - ZERO + 0.5) * WIDTH))
 
 
 @dataclass(frozen=True)
@@ -133,7 +248,8 @@ class Coding:
     """How fields become bins 0..size-1; -1 is missing."""
 
     numbers: list[str]
-    edges: dict[str, list[float]]
+    edges: list[np.ndarray]  # per number the places (see _place) from which the next bin begins
+    middles: list[np.ndarray]  # per number the median distance in each bin
     labels: dict[str, list[str]]
 
     @property
@@ -142,50 +258,69 @@ class Coding:
 
     @property
     def sizes(self) -> list[int]:
-        return [len(self.edges[f]) + 1 for f in self.numbers] + [len(x) + 1 for x in self.labels.values()]
-
-    def code(self, field: str) -> Column:
-        col = F.col(f"`{field}`")
-        if field in self.edges:
-            at = F.lit(0)
-            for e in self.edges[field]:
-                at = at + F.when(col > e, 1).otherwise(0)
-            return F.when(col.isNull(), -1).otherwise(at).cast("short")
-        at = F.when(col.isNull(), -1)
-        for i, label in enumerate(self.labels[field]):
-            at = at.when(col == label, i)
-        return at.otherwise(len(self.labels[field])).cast("short")
-
-
-def fit_coding(batches: DataFrame, numbers: list[str]) -> Coding:
-    """Quantile bins from mergeable sketches, and the most frequent labels of each category."""
-    probs = [i / BINS for i in range(1, BINS)]
-    cuts = batches.agg(*[F.percentile_approx(F.col(f"`{c}`"), probs, 2000).alias(c) for c in numbers]).first() if numbers else None
-    tops = batches.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in numbers]).first() if numbers else None
-    edges = {c: sorted({float(x) for x in (cuts[c] or []) if tops[c] is not None and x < tops[c]}) for c in numbers}
-    labels: dict[str, list[str]] = {}
+        return [len(e) + 1 for e in self.edges] + [len(x) + 1 for x in self.labels.values()]
+
+    def codes(self, pdf: pd.DataFrame) -> np.ndarray:
+        """One row per row of ``pdf`` (dist and the categories), one column per field."""
+        x = unpacked(pdf["dist"], len(self.numbers))
+        out = np.full((len(pdf), len(self.fields)), -1, dtype=np.int64)
+        for f, edges in enumerate(self.edges):
+            known = ~np.isnan(x[:, f])
+            out[known, f] = np.searchsorted(edges, _place(x[known, f]), "right")
+        for f, (c, labels) in enumerate(self.labels.items(), len(self.numbers)):
+            known = pdf[c].notna().to_numpy()
+            out[known, f] = pdf[c][known].map({x: i for i, x in enumerate(labels)}).fillna(len(labels)).astype(np.int64)
+        return out
+
+
+def fit_coding(table: DataFrame, numbers: list[str]) -> Coding:
+    """Bins with about equal numbers of distances, from counts that add up over tasks, and the labels of each category."""
+    width = len(numbers)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                x = unpacked(pdf["dist"], width)
+                row, f = np.nonzero(~np.isnan(x))
+                keys, n = np.unique(np.stack([f, _place(x[row, f])]), axis=1, return_counts=True)
+                yield pd.DataFrame({"f": keys[0], "place": keys[1], "n": n})
+
+    got = table.select("dist").mapInPandas(count, "f int, place long, n long").groupBy("f", "place").agg(F.sum("n").alias("n")).toPandas()
+    edges, middles = [], []
+    for f in range(width):
+        mine = got[got["f"] == f].sort_values("place")
+        place, n = mine["place"].to_numpy(dtype=np.int64), mine["n"].to_numpy(dtype=float)
+        if not len(place):
+            edges.append(np.zeros(0, dtype=np.int64))
+            middles.append(np.zeros(1))
+            continue
+        middle = (np.cumsum(n) - n / 2) / n.sum()
+        part = np.minimum((middle * BINS).astype(int), BINS - 1)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        edges.append(place[starts[1:]])
+        middles.append(np.array([_distance(p[np.searchsorted(np.cumsum(k), k.sum() / 2)]) for p, k in zip(np.split(place, starts[1:]), np.split(n, starts[1:]), strict=True)], dtype=float))
+    labels = {}
     for c in CATEGORIES:
-        top = batches.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(BINS - 1)
+        top = table.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(LABELS)
         labels[c] = [r[0] for r in top.collect()]
-    return Coding(numbers, edges, labels)
+    return Coding(numbers, edges, middles, labels)
 
 
-def pair_counts(coded: DataFrame, coding: Coding) -> np.ndarray:
+def pair_counts(table: DataFrame, coding: Coding) -> np.ndarray:
     """Counts of every pair of (field, bin) over all batches, as one square matrix.
 
     Each partition multiplies its one-hot rows and sends one matrix of the
     size of the schema; Spark adds them up.
     """
-    sizes = coding.sizes
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(coding.sizes)]).astype(np.int64)
     width = int(starts[-1])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gram = np.zeros((width, width))
         for pdf in batches:
             if len(pdf):
-                codes = np.stack(pdf["codes"].to_numpy()).astype(np.int64)
-                for part in np.array_split(codes, max(1, len(codes) // 4096)):
+                codes = coding.codes(pdf)
+                for part in np.array_split(codes, -(-len(codes) // 4096)):
                     hot = np.zeros((len(part), width), dtype=np.float32)
                     row, field = np.nonzero(part >= 0)
                     hot[row, starts[field] + part[row, field]] = 1.0
@@ -193,7 +328,7 @@ def pair_counts(coded: DataFrame, coding: Coding) -> np.ndarray:
         i, j = np.nonzero(np.triu(gram))
         yield pd.DataFrame({"i": i, "j": j, "n": gram[i, j]})
 
-    total = coded.select("codes").mapInPandas(partial, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
+    total = table.select("dist", *CATEGORIES).mapInPandas(partial, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
     gram = np.zeros((width, width))
     gram[total["i"].to_numpy(dtype=int), total["j"].to_numpy(dtype=int)] = total["n"]
     return np.maximum(gram, gram.T)
@@ -284,71 +419,85 @@ class Filled:
     batches: DataFrame  # one row per batch with its usable values, as before filling
 
 
-def _group_bins(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group and field: the number of values, and per bin (bin, n, number, label)."""
-    per_bin = values.groupBy(*keys, "field", "bin").agg(
-        F.count("*").alias("n"), F.percentile_approx("number", 0.5, 1000).alias("number"), F.mode("label", True).alias("label")
-    )
-    return per_bin.groupBy(*keys, "field").agg(F.sum("n").alias("n"), F.collect_list(F.struct("bin", "n", "number", "label")).alias("bins"))
+def _label_counts(labels: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Per group and field: the labels with their bins and numbers; as many as the field has labels at most."""
+    counts = labels.groupBy(*keys, "field", "bin", "label").agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys, "field").agg(F.collect_list(F.struct("bin", "n", "label")).alias(name))
 
 
 def fill_missing(wide: DataFrame, metadata: DataFrame, families: DataFrame, record: DataFrame) -> Filled:
     """Fill every cell without a usable value; see the module's text for how."""
     rules = find_rules(wide, families, record)
     numbers = measured_columns(wide)
+    width = len(numbers)
     batches = durable(merged_batches(wide, metadata, rules))
-    coding = fit_coding(batches, numbers)
+    table = durable(distances(batches, width))
+    coding = fit_coding(table, numbers)
     fields, sizes = coding.fields, coding.sizes
-    coded = batches.select("batch", "in_wide", "in_metadata", "formulation", "period", F.array(*[coding.code(f) for f in fields]).alias("codes"))
-    tree = chow_liu(pair_counts(coded, coding), sizes)
-
-    n_numbers = len(numbers)
-    lacks = F.exists(F.slice("codes", 1, max(1, n_numbers)), lambda x: x < 0) & F.col("in_wide")
-    lacks = lacks | (F.exists(F.slice("codes", n_numbers + 1, len(CATEGORIES)), lambda x: x < 0) & F.col("in_metadata"))
+    tree = chow_liu(pair_counts(table, coding), sizes)
+    sources = np.array(["formulation", "time", "all", ""], dtype=object)
 
     def infer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
-            codes = np.stack(pdf["codes"].to_numpy()).astype(np.int64)
-            beliefs = posteriors(tree, codes, sizes)
-            wanted = codes < 0
-            wanted[:, :n_numbers] &= pdf["in_wide"].to_numpy(dtype=bool)[:, None]
-            wanted[:, n_numbers:] &= pdf["in_metadata"].to_numpy(dtype=bool)[:, None]
-            parts = []
+            codes = coding.codes(pdf)
+            gone = codes < 0
+            wanted = gone.copy()
+            wanted[:, :width] &= pdf["in_wide"].to_numpy(dtype=bool)[:, None]
+            wanted[:, width:] &= pdf["in_metadata"].to_numpy(dtype=bool)[:, None]
+            some = wanted.any(1)
+            if not some.any():
+                continue
+            beliefs = posteriors(tree, codes[some], sizes)
+            pdf, gone, wanted = pdf[some], gone[some], wanted[some]
+            level, source = np.full((len(pdf), width), np.nan), np.full((len(pdf), width), 3, dtype=np.int8)
+            level[gone[:, :width]] = np.frombuffer(b"".join(pdf["level"]))
+            source[gone[:, :width]] = np.frombuffer(b"".join(pdf["source"]), dtype=np.int8)
             for f in range(len(fields)):
-                rows = np.nonzero(wanted[:, f])[0]
-                if len(rows):
-                    part = pdf[["batch", "formulation", "period"]].iloc[rows].copy()
-                    part["field"] = f
-                    part["support"] = list((beliefs[f][rows] / tree.prior[f]).astype(np.float32))
-                    parts.append(part)
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    missing = coded.where(lacks).mapInPandas(infer, "batch string, formulation long, period int, field int, support array<float>")
-    missing = durable(missing)
-
-    entries = [F.struct(F.lit(i).alias("field"), F.get("codes", F.lit(i)).alias("bin"), (F.col(f"`{f}`") if i < n_numbers else F.lit(None)).cast("double").alias("number"), (F.lit(None) if i < n_numbers else F.col(f)).cast("string").alias("label")) for i, f in enumerate(fields)]
-    whole = batches.select("batch", "formulation", "period", F.array(*[coding.code(f) for f in fields]).alias("codes"), *[f"`{f}`" for f in fields])
-    values = whole.select("formulation", "period", F.explode(F.array(*entries)).alias("e")).select("formulation", "period", "e.*").where("bin >= 0")
-    by_form = _group_bins(values.where("formulation is not null"), ["formulation"]).select("formulation", "field", F.col("bins").alias("form_bins"))
-    by_period = _group_bins(values.where("period is not null"), ["period"]).select("period", "field", F.col("bins").alias("period_bins"))
-    overall = _group_bins(values, []).select("field", F.col("bins").alias("all_bins"))
-
-    bins = F.coalesce("form_bins", "period_bins", "all_bins")
-    # The group's frequency of the bin times what the other fields say for it over the field's own prior.
-    weights = F.array_sort(F.transform(bins, lambda x: F.struct(x["bin"].alias("bin"), (x["n"] * (F.get("support", x["bin"].cast("int")) + 1e-3)).alias("weight"), x["number"].alias("number"), x["label"].alias("label"))))
-    joined = missing.join(by_form, ["formulation", "field"], "left").join(by_period, ["period", "field"], "left").join(F.broadcast(overall), "field", "left")
+                rows = np.flatnonzero(wanted[:, f])
+                if not len(rows):
+                    continue
+                belief = beliefs[f][rows]
+                part = pdf[["batch", "formulation", "period"]].iloc[rows].copy()
+                part["field"] = f
+                if f < width:
+                    half = np.minimum((np.cumsum(belief, 1) < 0.5).sum(1), sizes[f] - 1)
+                    value = level[rows, f] + coding.middles[f][np.minimum(half, len(coding.middles[f]) - 1)]
+                    part["number"] = pd.array(np.where(np.isnan(value), 0.0, value), dtype="Float64")
+                    part.loc[np.isnan(value), "number"] = pd.NA
+                    part["taken_from"] = np.where(np.isnan(value), None, sources[source[rows, f]])
+                    part["support"] = None
+                else:
+                    part["number"], part["taken_from"] = pd.array([pd.NA] * len(rows), dtype="Float64"), None
+                    part["support"] = list((belief / tree.prior[f]).astype(np.float32))
+                yield part
+
+    missing = durable(table.mapInPandas(infer, "batch string, formulation long, period int, field int, number double, taken_from string, support array<float>"))
+
+    known = spark_labels(batches.sparkSession, coding)
+    entries = F.array(*[F.struct(F.lit(width + i).alias("field"), F.col(c).alias("label")) for i, c in enumerate(CATEGORIES)])
+    labels = batches.select("formulation", "period", F.explode(entries).alias("e")).select("formulation", "period", "e.*").where("label is not null")
+    # One row per label with a bin, at most LABELS of a field.
+    labels = labels.join(F.broadcast(known), ["field", "label"], "left").select("formulation", "period", "field", "label", F.coalesce("bin", F.lit(LABELS)).alias("bin"))
+    by_form = _label_counts(labels.where("formulation is not null"), ["formulation"], "form_bins")
+    by_period = _label_counts(labels.where("period is not null"), ["period"], "period_bins")
+    overall = _label_counts(labels, [], "all_bins")
+    # The group's frequency of the label times what the other fields say for its bin over the bin's prior.
+    weight = lambda x: x["n"] * (F.get("support", F.least(x["bin"].cast("int"), F.size("support") - 1)) + 1e-3)
+    likeliest = F.array_max(F.transform(F.coalesce("form_bins", "period_bins", "all_bins"), lambda x: F.struct(weight(x), x["label"].alias("label"))))["label"]
+    joined = missing.where("support is not null").join(by_form, ["formulation", "field"], "left").join(by_period, ["period", "field"], "left").join(F.broadcast(overall), "field", "left")
     source = F.when(F.col("form_bins").isNotNull(), "formulation").when(F.col("period_bins").isNotNull(), "time").when(F.col("all_bins").isNotNull(), "all")
-    names = F.array(*[F.lit(f) for f in fields]) if fields else F.array().cast("array<string>")
-    cells = joined.select("batch", F.get(names, F.col("field")).alias("field"), source.alias("taken_from"), weights.alias("w"))
-    # Numbers: the median of the bin in which the posterior reaches one half. Labels: that of the likeliest bin.
-    half = F.aggregate("w", F.lit(0.0), lambda a, x: a + x["weight"]) / 2
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("number"))
-    middle = F.aggregate("w", start, lambda a, x: F.struct((a["sum"] + x["weight"]).alias("sum"), F.when(a["sum"] < half, x["number"]).otherwise(a["number"]).alias("number")))
-    likeliest = F.array_max(F.transform("w", lambda x: F.struct(x["weight"], x["label"].alias("label"))))["label"]
-    return Filled(cells.select("batch", "field", middle["number"].alias("number"), likeliest.alias("label"), "taken_from"), tree, coding, rules, batches)
+    words = joined.select("batch", "field", F.lit(None).cast("double").alias("number"), likeliest.alias("label"), source.alias("taken_from"))
+    figures = missing.where("support is null").select("batch", "field", "number", F.lit(None).cast("string").alias("label"), "taken_from")
+    names = F.array(*[F.lit(f) for f in fields])
+    cells = durable(figures.unionByName(words).withColumn("field", F.get(names, F.col("field"))))
+    return Filled(cells, tree, coding, rules, batches)
+
+
+def spark_labels(spark: SparkSession, coding: Coding) -> DataFrame:
+    rows = [(len(coding.numbers) + i, x, k) for i, own in enumerate(coding.labels.values()) for k, x in enumerate(own)]
+    return spark.createDataFrame(rows, "field int, label string, bin int")
 
 
 def apply_fills(filled: Filled) -> DataFrame:
@@ -358,9 +507,7 @@ def apply_fills(filled: Filled) -> DataFrame:
     """
     per_batch = filled.cells.groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("number", "label")))).alias("_fills"))
     joined = filled.batches.join(per_batch, "batch", "left")
-    numbers = [F.coalesce(F.col(f"`{c}`"), F.col("_fills")[c]["number"]).alias(c) for c in filled.coding.numbers]
+    numbers = [F.coalesce(F.get("v", F.lit(i)), F.col("_fills")[c]["number"]).alias(c) for i, c in enumerate(filled.coding.numbers)]
     labels = [F.coalesce(F.col(c), F.col("_fills")[c]["label"]).alias(c) for c in CATEGORIES]
     marks = F.coalesce(F.array_sort(F.map_keys("_fills")), F.array().cast("array<string>"))
     return joined.select("batch", "formulation", *numbers, *labels, marks.alias("filled"))
-
-

@@ -67,24 +67,36 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when((n >= 3) & varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def exact_quantile(cells: DataFrame, share: float = 0.5) -> DataFrame:
-    """(variable, quantile): exact quantile with linear interpolation, without gathering a variable's values.
+def _bracketed(cells: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
+    """(keys, part, low, high): the values that enclose the quantile, ``part`` of the way between them, without gathering a group's values.
 
     A sketch brackets the quantile; only the values inside the bracket are
     counted exactly, each different value once.
     """
-    known = cells.where("value is not null").select("variable", "value")
+    keys = list(keys)
+    known = cells.where("value is not null").select(*keys, "value")
     edges = [max(0.0, share - 0.002), min(1.0, share + 0.002)]
-    near = known.groupBy("variable").agg(F.count("*").alias("n"), F.percentile_approx("value", edges, 10000).alias("e"))
+    near = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("value", edges, 10000).alias("e"))
     position = (F.col("n") - 1) * F.lit(share)
-    near = near.select("variable", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"), F.floor(position).alias("k"), (position - F.floor(position)).alias("part"))
-    marked = known.join(F.broadcast(near), "variable")  # one row per column
-    counted = marked.groupBy("variable", "k", "part", F.when(F.col("value") < F.col("lo"), F.lit(None).cast("double")).otherwise(F.when(F.col("value") <= F.col("hi"), F.col("value")).otherwise(F.lit(float("inf")))).alias("value")).agg(F.count("*").alias("c"))
+    near = near.select(*keys, F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"), F.floor(position).alias("k"), (position - F.floor(position)).alias("part"))
+    marked = known.join(F.broadcast(near), keys)  # one row per column or hot group
+    counted = marked.groupBy(*keys, "k", "part", F.when(F.col("value") < F.col("lo"), F.lit(None).cast("double")).otherwise(F.when(F.col("value") <= F.col("hi"), F.col("value")).otherwise(F.lit(float("inf")))).alias("value")).agg(F.count("*").alias("c"))
     # The bracket's neighbours are needed where few values leave one of the two ranks just outside it.
-    beyond = marked.groupBy("variable").agg(F.min(F.when(F.col("value") > F.col("hi"), F.col("value"))).alias("next"), F.max(F.when(F.col("value") < F.col("lo"), F.col("value"))).alias("prev"))
+    beyond = marked.groupBy(*keys).agg(F.min(F.when(F.col("value") > F.col("hi"), F.col("value"))).alias("next"), F.max(F.when(F.col("value") < F.col("lo"), F.col("value"))).alias("prev"))
     inside = counted.where("value is null or value < double('inf')")
-    running = Window.partitionBy("variable").orderBy(F.asc_nulls_first("value"))
-    ranked = inside.withColumn("upto", F.sum("c").over(running)).join(F.broadcast(beyond), "variable").withColumn("value", F.coalesce("value", "prev"))
+    running = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("value"))
+    ranked = inside.withColumn("upto", F.sum("c").over(running)).join(F.broadcast(beyond), keys).withColumn("value", F.coalesce("value", "prev"))
     at = lambda k: F.min_by("value", F.when(F.col("upto") > k, F.col("upto")))
-    out = ranked.groupBy("variable", "k", "part").agg(at(F.col("k")).alias("low"), F.coalesce(at(F.col("k") + 1), F.min("next"), at(F.col("k"))).alias("high"))
+    return ranked.groupBy(*keys, "k", "part").agg(at(F.col("k")).alias("low"), F.coalesce(at(F.col("k") + 1), F.min("next"), at(F.col("k"))).alias("high"))
+
+
+def exact_quantile(cells: DataFrame, share: float = 0.5) -> DataFrame:
+    """(variable, quantile): exact quantile with linear interpolation."""
+    out = _bracketed(cells, ["variable"], share)
     return out.select("variable", (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("quantile"))
+
+
+def exact_middles(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, low, high): the two values in the middle of each group's sorted ``value``, one and the same where their number is odd."""
+    out = _bracketed(cells, keys, 0.5)
+    return out.select(*keys, "low", F.when(F.col("part") > 0, F.col("high")).otherwise(F.col("low")).alias("high"))

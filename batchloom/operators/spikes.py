@@ -1,35 +1,37 @@
 """Implausible readings, per source: spikes, stuck values and impossible values.
 
-Release curves are profiles over a common time grid. Robust principal
-components separate their low-rank normal course from sparse spikes: a few
-components and the scatter of every instrument are fitted by expectation
-maximisation over all curves, readings far off their own course being left out
-from one pass to the next, until the fit changes by less than ``TOLERANCE``
-(``MOST_PASSES`` at most); then each reading is held against the course that
-the other readings of its curve imply. Cells of the batch table are held
-against the level of their formulation, the scatter being that of their
-equipment train in that column. Runs of equal values and ranges are tested
-separately.
-
-The components are shared by all instruments, since what a curve looks like
-does not depend on who measured it, and rare time points have too few readings
-per instrument; the scatter is each instrument's own. A pass over the curves
-sends sums of the size of the grid to the driver, never curves.
+Both kinds of readings are matrices whose normal part is of low rank and whose
+spikes are sparse: release curves (rows) over a common time grid, one matrix
+per instrument, and batches (rows) over the measured columns, one matrix per
+equipment train, as distances from the level of the formulation in units of
+the train's usual scatter. Robust principal components separate the two: a few
+components and the scatter of every source are fitted by expectation
+maximisation, readings far off their own row's course being left out from one
+pass to the next, until the fit changes by less than ``TOLERANCE``
+(``MOST_PASSES`` at most); then each reading is held against what the other
+readings of its row imply. What stands out in the batch table is checked
+exactly against the level of the formulation. Runs of equal values and ranges
+are tested separately.
+
+Every source has components of its own. They are drawn to those of all sources
+together by ``SHRINK`` readings' worth of weight in each column, since rare
+time points have a handful of readings per instrument. A pass sends sums of
+the size of the grid, per source, to the driver, never rows.
 
 Defined results for odd input: NULL, NaN and infinite readings are no readings;
-rows sent twice count once; of contradicting readings in one cell each is
-tested on its own, and neither enters the course; a time point of fewer than
-``FEW`` readings takes the course between its neighbours; a curve without instrument is
-held against the pooled scatter; curves of fewer than four readings, batches
-without formulation and columns without scatter are only tested for ranges and
-runs, batches without train or date not for runs; a batch without train is held
-against the widest scatter of any train; NULL batches are left out; empty
-tables give empty results.
+rows sent twice count once; of contradicting readings in one cell the smallest
+and the largest are tested, each on its own, and neither enters the course; a
+time point of fewer than ``FEW`` readings takes the course between its
+neighbours; a row without source is held against the components of all, a curve
+at their pooled scatter, a batch at the widest scatter of any train; curves of
+fewer than four readings, batches without formulation and columns without
+scatter are only tested for ranges and runs, batches without train or date not
+for runs; NULL batches are left out; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,35 +41,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from batchloom.functions.domain import canonical_medium, finite, minute, squeezed
-from batchloom.operators.fill import Rules, find_rules, first_labels, measured_columns
+from batchloom.operators.fill import Rules, by_formulation, find_rules, first_labels, measured_columns, middles_of
 from batchloom.operators.reshape import time_points
 from batchloom.session import durable
 
 LOWEST, HIGHEST = -1.0, 130.0  # bounds of a reading in percent
-RANK, PASSES, MOST_PASSES = 4, 7, 40  # components, and the least and most passes that fit them
-TOLERANCE = 0.01  # change from one pass to the next, see moved(), below which the fit has settled
+RANK, CELL_RANK = 4, 3  # components of curves and of batches
+PASSES, MOST_PASSES = 7, 40  # the least and most passes that fit them
+SHRINK = 40  # readings that the components of all sources count for in those of one
+STANDS_OUT = 5.0  # scatters off its row's course from which a cell of the batch table is checked
+TOLERANCE, OWN_TOLERANCE = 0.01, 0.05  # change from one pass to the next, see moved(), below which the fit of all sources, and of each, has settled
 TIMES_SCATTER = 8.0
 FEW = 20  # readings of a time point below which its course is read off the neighbouring ones
 RUN = 4  # successive equal values that count as stuck
 BIN, EMPTY = 0.04, -40_000  # width of a bin of logarithms, and the bin of zeros
-HOT = 20_000  # batches of a formulation that one task takes as a whole
+HOT = 20_000  # batches of a formulation whose middle one task finds; that of more is found by counting, with the same result
 CHUNK, MARGIN = 5_000, 64  # batches of a train searched for runs at a time, and those of the neighbours looked at
-FEW_VALUES = 12  # columns with no more different values are settings
-# Columns that follow from other columns or tables.
-DERIVED = ("hpmc_mg", "lactose_pct_ww", "q30_pct")
+FEW_VALUES = 12  # runs in columns with no more different values are settings, not stuck values
 
 
 @dataclass
 class Course:
-    """Time grid, mean and components (rows per time point, last column the mean), and scatter per source."""
+    """Mean (last column) and components of all sources together and of each, rows per column of the matrix; and the scatters."""
 
-    times: list[int]
     basis: np.ndarray
-    scatter: dict[str, float]
     pooled: float
+    own: dict[str, np.ndarray]
+    scatter: dict[str, float]
+
+    def of(self, source: str) -> tuple[np.ndarray, float]:
+        return self.own.get(source, self.basis), self.scatter.get(source, self.pooled)
+
 
-    def sigma(self, sources: pd.Series) -> np.ndarray:
-        return sources.map(self.scatter).fillna(self.pooled).to_numpy(dtype=float)
+def by_source(pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
+    """Sources of some rows, and the places of the rows of each."""
+    yield from pdf.reset_index(drop=True).groupby("source").indices.items()
 
 
 def curves(dissolution: DataFrame) -> DataFrame:
@@ -149,29 +157,28 @@ def stuck(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def _posterior(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _posterior(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance of the component scores of each row, given its seen readings."""
     b, mean = basis[:, :-1], basis[:, -1]
     r = b.shape[1]
-    precision = 1.0 / sigma**2
     outer = (b[:, :, None] * b[:, None, :]).reshape(len(b), r * r)
-    a = (seen @ outer).reshape(-1, r, r) * precision[:, None, None] + np.eye(r)
+    a = (seen @ outer).reshape(-1, r, r) / sigma**2 + np.eye(r)
     rest = np.where(seen, y - mean, 0.0)
     cov = np.linalg.inv(a)
-    return np.einsum("nij,nj->ni", cov, (rest @ b) * precision[:, None]), cov
+    return np.einsum("nij,nj->ni", cov, (rest @ b) / sigma**2), cov
 
 
-def deleted_residuals(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def deleted_residuals(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each reading: its distance from the course that the row's other readings imply, and the share of its variance left."""
     z, cov = _posterior(y, seen, basis, sigma)
     b = basis[:, :-1]
     fit = basis[:, -1] + z @ b.T
-    leverage = np.einsum("ti,nij,tj->nt", b, cov, b) / (sigma**2)[:, None]
+    leverage = (cov.reshape(len(cov), -1) @ (b[:, :, None] * b[:, None, :]).reshape(len(b), -1).T) / sigma**2
     left = np.where(seen, np.clip(1 - leverage, 0.02, 1.0), 1.0)
     return (y - fit) / left, left
 
 
-def settle(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: np.ndarray, limit: float) -> np.ndarray:
+def settle(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: float, limit: float) -> np.ndarray:
     """``seen`` without the readings off their course, found one by one, the farthest of a row first.
 
     At least three readings of a row are kept, whatever they are.
@@ -181,11 +188,11 @@ def settle(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: np.ndarray
     for _ in range(y.shape[1]):
         if not len(active):
             break
-        d, left = deleted_residuals(y[active], seen[active], basis, sigma[active])
+        d, left = deleted_residuals(y[active], seen[active], basis, sigma)
         score = np.where(seen[active], np.abs(d) * np.sqrt(left), -1.0)
         worst = score.argmax(1)
         rows = np.arange(len(active))
-        bad = (np.abs(d[rows, worst]) > limit * sigma[active]) & (score[rows, worst] > limit * 0.6 * sigma[active]) & (seen[active].sum(1) > 3)
+        bad = (np.abs(d[rows, worst]) > limit * sigma) & (score[rows, worst] > limit * 0.6 * sigma) & (seen[active].sum(1) > 3)
         active, worst = active[bad], worst[bad]
         seen[active, worst] = False
     return seen
@@ -209,17 +216,88 @@ def _between(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def moved(old: Course, new: Course) -> float:
-    """Largest change of a course: of scatters relative to themselves, of the mean to the pooled scatter, of the covariance to its largest entry."""
-    b, c = old.basis[:, :-1] @ old.basis[:, :-1].T, new.basis[:, :-1] @ new.basis[:, :-1].T
-    parts = [np.abs(new.basis[:, -1] - old.basis[:, -1]).max() / new.pooled, np.abs(c - b).max() / max(np.abs(c).max(), 1e-12)]
-    parts += [abs(s / old.scatter.get(k, old.pooled) - 1) for k, s in new.scatter.items()]
+    """Largest change of a course: of scatters relative to themselves, of means to the scatter, of covariances to their largest entry."""
+    parts = [abs(x / old.of(k)[1] - 1) for k, x in new.scatter.items()]
+    for k in ("", *new.own):
+        (a, _), (b, sigma) = old.of(k), new.of(k)
+        c, d = a[:, :-1] @ a[:, :-1].T, b[:, :-1] @ b[:, :-1].T
+        parts += [np.abs(b[:, -1] - a[:, -1]).max() / sigma, np.abs(d - c).max() / max(np.abs(d).max(), 1e-12)]
     return float(max(parts))
 
 
-def fit_course(table: DataFrame, times: list[int]) -> Course:
-    """Components and scatters of gridded curves (source, low, high)."""
+def fit_course(table: DataFrame, start: Course, usable: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], between: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Course:
+    """Components and scatters of the rows of ``table`` (source, low, high), of which ``usable`` gives (readings, fit for the course).
+
+    First the components of all sources together are fitted until they settle,
+    then, from there, those of each source. ``between`` mends the components of
+    columns with too few readings.
+    """
+    width, r = start.basis.shape[0], start.basis.shape[1] - 1
+    size = (r + 1) ** 2
+    course, together = start, True
+    for n_pass in range(MOST_PASSES):
+
+        def sums(frames: Iterator[pd.DataFrame], course: Course = course, limit: float = 5.0 if n_pass else 6.0) -> Iterator[pd.DataFrame]:
+            total: dict[str, np.ndarray] = {}
+            for pdf in frames:
+                if not len(pdf):
+                    continue
+                values, fit = usable(pdf)
+                for source, at in by_source(pdf):
+                    y, seen = values[at], fit[at]
+                    enough = seen.sum(1) >= 4
+                    y, seen = y[enough], seen[enough]
+                    if not len(y):
+                        continue
+                    basis, sigma = course.of(source)
+                    seen = settle(y, seen, basis, sigma, limit)
+                    z, cov = _posterior(y, seen, basis, sigma)
+                    za = np.concatenate([z, np.ones((len(z), 1))], 1)
+                    zz = za[:, :, None] * za[:, None, :]
+                    zz[:, :r, :r] += cov
+                    w = seen.astype(float)
+                    d, left = deleted_residuals(y, seen, basis, sigma)
+                    part = np.concatenate([w.T @ zz.reshape(len(z), -1), np.where(seen, y, 0.0).T @ za, (w * d**2 * left).sum(0)[:, None]], 1)
+                    total[source] = total.get(source, 0.0) + part
+            rows = [(s, i, row.tolist()) for s, part in total.items() for i, row in enumerate(part)]
+            yield pd.DataFrame(rows, columns=["source", "i", "parts"])
+
+        got = table.select("source", "low", "high").mapInPandas(sums, "source string, i int, parts array<double>")
+        added = got.select("source", "i", F.posexplode("parts").alias("at", "x")).groupBy("source", "i", "at").agg(F.sum("x").alias("x"))
+        lists = added.groupBy("source", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("x"))
+        total = {}
+        for row in lists.collect():  # sources by columns, a few numbers each
+            total.setdefault(row["source"], np.zeros((width, size + r + 2)))[row["i"]] = row["x"]
+        scatter = {k: max(float(np.sqrt(v[:, -1].sum() / v[:, size - 1].sum())), 1e-6) for k, v in total.items() if k and v[:, size - 1].sum() >= 20}
+        pooled = float(np.median(list(scatter.values()))) if scatter else course.pooled
+        weight = {k: course.of(k)[1] ** -2 for k in total}
+        before = course
+        square = sum((v[:, :size] * weight[k] for k, v in total.items()), np.zeros((width, size))).reshape(width, r + 1, r + 1)
+        cross = sum((v[:, size:-1] * weight[k] for k, v in total.items()), np.zeros((width, r + 1)))
+        known = square[:, r, r] > 0
+        # What one reading tells of a column's components on average; of a column never read, nothing.
+        each = np.where(known[:, None, None], square / np.where(known, square[:, r, r], 1.0)[:, None, None], np.eye(r + 1))
+        if together:
+            ridge = 1e-6 * np.trace(each, axis1=1, axis2=2)[:, None, None] / (r + 1) * np.eye(r + 1) * np.maximum(square[:, r, r], 1e-9)[:, None, None]
+            basis = np.linalg.solve(square + ridge, (cross + np.einsum("tij,tj->ti", ridge, course.basis))[:, :, None])[:, :, 0]
+            course = Course(between(np.where(known[:, None], basis, course.basis)), pooled, {}, scatter)
+            together = n_pass + 1 < PASSES or moved(before, course) >= TOLERANCE
+            continue
+        own = {}
+        prior = SHRINK * each
+        for k, v in total.items():
+            if k:
+                told = v[:, size:-1] + np.einsum("tij,tj->ti", prior, course.basis)
+                own[k] = np.linalg.solve(v[:, :size].reshape(width, r + 1, r + 1) + prior + 1e-9 * np.eye(r + 1), told[:, :, None])[:, :, 0]
+        course = Course(course.basis, pooled, own, scatter)
+        if moved(before, course) < OWN_TOLERANCE:
+            break
+    return course
+
+
+def start_of_curves(table: DataFrame, times: list[int]) -> tuple[Course, Callable[[np.ndarray], np.ndarray]]:
+    """A first course from the mean readings of the time points, and what reads the course of rare time points off their neighbours."""
     t = np.asarray(times, dtype=float)
-    r = RANK
 
     def middles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((2, len(times)))
@@ -242,62 +320,8 @@ def fit_course(table: DataFrame, times: list[int]) -> Course:
     share = np.clip(mean / 100, 0.02, 0.98)
     slope = share * (1 - share)
     shape = np.log(share / (1 - share))
-    basis = np.stack([*(60.0 / 3**k * slope * shape**k for k in range(r)), mean], 1)
-    scatter: dict[str, float] = {}
-    pooled = 3.0
-    for n_pass in range(MOST_PASSES):
-        course = Course(times, basis, scatter, pooled)
-
-        def sums(frames: Iterator[pd.DataFrame], course: Course = course, first: bool = n_pass == 0) -> Iterator[pd.DataFrame]:
-            square, cross = np.zeros((len(times), r + 1, r + 1)), np.zeros((len(times), r + 1))
-            by: dict[str, np.ndarray] = {}
-            for pdf in frames:
-                if not len(pdf):
-                    continue
-                y, seen, _, _ = _usable(pdf)
-                enough = seen.sum(1) >= 4
-                pdf, y, seen = pdf[enough], y[enough], seen[enough]
-                if not len(pdf):
-                    continue
-                sigma = course.sigma(pdf["source"])
-                seen = settle(y, seen, course.basis, sigma, 6.0 if first else 5.0)
-                z, cov = _posterior(y, seen, course.basis, sigma)
-                one = np.ones((len(z), 1))
-                za = np.concatenate([z, one], 1)
-                zz = za[:, :, None] * za[:, None, :]
-                zz[:, :r, :r] += cov
-                w = seen / sigma[:, None] ** 2
-                square += np.einsum("nt,nij->tij", w, zz, optimize=True)
-                cross += (w * y).T @ za
-                d, left = deleted_residuals(y, seen, course.basis, sigma)
-                e = np.where(seen, d * np.sqrt(left), 0.0)
-                for s, k in pdf.reset_index(drop=True).groupby("source").indices.items():
-                    by[s] = by.get(s, np.zeros(2)) + [np.square(e[k]).sum(), seen[k].sum()]
-            rows = [("basis", str(i), [*square[i].ravel(), *cross[i]]) for i in range(len(times))]
-            rows += [("source", s, list(v)) for s, v in by.items()]
-            yield pd.DataFrame(rows, columns=["kind", "name", "parts"])
-
-        got = table.select("source", "low", "high").mapInPandas(sums, "kind string, name string, parts array<double>")
-        added = got.select("kind", "name", F.posexplode("parts").alias("at", "x")).groupBy("kind", "name", "at").agg(F.sum("x").alias("x"))
-        total: dict[tuple[str, str], dict[int, float]] = {}
-        for row in added.collect():  # grid and sources times a few numbers
-            total.setdefault((row["kind"], row["name"]), {})[row["at"]] = row["x"]
-        size = (r + 1) ** 2
-        basis = course.basis.copy()
-        for i in range(len(times)):
-            parts = total.get(("basis", str(i)))
-            if parts and parts[size - 1] > 0:
-                v = np.array([parts[j] for j in range(size + r + 1)])
-                square = v[:size].reshape(r + 1, r + 1)
-                ridge = 1e-6 * np.trace(square) / (r + 1) * np.eye(r + 1)
-                basis[i] = np.linalg.solve(square + ridge, v[size:] + ridge @ basis[i])
-        if many.any():
-            basis = _between(t, basis, many)
-        scatter = {k[1]: max(float(np.sqrt(v[0] / v[1])), 1e-6) for k, v in total.items() if k[0] == "source" and v[1] >= 20}
-        pooled = float(np.median(list(scatter.values()))) if scatter else pooled
-        if n_pass + 1 >= PASSES and moved(course, Course(times, basis, scatter, pooled)) < TOLERANCE:
-            break
-    return Course(times, basis, scatter, pooled)
+    basis = np.stack([*(60.0 / 3**k * slope * shape**k for k in range(RANK)), mean], 1)
+    return Course(basis, 3.0, {}, {}), lambda x: _between(t, x, many) if many.any() else x
 
 
 def reading_flags(dissolution: DataFrame) -> DataFrame:
@@ -308,24 +332,27 @@ def reading_flags(dissolution: DataFrame) -> DataFrame:
     times = time_points(dissolution)
     if not times:
         return out
-    table = durable(packed(curves(dissolution), times))
-    course = fit_course(table, times)
+    # Rows of one source together, so that each batch of rows holds few sources.
+    table = durable(packed(curves(dissolution), times).sortWithinPartitions("source"))
+    start, between = start_of_curves(table, times)
+    course = fit_course(table, start, lambda pdf: _usable(pdf)[:2], between)
 
     def flag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = np.asarray(course.times)
+        at = np.asarray(times)
         for pdf in frames:
             if not len(pdf):
                 continue
             y, fit, held, high = _usable(pdf)
             low = np.where(np.isnan(high), np.nan, y)
-            sigma = course.sigma(pdf["source"])
-            kept = settle(y, fit, course.basis, sigma, TIMES_SCATTER)
-            # The course of the readings kept, against which all others are held.
-            z, _ = _posterior(y, kept, course.basis, sigma)
-            expected = course.basis[:, -1] + z @ course.basis[:, :-1].T
-            enough = (kept.sum(1) >= 3)[:, None]
-            far = lambda v: np.nan_to_num(np.abs(v - expected)) > TIMES_SCATTER * sigma[:, None]
-            spike = enough & ~kept & ~np.isnan(low) & ~held & (far(low) | far(high))
+            spike = np.zeros(y.shape, dtype=bool)
+            for source, rows in by_source(pdf):
+                basis, sigma = course.of(source)
+                kept = settle(y[rows], fit[rows], basis, sigma, TIMES_SCATTER)
+                # The course of the readings kept, against which all others are held.
+                z, _ = _posterior(y[rows], kept, basis, sigma)
+                expected = basis[:, -1] + z @ basis[:, :-1].T
+                far = (np.nan_to_num(np.abs(low[rows] - expected)) > TIMES_SCATTER * sigma) | (np.nan_to_num(np.abs(high[rows] - expected)) > TIMES_SCATTER * sigma)
+                spike[rows] = (kept.sum(1) >= 3)[:, None] & ~kept & ~np.isnan(low[rows]) & ~held[rows] & far
             for name, mask in (("stuck", held), ("spike", spike)):
                 row, col = np.nonzero(mask)
                 if len(row):
@@ -339,24 +366,16 @@ def reading_flags(dissolution: DataFrame) -> DataFrame:
 
 
 def _labelled_batches(wide: DataFrame, metadata: DataFrame, rules: Rules, columns: list[str]) -> DataFrame:
-    """One row per batch: formulation, train, date, and the array of its values; of different ones in a cell the smallest."""
-    values = wide.where("batch is not null").groupBy("batch").agg(*[F.min(rules.usable(c)).alias(c) for c in columns])
-    values = values.select("batch", F.array(*[F.col(f"`{c}`") for c in columns]).alias("v"))
+    """One row per batch: formulation, train, date, the array ``v`` of its smallest values, and ``high`` of its largest where they differ from these."""
+    names = [f"c{i}" for i in range(len(columns))]
+    values = wide.where("batch is not null").select("batch", *[rules.usable(c).alias(n) for c, n in zip(columns, names, strict=True)])
+    values = values.groupBy("batch").agg(*[F.min(n).alias(n) for n in names], *[F.max(n).alias("_" + n) for n in names])
+    low, high = F.array(*[F.col(n) for n in names]), F.array(*[F.col("_" + n) for n in names])
+    values = values.select("batch", low.alias("v"), F.when(~low.eqNullSafe(high), high).alias("high"))
     labels = first_labels(metadata, ("equipment_train",)).select("batch", "formulation", "equipment_train", "manufacturing_date")
     return values.join(labels, "batch", "left")
 
 
-def _mids(v: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lower middle, upper middle, number) of the known values of each row's group; ``group`` is sorted."""
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    size = np.diff(np.r_[first, len(group)])
-    order = np.lexsort((v, group))  # NaN comes last in each group
-    s = v[order]
-    n = np.add.reduceat((~np.isnan(v)).astype(np.int64), first)
-    low, high = s[first + np.maximum(n - 1, 0) // 2], s[first + np.minimum(n // 2, np.maximum(n - 1, 0))]
-    return np.repeat(low, size), np.repeat(high, size), np.repeat(n, size)
-
-
 def column_facts(batches: DataFrame, bounds: list[tuple[float | None, float | None]]) -> tuple[list[float], list[bool]]:
     """Per column the mean of the values within bounds, and whether there are more than ``FEW_VALUES`` different values.
 
@@ -377,14 +396,17 @@ def column_facts(batches: DataFrame, bounds: list[tuple[float | None, float | No
             inside = (v >= low) & (v <= high)
             total += np.where(inside, v, 0).sum(0)
             n += inside.sum(0)
-        yield pd.DataFrame({"f": np.arange(len(bounds)), "total": total, "n": n, "seen": [sorted(s)[: FEW_VALUES + 1] for s in seen]})
+        rows = [(f, x, 0.0, 0.0) for f, s in enumerate(seen) for x in sorted(s)[: FEW_VALUES + 1]]
+        rows += [(f, None, total[f], n[f]) for f in range(len(bounds))]
+        yield pd.DataFrame(rows, columns=["f", "value", "total", "n"])
 
-    got = batches.select("v").mapInPandas(facts, "f int, total double, n double, seen array<double>")
-    rows = got.groupBy("f").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen")).collect()
+    got = batches.select("v").mapInPandas(facts, "f int, value double, total double, n double")
+    each = got.groupBy("f", "value").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    rows = each.groupBy("f").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.count("value").alias("different")).collect()
     means, varied = [float("nan")] * len(bounds), [False] * len(bounds)
     for r in rows:
         means[r["f"]] = r["total"] / r["n"] if r["n"] else float("nan")
-        varied[r["f"]] = len(r["seen"]) > FEW_VALUES
+        varied[r["f"]] = r["different"] > FEW_VALUES
     return means, varied
 
 
@@ -393,48 +415,41 @@ def _limits(bounds: list[tuple[float | None, float | None]]) -> tuple[np.ndarray
 
 
 def residuals(batches: DataFrame, bounds: list[tuple[float | None, float | None]], middle: list[float], hot: int = HOT) -> DataFrame:
-    """(batch, equipment_train, outside, off): places of values beyond their bounds, and distances from the formulation's level.
+    """(batch, equipment_train, outside, off, off_high): places of values beyond their bounds, and distances from the formulation's level.
 
     A level is the median of the formulation's values; of the two in the
     middle, or between them, what is nearest to the column's mean. Batches of
     many formulations share a task; a formulation of more than ``hot`` batches
-    is spread over tasks, its levels coming from mergeable sketches.
+    is spread over tasks, its middle values being found by counting.
+    ``off_high`` is NULL where a batch has one value in every cell.
     """
     width = len(bounds)
     low, high = _limits(bounds)
     middle = np.asarray(middle, dtype=float)
-    sizes = durable(batches.where("formulation is not null").groupBy("formulation").count())
-    large = sizes.where(F.col("count") > hot).select("formulation")
-    n = sizes.agg(F.sum("count")).first()[0] or 0
-    buckets = max(1, -(-n // hot))
-    own = F.when(F.col("formulation").isNull() | F.col("levels").isNotNull(), F.xxhash64("batch")).otherwise(F.xxhash64("formulation"))
-    if large.isEmpty():
-        with_levels = batches.withColumn("levels", F.lit(None).cast("array<array<double>>"))
-    else:
-        inside = [F.when((F.get("v", F.lit(i)) >= F.lit(float(low[i]))) & (F.get("v", F.lit(i)) <= F.lit(float(high[i]))), F.get("v", F.lit(i))) for i in range(width)]
-        sketches = batches.join(large, "formulation").groupBy("formulation").agg(F.array(*[F.percentile_approx(x, [0.5, 0.5001], 10000) for x in inside]).alias("levels"))
-        with_levels = batches.join(sketches, "formulation", "left")
-    placed = with_levels.withColumn("bucket", F.pmod(own, F.lit(buckets)).cast("int"))
+    limit = F.get(F.array(*[F.struct(F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for a, b in zip(low, high, strict=True)]), F.col("variable"))
+    placed = by_formulation(batches, (F.col("value") >= limit["low"]) & (F.col("value") <= limit["high"]), hot)
 
     def level(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("formulation", kind="stable", na_position="last").reset_index(drop=True)
         v = np.stack(pdf["v"].to_numpy()).astype(float)
+        twice = np.flatnonzero(pdf["high"].notna())
+        top = np.stack(pdf["high"].to_numpy()[twice]).astype(float) if len(twice) else np.zeros((0, width))
         beyond = (v < low) | (v > high)
-        v[beyond] = np.nan
-        none = pdf["formulation"].isna().to_numpy()
-        group = pdf["formulation"].fillna(2**62).astype(np.int64).to_numpy()
+        beyond[twice] |= (top < low) | (top > high)
+        v[(v < low) | (v > high)] = np.nan
+        top[(top < low) | (top > high)] = np.nan
         off = np.full(v.shape, np.nan, dtype=np.float32)
-        given = pdf["levels"].notna().to_numpy()
-        for f in range(width):
-            a, b, n = _mids(v[:, f], group)
-            for k in np.flatnonzero(given):
-                got = pdf["levels"].iat[k][f]
-                a[k], b[k], n[k] = (got[0], got[1], hot) if got is not None else (np.nan, np.nan, 0)
-            at = np.fmin(np.fmax(middle[f], a), b)
-            off[:, f] = np.where(~none & (n >= 2), np.abs(v[:, f] - at), np.nan)
-        return pd.DataFrame({"batch": pdf["batch"], "equipment_train": pdf["equipment_train"], "outside": [np.flatnonzero(x).astype(np.int32) for x in beyond], "off": [x.tobytes() for x in off]})
+        far = np.full(top.shape, np.nan, dtype=np.float32)
+        for f, a, b, n in middles_of(pdf, v, hot):
+            at = np.where(n >= 2, np.fmin(np.fmax(middle[f], a), b), np.nan)
+            off[:, f] = v[:, f] - at
+            far[:, f] = top[:, f] - at[twice]
+        second: list[bytes | None] = [None] * len(pdf)
+        for k, x in zip(twice, far, strict=True):
+            second[k] = x.tobytes()
+        return pd.DataFrame({"batch": pdf["batch"], "equipment_train": pdf["equipment_train"], "outside": [np.flatnonzero(x).astype(np.int32) for x in beyond], "off": [x.tobytes() for x in off], "off_high": second})
 
-    return placed.groupBy("bucket").applyInPandas(level, "batch string, equipment_train string, outside array<int>, off binary")
+    return placed.groupBy("bucket").applyInPandas(level, "batch string, equipment_train string, outside array<int>, off binary, off_high binary")
 
 
 def usual_scatter(table: DataFrame, width: int) -> DataFrame:
@@ -449,7 +464,7 @@ def usual_scatter(table: DataFrame, width: int) -> DataFrame:
             pdf = pdf[pdf["equipment_train"].notna()]
             if not len(pdf):
                 continue
-            off = np.frombuffer(b"".join(pdf["off"]), dtype=np.float32).reshape(len(pdf), width).astype(float)
+            off = np.abs(np.frombuffer(b"".join(pdf["off"]), dtype=np.float32).reshape(len(pdf), width).astype(float))
             train, names = pd.factorize(pdf["equipment_train"])
             row, col = np.nonzero(~np.isnan(off))
             x = off[row, col]
@@ -534,35 +549,99 @@ def stuck_cells(batches: DataFrame, varied: list[bool], chunk: int = CHUNK, marg
     return found.unionByName(runs.where(F.col("n") >= RUN).select("batch", "f")).distinct()
 
 
-def cell_flags(wide: DataFrame, metadata: DataFrame, families: DataFrame, record: DataFrame) -> DataFrame:
-    """(batch, field, reason) of the implausible cells of the batch table; cells without a usable value are no readings."""
-    rules = find_rules(wide, families, record)
-    columns = [c for c in measured_columns(wide) if c not in DERIVED]
-    bounds = [rules.bounds.get(c, (None, None)) for c in columns]
-    batches = durable(_labelled_batches(wide, metadata, rules, columns))
-    means, varied = column_facts(batches, bounds)
-    table = durable(residuals(batches, bounds, means))
-    usual = usual_scatter(table, len(columns))
-    keep = np.asarray(varied)
+def _start_of_cells(table: DataFrame, width: int) -> Course:
+    """A first course of rows in units of scatter: no mean, and the leading directions of all rows, large values cut back."""
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, width, width))
+        for pdf in frames:
+            if len(pdf):
+                x, seen = _scaled(pdf)
+                x = np.clip(x, -3, 3)
+                seen = seen.astype(float)
+                total += [x.T @ x, seen.T @ seen]
+        i, j = np.nonzero(total[1])
+        yield pd.DataFrame({"i": i, "j": j, "s": total[0][i, j], "n": total[1][i, j]})
+
+    got = table.select("low").mapInPandas(products, "i int, j int, s double, n double").groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("c")).collect()
+    cov = np.zeros((width, width))
+    for r in got:
+        cov[r["i"], r["j"]] = r["c"]
+    values, vectors = np.linalg.eigh(cov)
+    rank = min(CELL_RANK, width)
+    lead = np.sqrt(np.maximum(values[::-1][:rank] - np.median(values), 0.01))
+    return Course(np.column_stack([vectors[:, ::-1][:, :rank] * lead, np.zeros(width)]), 1.0, {}, {})
+
+
+def _scaled(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(pdf["low"]), dtype=np.float32).reshape(len(pdf), -1).astype(float)
+    seen = np.isfinite(x)
+    return np.where(seen, x, 0.0), seen
+
+
+def cell_spikes(table: DataFrame, width: int) -> DataFrame:
+    """(batch, f): cells of ``table`` (batch, equipment_train, off, off_high) off the course of their row and off their formulation's level."""
+    usual = durable(usual_scatter(table, width))
+    widest = [None] * width
+    for r in usual.select(F.posexplode("usual").alias("f", "u")).groupBy("f").agg(F.max("u").alias("u")).collect():
+        widest[r["f"]] = r["u"]
+    # A batch whose train is not known is held against the train with the widest scatter.
+    most = F.array(*[F.lit(x).cast("double") for x in widest])
+    rows = table.join(usual, "equipment_train", "left").select("batch", F.coalesce("equipment_train", F.lit("")).alias("source"), "off", "off_high", F.coalesce("usual", most).alias("usual"))
+
+    def scale(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                unit = np.stack(pdf["usual"].to_numpy()).astype(float)
+                rows = [(np.frombuffer(b"".join(pdf[c][pdf[c].notna()]), dtype=np.float32).reshape(-1, width) / unit[pdf[c].notna()]).astype(np.float32) for c in ("off", "off_high")]
+                out = pdf[["batch", "source"]].copy()
+                out["low"] = [x.tobytes() for x in rows[0]]
+                top = iter(rows[1])
+                out["high"] = [next(top).tobytes() if b else None for b in pdf["off_high"].notna()]
+                yield out
+
+    scaled = durable(rows.mapInPandas(scale, "batch string, source string, low binary, high binary").sortWithinPartitions("source"))
+    course = fit_course(scaled, _start_of_cells(scaled, width), _scaled)
 
     def far(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
-            off = np.frombuffer(b"".join(pdf["off"]), dtype=np.float32).reshape(len(pdf), len(columns))
-            usual = np.stack(pdf["usual"].to_numpy()).astype(float)
-            with np.errstate(invalid="ignore"):
-                row, col = np.nonzero((off > TIMES_SCATTER * usual) & keep)
+            x, seen = _scaled(pdf)
+            top = x.copy()
+            for k, b in enumerate(pdf["high"]):
+                if b is not None:
+                    top[k] = np.nan_to_num(np.frombuffer(b, dtype=np.float32))
+            found = np.zeros(x.shape, dtype=bool)
+            for source, at in by_source(pdf):
+                basis, sigma = course.of(source)
+                kept = settle(x[at], seen[at], basis, sigma, STANDS_OUT)
+                d, _ = deleted_residuals(x[at], kept, basis, sigma)
+                for v in (x, top):
+                    stands_out = ~kept | (np.abs(d + v[at] - x[at]) > STANDS_OUT * sigma)
+                    found[at] |= stands_out & (np.abs(v[at]) > TIMES_SCATTER)
+            row, col = np.nonzero(found)
             yield pd.DataFrame({"batch": pdf["batch"].to_numpy()[row], "f": col.astype(np.int32)})
 
-    usual = durable(usual)
-    widest = [None] * len(columns)
-    for r in usual.select(F.posexplode("usual").alias("f", "u")).groupBy("f").agg(F.max("u").alias("u")).collect():
-        widest[r["f"]] = r["u"]
-    # A batch whose train is not known is held against the train with the widest scatter.
-    most = F.array(*[F.lit(x).cast("double") for x in widest])
-    rows = table.select("batch", "equipment_train", "off").join(usual, "equipment_train", "left").select("batch", "off", F.coalesce("usual", most).alias("usual"))
-    spikes = rows.mapInPandas(far, "batch string, f int")
-    outside = table.select("batch", F.explode("outside").alias("f"))
-    found = outside.withColumn("reason", F.lit("range")).unionByName(spikes.withColumn("reason", F.lit("spike"))).unionByName(stuck_cells(batches, varied).withColumn("reason", F.lit("stuck")))
+    return scaled.mapInPandas(far, "batch string, f int")
+
+
+def cell_flags(wide: DataFrame, metadata: DataFrame, families: DataFrame, record: DataFrame, derived: Sequence[str] = ()) -> DataFrame:
+    """(batch, field, reason) of the implausible cells of the batch table; cells without a usable value are no readings.
+
+    ``derived`` names columns that follow from other data and are not tested.
+    """
+    rules = find_rules(wide, families, record)
+    columns = [c for c in measured_columns(wide) if c not in derived]
+    bounds = [rules.bounds.get(c, (None, None)) for c in columns]
+    batches = durable(_labelled_batches(wide, metadata, rules, columns))
+    means, varied = column_facts(batches, bounds)
+    table = durable(residuals(batches, bounds, means))
+    spikes = cell_spikes(table, len(columns)).withColumn("reason", F.lit("spike"))
+    outside = table.select("batch", F.explode("outside").alias("f")).withColumn("reason", F.lit("range"))
+    stuck = stuck_cells(batches, varied)
+    twice = batches.where("high is not null")
+    if not twice.isEmpty():  # runs that the larger of two values in a cell belongs to
+        stuck = stuck.unionByName(stuck_cells(batches.withColumn("v", F.coalesce("high", "v")), varied)).distinct()
+    found = outside.unionByName(spikes).unionByName(stuck.withColumn("reason", F.lit("stuck")))
     return found.select("batch", F.get(F.array(*[F.lit(c) for c in columns]), F.col("f")).alias("field"), "reason")

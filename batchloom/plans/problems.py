@@ -12,6 +12,10 @@ from batchloom.operators.reshape import Reshaped, curves_wide, named_as_listed,
 from batchloom.session import table
 
 
+# Columns that follow from other columns or tables.
+DERIVED = ("hpmc_mg", "lactose_pct_ww", "q30_pct")
+
+
 def _filled(spark: SparkSession, sf_dir: str) -> Filled:
     return fill_missing(*(table(spark, sf_dir, n) for n in ("batch_wide", "batch_metadata", "variable_families", "imputation_record")))
 
@@ -61,7 +65,7 @@ def p4_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every implausible reading or cell with the reasons it was flagged for."""
-    cells = cell_flags(*(table(spark, sf_dir, n) for n in ("batch_wide", "batch_metadata", "variable_families", "imputation_record")))
+    cells = cell_flags(*(table(spark, sf_dir, n) for n in ("batch_wide", "batch_metadata", "variable_families", "imputation_record")), derived=DERIVED)
     readings = named_as_listed(reading_flags(table(spark, sf_dir, "dissolution")), batch_names(spark, sf_dir))
     run = readings.schema["run_no"].dataType
     cells = cells.select("batch", "field", F.lit("").alias("medium"), F.lit(0).cast(run).alias("run_no"), F.lit(0).alias("time_min"), "reason")

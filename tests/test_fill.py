@@ -54,7 +54,8 @@ def test_table_is_complete_and_marked(spark):
         old = before[row.batch]
         fields = [*filled.coding.numbers, *CATEGORIES]
         assert set(row.filled) == {f for f in fields if (row.batch, f) in marks}
-        assert all(row[f] == old[f] for f in fields if f not in row.filled)
+        was = dict(zip(filled.coding.numbers, old.v, strict=True)) | {c: old[c] for c in CATEGORIES}
+        assert all(row[f] == was[f] for f in fields if f not in row.filled)
         assert all(row[f] is not None for f in (filled.coding.numbers if old.in_wide else []) + (list(CATEGORIES) if old.in_metadata else []))
 
 

@@ -5,7 +5,8 @@ from oracle import SMALL
 from pyspark.sql import functions as F
 
 from batchloom.operators import spikes as S
-from batchloom.operators.fill import find_rules, measured_columns
+from batchloom.operators.fill import find_rules, group_middles, measured_columns
+from batchloom.plans.problems import DERIVED
 from batchloom.session import durable, table
 
 TIMES = (15, 30, 60, 120, 240, 360, 480, 720)
@@ -49,15 +50,48 @@ def test_fit_settles(spark, monkeypatch):
     rows, _ = made_curves()
     frame = spark.createDataFrame(rows, ROWS)
     packed = durable(S.packed(S.curves(frame), list(TIMES)))
-    course = S.fit_course(packed, list(TIMES))
+    start, between = S.start_of_curves(packed, list(TIMES))
+    fit = lambda: S.fit_course(packed, start, lambda pdf: S._usable(pdf)[:2], between)
+    course = fit()
     seen = []
     moved = S.moved
     monkeypatch.setattr(S, "moved", lambda a, b: seen.append(moved(a, b)) or seen[-1])
-    S.fit_course(packed, list(TIMES))
-    assert seen[-1] < S.TOLERANCE and all(x >= S.TOLERANCE for x in seen[:-1])
+    fit()
+    assert seen[-1] < S.OWN_TOLERANCE and any(x < S.TOLERANCE for x in seen[:-1])
     assert moved(course, course) == 0
 
 
+def test_components_are_each_source_s_own(spark):
+    """With many readings a source's components follow its own curves, with few they stay with those of all."""
+    rows, _ = made_curves(900)
+    rows = [(b, m, n, t, y + (0.4 * t if d == "D2" else 0.0), "D9" if b in ("B00000002", "B00000006") else d) for b, m, n, t, y, d in rows]
+    packed = durable(S.packed(S.curves(spark.createDataFrame(rows, ROWS)), list(TIMES)))
+    start, between = S.start_of_curves(packed, list(TIMES))
+    course = S.fit_course(packed, start, lambda pdf: S._usable(pdf)[:2], between)
+    assert set(course.own) == {"D0", "D1", "D2", "D3", "D9"}
+    away = {k: np.abs(x - course.basis).max() for k, x in course.own.items()}
+    assert away["D2"] > 1 and away["D9"] < 0.3 * away["D2"]
+
+
+def test_both_values_of_a_cell_sent_twice_are_tested(spark):
+    names = [f"x{i}" for i in range(6)]
+    rng = np.random.default_rng(3)
+    rows = [(f"B{k:08d}", *(50 + 2 * rng.normal(size=6)).tolist(), None) for k in range(400)]
+    rows.append(("B00000007", 50.0, 95.0, *[50.0] * 4, None))
+    wide = spark.createDataFrame(rows, "batch string, " + ", ".join(f"{c} double" for c in names) + ", loaded_at timestamp_ntz")
+    meta = spark.createDataFrame([(f"B{k:08d}", f"F{k % 4}", f"T{k % 3}", None) for k in range(400)], "batch string, formulation string, equipment_train string, manufacturing_date timestamp_ntz")
+    families = spark.createDataFrame([(c, "PROCESS", None, None) for c in names], "variable string, family string, low double, high double")
+    record = spark.createDataFrame([], "column_name string, fill_value double")
+    assert ("B00000007", "x1", "spike") in {tuple(r) for r in S.cell_flags(wide, meta, families, record).collect()}
+
+
+def test_a_curve_sent_many_times_is_one_small_row(spark):
+    one = spark.createDataFrame([("B1", "0.1N HCl", 1, t / 60, float(t), "x") for t in TIMES], ROWS)
+    many = one.crossJoin(spark.range(20_000)).drop("id")
+    got = S.curves(many).collect()
+    assert len(got) == 1 and len(got[0].cells) == len(TIMES)
+
+
 def test_stuck_with_gaps_and_two_readings():
     nan = np.nan
     low = np.array([[1, 1, nan, 1, 1, 2], [1, 1, 1, 2, 2, 2], [3, 5, 5, 4, 5, nan], [nan] * 6], dtype=float)
@@ -75,14 +109,14 @@ def test_odd_readings(spark):
 
 def test_middles_of_groups():
     v = np.array([3.0, np.nan, 1.0, 2.0, 9.0, 7.0, np.nan])
-    low, high, n = S._mids(v, np.array([1, 1, 1, 1, 2, 2, 3]))
+    low, high, n = group_middles(v, np.array([1, 1, 1, 1, 2, 2, 3]))
     assert low.tolist()[:6] == [2, 2, 2, 2, 7, 7] and high.tolist()[:6] == [2, 2, 2, 2, 9, 9] and n.tolist() == [3, 3, 3, 3, 2, 2, 0]
 
 
 def _batches(spark):
     wide, meta, families, record = (table(spark, "/root/testdata/sf0.01", n) for n in ("batch_wide", "batch_metadata", "variable_families", "imputation_record"))
     rules = find_rules(wide, families, record)
-    columns = [c for c in measured_columns(wide) if c not in S.DERIVED]
+    columns = [c for c in measured_columns(wide) if c not in DERIVED]
     return durable(S._labelled_batches(wide, meta, rules, columns)), [rules.bounds.get(c, (None, None)) for c in columns]
 
 
