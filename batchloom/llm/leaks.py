@@ -3,9 +3,10 @@
 Pages and held-out items are reduced to streams of letter classes: case,
 accents, blanks, punctuation and line breaks vanish, and letters that scanners
 confuse share a class. Of a page's k-grams the smallest hash in every window is
-kept (winnowing); every item k-gram is indexed. So any shared span of at least
-``K + WINDOW - 1`` classes has a fingerprint in common, whatever surrounds it.
-Fingerprints are joined on their hash, and every hit is extended through
+kept (winnowing); of an item all are, which holds its own winnowed ones and
+finds more under misreadings. So any shared span of at least ``K + WINDOW - 1``
+classes has a fingerprint in common, whatever surrounds it. The fingerprints of
+both sides are joined on their hash, and every hit is extended through
 misreadings and across inserted adverts to measure how many successive words of
 the item the page holds; hits of one stretch of equal letters are extended once.
 
@@ -13,10 +14,12 @@ Before that, the columns of a page are told apart by the boxes of its lines, so
 that columns read straight across, or run together in one line, are each read
 on their own; passages that are UTF-8 read with a wrong codec are set right.
 
-The items are a stated query set with far fewer rows than the corpus. Their
-index is broadcast in blocks of at most ``BLOCK`` letters, so what is broadcast
-has a fixed bound; each block is held against all pages. Pages are never
-shuffled, and no group of pages or hits is gathered anywhere.
+The corpus is read once, however many items there are. A table of bits of fixed
+size, in which every item fingerprint is marked, is broadcast and keeps back
+the page fingerprints that are in no item; it may let others through, which
+find no partner in the join. Pages with hits go on with the texts of the items
+hit, by joins on the page and on the item, so neither side is held whole
+anywhere, and a task extends a page's hits with only the items of its pages.
 
 Defined results for odd input: NULL or empty pages and items never match; of
 boxes that don't fit the lines, or are NULL, none are used and the text is read
@@ -35,11 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm.encoding import unscrambled
+from batchloom.session import durable
 
 K = 12  # letters of a k-gram
 WINDOW = 6  # k-grams of which one is kept
 MIN_WORDS = 18  # successive words of an item that make a leak
-BLOCK = 4_000_000  # letters of the items indexed at a time
+BLOCK = 4_000_000  # letters of items that a task keeps from one lot of pages to the next
+LOT = 1_000_000  # letters of pages that are read or extended at a time
+BITS = 24  # logarithm of the number of bits that keep back page fingerprints
 ADVERT = 900  # letters of an insertion that may be passed over
 # Letters that scanners take for one another, by the class they share.
 CONFUSED = {"ß": "s", "œ": "o", "æ": "a", "1": "l", "i": "l", "|": "l", "!": "l", "0": "o", "5": "s", "8": "b", "c": "e", "y": "v", "f": "t"}
@@ -107,11 +113,16 @@ def winnowed(values: np.ndarray, inside: np.ndarray, window: int = WINDOW) -> np
     return np.nonzero((most == v) & inside)[0]
 
 
+def slots(values: np.ndarray, n_bits: int) -> np.ndarray:
+    """The bit, of ``n_bits``, a power of two, that stands for each hash."""
+    return (values >> np.uint64(65 - n_bits.bit_length())).astype(np.int64)
+
+
 class Items:
-    """Index of the k-grams of items, and their letters as strings."""
+    """Letters, words and seeds of some items."""
 
     def __init__(self, ids: list, texts: list[str]):
-        self.ids = ids
+        self.ids, self.texts = ids, texts
         classes, owner, at = letters(texts)
         self.owner = owner
         self.start = np.searchsorted(owner, np.arange(len(texts) + 1))
@@ -120,29 +131,12 @@ class Items:
         self.back = self.text[::-1]
         words = np.cumsum(np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) <= 0x20)
         _, self.word = np.unique(words[at], return_inverse=True)
-        values, inside = hashes(classes, owner)
-        places = np.nonzero(inside)[0]
-        order = np.argsort(values[places], kind="stable")
-        self.values, self.places = values[places][order], places[order]
         values, inside = hashes(classes, owner, SEED)
         self.seeds = np.unique(values[inside])
         self.seed = np.full(len(classes), -1)  # number of the seed that starts at each letter
         self.seed[: len(values)][inside] = np.searchsorted(self.seeds, values[inside])
         self.seed_bits = np.zeros(1 << 20, dtype=bool)
         self.seed_bits[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
-        # Bit table in front of the search: most fingerprints are in no item.
-        self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[(self.values >> np.uint64(42)).astype(np.int64)] = True
-
-    def hits(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(page place, item place) of every equal hash."""
-        maybe = self.bits[(values >> np.uint64(42)).astype(np.int64)]
-        values, at = values[maybe], at[maybe]
-        left, right = np.searchsorted(self.values, values, "left"), np.searchsorted(self.values, values, "right")
-        n = right - left
-        which = np.repeat(np.arange(len(n)), n)
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        return at[which], self.places[left[which] + offset]
 
 
 def exact_runs(items: Items, classes: np.ndarray, owner: np.ndarray, page_at: np.ndarray, item_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -395,17 +389,21 @@ def _all(text: str, mark: str) -> list[int]:
     return out
 
 
-def pages_in(items: Items, doc_ids: list, texts: list[str], least: int = MIN_WORDS) -> list[tuple[object, object, int]]:
-    """(doc_id, item_id, successive words) of the leaks in some pages."""
-    classes, owner, _ = letters(texts)
-    values, inside = hashes(classes, owner)
-    kept = winnowed(values, inside)
-    page_at, item_at = items.hits(values[kept], kept)
-    if not len(page_at):
+def extended(items: Items, streams: list[str], page: np.ndarray, page_at: np.ndarray, item: np.ndarray, item_at: np.ndarray, least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(page, item, successive words) of the leaks among some hits.
+
+    ``streams`` are the letters of pages, one character each; a hit is a k-gram
+    of ``page`` from ``page_at`` and of ``item`` from ``item_at``.
+    """
+    if not len(page):
         return []
-    page_at, item_at, sizes = exact_runs(items, classes, owner, page_at, item_at)
-    by = Extension(items, classes.astype("<u2").tobytes().decode("utf-16-le"))
-    start = np.searchsorted(owner, np.arange(len(texts) + 1))
+    sizes = np.fromiter((len(x) for x in streams), dtype=np.int64, count=len(streams))
+    start = np.r_[0, np.cumsum(sizes)]
+    owner = np.repeat(np.arange(len(streams)), sizes)
+    stream = "".join(streams)
+    classes = np.frombuffer(stream.encode("utf-16-le"), dtype="<u2")
+    page_at, item_at, sizes = exact_runs(items, classes, owner, start[page] + page_at, items.start[item] + item_at)
+    by = Extension(items, stream)
     page, item = owner[page_at], items.owner[item_at]
     after, before = Beyond(items, classes, owner).sides(item, page, item_at, page_at, sizes, start)
     own = items.word[item_at + sizes - 1] - items.word[item_at] + 1
@@ -416,57 +414,115 @@ def pages_in(items: Items, doc_ids: list, texts: list[str], least: int = MIN_WOR
         n = by.successive_words(q, i, j, size, start[p], start[p + 1], least, *sides)
         if n > best.get((p, q), 0):
             best[p, q] = n
-    return [(doc_ids[p], items.ids[q], n) for (p, q), n in best.items() if n >= least]
-
-
-def item_blocks(items: DataFrame) -> Iterator[Items]:
-    """The items, in blocks of at most ``BLOCK`` letters (an item longer than that is a block of its own)."""
-    ids: list = []
-    texts: list[str] = []
-    size = 0
-    for r in items.where("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id").toLocalIterator():
-        if texts and size + len(r.text) > BLOCK:
-            yield Items(ids, texts)
-            ids, texts, size = [], [], 0
-        ids.append(r.item_id)
-        texts.append(r.text)
-        size += len(r.text)
-    if texts:
-        yield Items(ids, texts)
-
-
-def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    return [(p, q, n) for (p, q), n in best.items() if n >= least]
+
+
+def lots(sizes: list[int], most: int = LOT) -> Iterator[slice]:
+    """Slices of some texts with at most ``most`` letters each, or one text."""
+    at = 0
+    while at < len(sizes):
+        to, total = at, 0
+        while to < len(sizes) and (to == at or total + sizes[to] <= most):
+            total += sizes[to]
+            to += 1
+        yield slice(at, to)
+        at = to
+
+
+def page_prints(texts: list[str], bits: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(letters as characters, hashes, places) of each text, of its winnowed k-grams those that ``bits`` let through."""
+    classes, owner, _ = letters(texts)
+    values, inside = hashes(classes, owner)
+    kept = winnowed(values, inside)
+    kept = kept[bits[slots(values[kept], len(bits))]]
+    start = np.searchsorted(owner, np.arange(len(texts) + 1))
+    cut = np.searchsorted(owner[kept], np.arange(len(texts) + 1)) if len(kept) else np.zeros(len(texts) + 1, dtype=np.int64)
+    stream = classes.astype("<u2").tobytes().decode("utf-16-le")
+    out = []
+    for k in range(len(texts)):
+        at = kept[cut[k] : cut[k + 1]]
+        out.append((stream[start[k] : start[k + 1]], values[at].view(np.int64), (at - start[k]).astype(np.int32)))
+    return out
+
+
+def item_prints(items: DataFrame) -> DataFrame:
+    """(hash, item, item_at) of all k-grams of ``items`` (item, text)."""
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for lot in lots([len(t) for t in pdf["text"]]):
+                classes, owner, _ = letters(list(pdf["text"][lot]))
+                values, inside = hashes(classes, owner)
+                at = np.nonzero(inside)[0]
+                start = np.searchsorted(owner, np.arange(lot.stop - lot.start))
+                yield pd.DataFrame({"hash": values[at].view(np.int64), "item": pdf["item"].to_numpy()[lot][owner[at]], "item_at": (at - start[owner[at]]).astype(np.int32)})
+
+    return items.select("item", "text").mapInPandas(cut, "hash long, item long, item_at int")
+
+
+def marked_bits(prints: DataFrame, power: int = BITS) -> np.ndarray:
+    """The bits of all fingerprints of ``prints`` (hash); there are no more of them than ``2 ** power``, however many fingerprints."""
+    bits = np.zeros(1 << power, dtype=bool)
+    slot = F.shiftrightunsigned("hash", 64 - power).cast("int").alias("slot")
+    bits[prints.select(slot).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True
+    return bits
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, lot_letters: int = LOT, block: int = BLOCK, power: int = BITS) -> DataFrame:
     """(doc_id, item_id, n_words) for every page of ``documents`` (doc_id, text, line_boxes) that holds an item in part or whole.
 
     ``n_words`` is the number of successive item words found, of which ``MIN_WORDS`` are enough for a row.
+    The other parameters change memory and speed only.
     """
     key, item_key = dict(documents.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    schema = f"doc_id {key}, item_id {item_key}, n_words int"
     box = lambda f: F.transform("line_boxes", lambda b: b[f]).alias(f)
     boxed = "line_boxes" in documents.columns
-    pages = documents.where("text <> ''").select("doc_id", "text", *([box("x0"), box("y0"), box("x1")] if boxed else []))
-    context = documents.sparkSession.sparkContext
-    out = documents.sparkSession.createDataFrame([], schema)
-    for block in item_blocks(items):
-        shared = context.broadcast(block)
-
-        def find(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            seen: dict[str, str] = {}
-            for pdf in frames:
-                texts = [unscrambled(t, seen) for t in pdf["text"]]
-                if boxed:
-                    texts = [t if x is None else read_columns(t, np.asarray(x), np.asarray(y), np.asarray(z)) for t, x, y, z in zip(texts, pdf["x0"], pdf["y0"], pdf["x1"], strict=True)]
-                rows = []
-                ids = list(pdf["doc_id"])
-                at = 0
-                while at < len(texts):  # a million letters at a time
-                    to, size = at, 0
-                    while to < len(texts) and (to == at or size + len(texts[to]) <= 1_000_000):
-                        size += len(texts[to])
-                        to += 1
-                    rows += pages_in(shared.value, ids[at:to], texts[at:to])
-                    at = to
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words"])
-
-        out = out.unionByName(pages.mapInPandas(find, schema))
-    return out
+    # Rows are numbered, since ids may be repeated; the tables are written, so that the numbers stay.
+    texts = durable(items.where("text is not null and item_id is not null").select(F.monotonically_increasing_id().alias("item"), "item_id", "text"))
+    prints = durable(item_prints(texts))
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(marked_bits(prints, power)))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.unpackbits(shared.value).astype(bool)
+        seen: dict[str, str] = {}
+        for pdf in frames:
+            texts = [unscrambled(t, seen) for t in pdf["text"]]
+            if boxed:
+                texts = [t if x is None else read_columns(t, np.asarray(x), np.asarray(y), np.asarray(z)) for t, x, y, z in zip(texts, pdf["x0"], pdf["y0"], pdf["x1"], strict=True)]
+            for lot in lots([len(t) for t in texts], lot_letters):
+                got = page_prints(texts[lot], bits)
+                some = [k for k, x in enumerate(got) if len(x[1])]
+                if not some:
+                    continue
+                rows = pdf[["page", "doc_id"]][lot].iloc[some].copy()
+                for c, name in enumerate(("stream", "hash", "at")):
+                    rows[name] = [got[k][c] for k in some]
+                yield rows
+
+    pages = documents.where("text <> ''").select(F.monotonically_increasing_id().alias("page"), "doc_id", "text", *([box("x0"), box("y0"), box("x1")] if boxed else []))
+    pages = durable(pages.mapInPandas(read, f"page long, doc_id {key}, stream string, hash array<long>, at array<int>"))
+    hits = pages.select("page", F.explode(F.arrays_zip("hash", "at")).alias("p")).select("page", F.col("p.hash").alias("hash"), F.col("p.at").alias("at")).join(prints, "hash")
+    pairs = hits.groupBy("page", "item").agg(F.collect_list(F.struct("item_at", "at")).alias("h")).join(texts, "item")
+    per_page = pairs.groupBy("page").agg(F.collect_list(F.struct("item", "item_id", "text", F.col("h.item_at").alias("item_at"), F.col("h.at").alias("at"))).alias("f"))
+    joined = per_page.join(pages.select("page", "doc_id", "stream"), "page").select("doc_id", "stream", *[F.col(f"f.{c}").alias(c) for c in ("item", "item_id", "text", "item_at", "at")])
+
+    def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, place, index = Items([], []), {}, {}
+        for pdf in frames:
+            out = []
+            for lot in lots([len(x) for x in pdf["stream"]], lot_letters):
+                part = pdf[lot]
+                index = {i: (name, text) for row in zip(part["item"], part["item_id"], part["text"], strict=True) for i, name, text in zip(*row, strict=True)}
+                if not index.keys() <= place.keys():
+                    if len(known.text) < block:  # items already met are likely to come again
+                        index = {i: (known.ids[k], known.texts[k]) for i, k in place.items()} | index
+                    place = {i: k for k, i in enumerate(sorted(index))}
+                    known = Items([index[i][0] for i in place], [index[i][1] for i in place])
+                page = [np.full(len(a), k) for k, row in enumerate(part["at"]) for a in row]
+                item = [np.full(len(a), place[i]) for row, own in zip(part["at"], part["item"], strict=True) for a, i in zip(row, own, strict=True)]
+                flat = lambda c: np.concatenate([a for row in part[c] for a in row]).astype(np.int64)  # noqa: B023, E731
+                ids = list(part["doc_id"])
+                out += [(ids[p], known.ids[q], n) for p, q, n in extended(known, list(part["stream"]), np.concatenate(page), flat("at"), np.concatenate(item), flat("item_at"))]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words"])
+
+    return joined.mapInPandas(extend, f"doc_id {key}, item_id {item_key}, n_words int")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from oracle import SMALL
+from pyspark.sql import functions as F
 
 from batchloom.llm import leaks as L
 from batchloom.session import table
@@ -33,7 +34,16 @@ def page(rng, quote, before=80, after=60, noise=0.0):
 
 def found(pages, items):
     index = L.Items(list(range(len(items))), items)
-    return {(d, i): n for d, i, n in L.pages_in(index, list(range(len(pages))), pages)}
+    values, inside = L.hashes(index.classes, index.owner)
+    places = np.nonzero(inside)[0]
+    marks = np.zeros(1 << L.BITS, dtype=bool)
+    marks[L.slots(values[places], len(marks))] = True
+    got = L.page_prints(pages, marks)
+    at = {}
+    for i in places.tolist():
+        at.setdefault(int(values[i].view(np.int64)), []).append(i)
+    hits = [(p, int(j), int(index.owner[i]), i - int(index.start[index.owner[i]])) for p, (_, h, js) in enumerate(got) for v, j in zip(h, js, strict=True) for i in at.get(int(v), [])]
+    return {(p, q): n for p, q, n in L.extended(index, [x[0] for x in got], *np.array(hits, dtype=np.int64).reshape(-1, 4).T)}
 
 
 def test_whole_part_short_and_shuffled():
@@ -146,11 +156,20 @@ def test_odd_tables(spark):
     assert sorted(tuple(r)[:2] for r in L.find_leaks(odd, some).collect()) == [(3, 7), (3, 7), (3, 10), (3, 10)]
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
+def test_lots_and_bits_change_nothing(spark):
     docs, items = table(spark, "/root/testdata/sf0.01", "documents").limit(300), table(spark, SMALL, "eval_items")
     whole = {tuple(r) for r in L.find_leaks(docs, items).collect()}
-    monkeypatch.setattr(L, "BLOCK", 40_000)
-    assert {tuple(r) for r in L.find_leaks(docs, items).collect()} == whole and whole
+    assert {tuple(r) for r in L.find_leaks(docs, items, lot_letters=20_000, block=1, power=10).collect()} == whole and whole
+
+
+def test_many_items(spark):
+    """The corpus is read once; a hundred thousand items that no page holds cost it nothing and hide none that some page does."""
+    docs, items = table(spark, SMALL, "documents"), table(spark, SMALL, "eval_items")
+    own = {tuple(r) for r in L.find_leaks(docs, items).collect()}
+    text = F.concat_ws(" ", *[F.sha1(F.concat(F.col("id"), F.lit(f"w{k}"))) for k in range(3)])
+    many = spark.range(100_000).select((F.col("id") + 10**6).alias("item_id"), text.alias("text"))
+    both = items.select("item_id", "text").unionByName(many)
+    assert {tuple(r) for r in L.find_leaks(docs, both).collect()} == own and own
 
 
 @pytest.mark.parametrize("text", ["", "—«»", "a"])
