@@ -1,27 +1,33 @@
 """Garbled text from wrong character encodings: finding it and restoring the original.
 
-A smoothed character trigram model is trained on all records that show no sign
-of garbling. Every word with characters beyond ASCII that the model finds
-implausible is put through each candidate chain (encode with the codec that was
-wrongly used, decode with the right one); the chain whose reading the model
-likes best is kept. A record is garbled if the words of one chain gain more
-than a margin, which is validated on held-out clean lines: none of their
-records may pass it, while lines garbled on purpose must.
-
-The corpus is read in Arrow batches, twice per training round; what leaves the
-tasks are n-gram counts (a table of fixed size) and the garbled records. No
-shuffle moves any text.
+Smoothed character trigram models are trained on the records that show no sign
+of garbling, one for each of ``FOLDS`` folds and without it, so that no record
+is judged by counts it is part of. Every word with characters beyond ASCII
+that the model finds implausible is put through each candidate chain (encode
+with the codec that was wrongly used, decode with the right one), and lost
+letters (U+FFFD) are filled in; the reading the model likes best is kept. A
+record is garbled if the words of one chain gain more than a margin. Records
+found are taken out of the counts, and those near the margin judged again,
+until no further one is found.
+
+The margin is chosen from the gains of all records that stay below it, see
+:func:`chosen_margin`; what it does to lines garbled on purpose is shown by
+:func:`margin_report`.
+
+The corpus is read in Arrow batches, once to count and once to judge; what
+leaves the tasks are n-gram counts (a table of fixed size) and the records
+with any word that gains. Further rounds read only these.
 
 Defined results for odd input: NULL and empty texts are never garbled; a
-replacement character (U+FFFD) always is a sign of wrong decoding, so its
-record is reported, and restored as far as the lost bytes can be told; tied
-chains are settled by their order here; repeated rows are judged one by one.
+replacement character (U+FFFD) is taken as a lost letter, and as such is as
+implausible as its surroundings make it; tied chains are settled by their order
+here; repeated rows are judged one by one.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,11 +45,16 @@ SINGLE = (
     ("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("mac_cyrillic", "cp1251"), ("mac_cyrillic", "cp1252"), ("cp850", "mac_roman"), ("mac_roman", "cp850"),
 )
 TRI_BITS = 21
+SIZES = (512, 512 * 512, 1 << TRI_BITS)  # of the tables of one, two and three symbols
 UNSEEN = 0.05  # share of a context's probability that is left to the shorter context
 LOST_BYTES = (0x9D, 0x90, 0x8F, 0x8D, 0x81)  # the bytes cp1252 has no character for
 WORTH = 9.0  # nats of implausibility from which a word is put through the chains
 WORD_GAIN = 3.0  # nats that a word has to gain to count for its record
-MARGIN = 12.0  # nats that the distinct words of a record have to gain; see margin_report
+LOOSE_GAIN = 1.0  # nats that a word has to gain for its record to be judged again once others are out of the counts
+MARGIN = 12.0  # least nats that the distinct words of a record have to gain; see chosen_margin
+FOLDS = 2
+BEAM = 16  # readings kept while lost letters are filled in
+LOST = "\ufffd"
 _RUN = re.compile("[^\x00-\x7f]+")
 _PIECE = re.compile("([ \n\t\r]+)")
 _ASCII = {chr(c) for c in range(0x80)}
@@ -272,12 +283,15 @@ def unscrambled(text: str, seen: dict[str, str]) -> str:
     return text if text.isascii() else _RUN.sub(read, text)
 
 
-def train(texts: DataFrame, exclude: DataFrame | None = None) -> Model:
-    """Count the n-grams of all records of ``texts`` (doc_id, text) without a sign of garbling, nor in ``exclude`` (doc_id)."""
-    clean = texts if exclude is None else texts.join(exclude, "doc_id", "left_anti")
+def in_folds(documents: DataFrame, folds: int = FOLDS) -> DataFrame:
+    return documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold"))
+
+
+def ngram_counts(texts: DataFrame, folds: int = FOLDS) -> list[list[np.ndarray]]:
+    """Per fold the counts of one, two and three symbols in the records of ``texts`` (text, fold) without a sign of garbling."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [np.zeros(512, dtype=np.int64), np.zeros(512 * 512, dtype=np.int64), np.zeros(1 << TRI_BITS, dtype=np.int64)]
+        tables: dict[tuple[int, int], np.ndarray] = {}
         seen: dict[str, bool] = {}
 
         def sound(text: str) -> bool:
@@ -292,23 +306,31 @@ def train(texts: DataFrame, exclude: DataFrame | None = None) -> Model:
             return True
 
         for pdf in frames:
-            kept = "  ".join(t for t in pdf["text"] if t and sound(t))
-            if kept:
-                s = _coded(kept)[1]
-                for table, at in zip(tables, (s[2:], s[1:-1] * 512 + s[2:], _hashed(s[:-2] * 512 + s[1:-1], s[2:])), strict=True):
-                    table += np.bincount(at, minlength=len(table))
-        for k, table in enumerate(tables):
+            for fold in range(folds):
+                kept = "  ".join(t for t in pdf["text"][pdf["fold"] == fold] if t and sound(t))
+                if kept:
+                    s = _coded(kept)[1]
+                    for k, (size, at) in enumerate(zip(SIZES, (s[2:], s[1:-1] * 512 + s[2:], _hashed(s[:-2] * 512 + s[1:-1], s[2:])), strict=True)):
+                        tables[fold, k] = tables.get((fold, k), 0) + np.bincount(at, minlength=size)
+        for (fold, k), table in tables.items():
             at = np.nonzero(table)[0]
-            yield pd.DataFrame({"k": np.full(len(at), k, dtype=np.int32), "at": at.astype(np.int32), "n": table[at]})
+            yield pd.DataFrame({"fold": np.full(len(at), fold, dtype=np.int32), "k": np.full(len(at), k, dtype=np.int32), "at": at.astype(np.int32), "n": table[at]})
+
+    total = texts.select("text", "fold").mapInPandas(count, "fold int, k int, at int, n long").groupBy("fold", "k", "at").agg(F.sum("n").alias("n")).toPandas()
+    out = [[np.zeros(size) for size in SIZES] for _ in range(folds)]
+    for (fold, k), part in total.groupby(["fold", "k"]):
+        out[fold][k][part["at"].to_numpy(dtype=int)] = part["n"].to_numpy(dtype=float)
+    return out
+
 
-    total = clean.select("text").mapInPandas(count, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toPandas()
-    tables = []
-    for k, size in enumerate((512, 512 * 512, 1 << TRI_BITS)):
-        part = total[total["k"] == k]
-        table = np.zeros(size)
-        table[part["at"].to_numpy(dtype=int)] = part["n"].to_numpy(dtype=float)
-        tables.append(table)
-    return Model(*tables)
+def models_without(counts: list[list[np.ndarray]]) -> list[Model]:
+    """For each fold the model of all others."""
+    return [Model(*(sum(c[k] for c in counts) - own[k] for k in range(len(SIZES)))) for own in counts]
+
+
+def train(texts: DataFrame) -> Model:
+    """One model of all records of ``texts`` (text) without a sign of garbling."""
+    return Model(*ngram_counts(texts.select("text", F.lit(0).alias("fold")), 1)[0])
 
 
 class Judge:
@@ -328,6 +350,8 @@ class Judge:
                 new = undo(word, chain)
                 if new != word and new not in readings and _plausible(new, word):
                     readings[new] = chain
+            if LOST in word:
+                readings.setdefault(self.filled(word), "lost")
             best, name = 0.0, ""
             if readings:
                 # Capitals are rarer than small letters; a word that is plausible in these isn't garbled.
@@ -373,38 +397,54 @@ class Judge:
         return [text[starts[i] : ends[i]].rstrip(" \n\t\r") for i in np.nonzero(sums >= WORTH)[0]]
 
     def record(self, text: str | None) -> tuple[str, float, int, bool]:
-        """(chain, its total gain, words with it, replacement characters seen) of a text."""
+        """(chain, total gain of its words, how many, whether any word gains a little) of a text.
+
+        Words of which letters were lost speak for any chain.
+        """
         if not text or text.isascii():
             return "", 0.0, 0, False
         gains: dict[str, list[float]] = {}
+        loose = False
         for w in set(self.doubtful(text)):
             chain, gain = self.word(w)
+            loose |= gain >= LOOSE_GAIN
             if gain >= WORD_GAIN:
                 gains.setdefault(chain, []).append(gain)
-        lost = "�" in text
         if not gains:
-            return "", 0.0, 0, lost
-        chain = max(gains, key=lambda c: sum(gains[c]))
-        return chain, sum(gains[chain]), len(gains[chain]), lost
+            return "", 0.0, 0, loose
+        lost = gains.pop("lost", [])
+        chain = max(gains, key=lambda c: sum(gains[c])) if gains else "lost"
+        words = gains.get(chain, []) + lost
+        return chain, sum(words), len(words), loose
 
     def _choose(self, before: str, options: list[str]) -> str:
         """The option the model likes best after ``before``, among usual ones if there are any."""
         return max([x for x in options if _usual(x)] or options, key=lambda x: float(self.model.scores([before[-4:] + x])[0]))
 
-    def refill(self, word: str) -> str:
-        """A word with lost letters, refilled by a beam search; left alone where nothing is kept."""
-        n = word.count("\ufffd")
-        if n == 0 or n > 6 or (n > 1 and n >= len(word)):
-            return word
-        letters = CYRILLIC if any(c in CYRILLIC for c in word) else LATIN + MARKS
-        beam = [""]
+    def filled(self, word: str) -> str:
+        """A word with its lost letters filled in by a beam search."""
+        letters = [ord(x) for x in (CYRILLIC if any(c in CYRILLIC for c in word) else LATIN + MARKS)]
+        score, tail = np.zeros(1), np.full((1, 2), 0x20, dtype=np.int64)
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
         for c in word:
-            if c != "\ufffd":
-                beam = [b + c for b in beam]
-            else:
-                wider = [b + x for b in beam for x in letters]
-                beam = [wider[i] for i in np.argsort(-self.model.scores(wider), kind="stable")[:16]]
-        return max(beam, key=self.model.score)
+            options = np.array(letters if c == LOST else [ord(c)])
+            at, chosen = np.repeat(np.arange(len(score)), len(options)), np.tile(options, len(score))
+            symbol = SYMBOLS[np.minimum(chosen, 0x2FFF)]
+            total = score[at] + self.model.log_p(tail[at, 0], tail[at, 1], symbol)
+            best = np.argsort(-total, kind="stable")[:BEAM]
+            steps.append((at[best], chosen[best]))
+            score, tail = total[best], np.stack([tail[at[best], 1], symbol[best]], 1)
+        k = int(np.argmax(score + self.model.log_p(tail[:, 0], tail[:, 1], np.full(len(score), 0x20))))
+        out = []
+        for at, chosen in reversed(steps):
+            out.append(chr(chosen[k]))
+            k = at[k]
+        return "".join(reversed(out))
+
+    def refill(self, word: str) -> str:
+        """A word with lost letters filled in; left alone where nothing of it is kept."""
+        n = word.count(LOST)
+        return word if n == 0 or (n > 1 and n >= len(word)) else self.filled(word)
 
     def restore(self, text: str, chain: str) -> str:
         """``text`` with every word read as ``chain``, else its own likeliest chain, has it where that gains; lost letters are refilled."""
@@ -418,7 +458,7 @@ class Judge:
                     read = undo(piece, chain, self._choose) if chain and chain != "lost" else piece
                     if read != piece and (not single or self.model.score(read) > self.model.score(piece)):
                         new = read
-                    elif (own := self.word(piece))[1] >= WORD_GAIN:
+                    elif (own := self.word(piece))[1] >= WORD_GAIN and own[0] != "lost":
                         new = undo(piece, own[0], self._choose)
                     new = self.refill(new)
                 if len(self.restored) > 50_000:
@@ -428,35 +468,65 @@ class Judge:
         return "".join(out)
 
 
-def judged(texts: DataFrame, model: Model, margin: float, restore: bool = True) -> DataFrame:
-    """(doc_id, chain, gain, n_words, restored) of the garbled records of ``texts`` (doc_id, text)."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # three tables of fixed size
+def judged(texts: DataFrame, models: Sequence[Model], margin: float, restore: bool = True, near: bool = False) -> DataFrame:
+    """(doc_id, fold, text, chain, gain, n_words, restored) of the records of ``texts`` (doc_id, text, fold) that gain at least ``margin``.
+
+    ``models`` has one model per fold. With ``near``, also of those with a word that gains a little, and with their text.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(list(models))  # three tables of fixed size each
     key = dict(texts.dtypes)["doc_id"]
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = Judge(shared.value)
+        judges = [Judge(m) for m in shared.value]
         for pdf in frames:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                chain, gain, n, lost = by.record(text)
-                if gain >= margin or lost:
-                    rows.append((doc_id, chain or "lost", gain, n, by.restore(text, chain) if restore else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "chain", "gain", "n_words", "restored"])
+            for doc_id, text, fold in zip(pdf["doc_id"], pdf["text"], pdf["fold"], strict=True):
+                by = judges[fold]
+                chain, gain, n, loose = by.record(text)
+                if gain >= margin or (near and loose):
+                    rows.append((doc_id, fold, text if near else None, chain, gain, n, by.restore(text, chain) if restore else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "fold", "text", "chain", "gain", "n_words", "restored"])
 
-    return texts.select("doc_id", "text").mapInPandas(judge, f"doc_id {key}, chain string, gain double, n_words int, restored string")
+    return texts.select("doc_id", "text", "fold").mapInPandas(judge, f"doc_id {key}, fold int, text string, chain string, gain double, n_words int, restored string")
+
+
+def chosen_margin(gains: DataFrame, least: float = MARGIN) -> float:
+    """The margin that, by how fast the gains of records below it thin out, less than one clean record should pass.
+
+    Of ``gains`` (gain) of all records, those from ``WORD_GAIN`` up to
+    ``least`` are counted in two halves of that span; what is left beyond
+    falls by their ratio with every further half.
+    """
+    half = (least - WORD_GAIN) / 2
+    low, high = (F.count(F.when((F.col("gain") >= a) & (F.col("gain") < a + half), 1)) for a in (WORD_GAIN, WORD_GAIN + half))
+    n = gains.agg(low.alias("low"), high.alias("high")).first()
+    ratio = min(max((n["high"] + 0.5) / (n["low"] + 1.0), 0.05), 0.9)
+    rest = (n["high"] + 0.5) * ratio / (1 - ratio)
+    return least + half * max(0.0, float(np.log(rest) / -np.log(ratio)))
 
 
-def find_garbled(documents: DataFrame, margin: float = MARGIN, rounds: int = 1, restore: bool = True) -> DataFrame:
+def find_garbled(documents: DataFrame, margin: float | None = None, restore: bool = True) -> DataFrame:
     """Garbled records of ``documents`` (doc_id, text): (doc_id, chain, gain, n_words, restored).
 
-    Each further round retrains without the records found so far.
+    Without a ``margin`` it is chosen from the gains of all records.
     """
-    texts = documents.select("doc_id", "text")
-    model = train(texts)
-    for _ in range(rounds - 1):
-        found = durable(judged(texts, model, margin, restore=False).select("doc_id"))
-        model = train(texts, found)
-    return judged(texts, model, margin, restore)
+    texts = in_folds(documents)
+    counts = ngram_counts(texts)
+    near = durable(judged(texts, models_without(counts), margin or MARGIN, restore=False, near=True))
+    passed, n_found = near.select("doc_id", "gain"), -1
+    while True:
+        limit = chosen_margin(passed) if margin is None else margin
+        found = durable(passed.where(F.col("gain") >= limit).select("doc_id").distinct())
+        if (n := found.count()) <= n_found:
+            break
+        n_found = n
+        out = ngram_counts(near.join(found, "doc_id", "left_semi"))
+        models = models_without([[a - b for a, b in zip(x, y, strict=True)] for x, y in zip(counts, out, strict=True)])
+        passed = durable(judged(near, models, WORD_GAIN, restore=False))
+    final = passed.where(F.col("gain") >= limit)
+    if restore:
+        final = judged(near.join(found, "doc_id", "left_semi"), models, limit)
+    return final.select("doc_id", "chain", "gain", "n_words", "restored")
 
 
 def margin_report(documents: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -468,11 +538,11 @@ def margin_report(documents: DataFrame, margin: float = MARGIN) -> DataFrame:
     none should be found. The model is trained on the records with even hash of
     ``doc_id``, the lines are taken from the others.
     """
-    texts = documents.select("doc_id", "text")
-    odd = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-    model = train(texts.where(~odd))
-    found = judged(texts, model, margin, restore=False).select("doc_id")
-    clean = texts.where(odd).join(found, "doc_id", "left_anti")
+    texts = in_folds(documents, 2)
+    model = train(texts.where("fold = 0"))
+    rest = texts.where("fold = 1").withColumn("fold", F.lit(0))
+    found = judged(rest, [model], margin, restore=False).select("doc_id")
+    clean = rest.join(found, "doc_id", "left_anti")
     shared = texts.sparkSession.sparkContext.broadcast(model)
     every = chains()
 

@@ -73,7 +73,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_garbled(table(spark, sf_dir, "documents")).select("doc_id")
+    return find_garbled(table(spark, sf_dir, "documents"), restore=False).select("doc_id")
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
