@@ -168,34 +168,36 @@ def _posterior(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: float)
     return np.einsum("nij,nj->ni", cov, (rest @ b) / sigma**2), cov
 
 
-def deleted_residuals(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each reading: its distance from the course that the row's other readings imply, and the share of its variance left."""
+def _held_against(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: float) -> list[np.ndarray]:
+    """Of each row the mean and covariance of its scores; of each reading its distance from the course that the row's other readings imply, and the share of its variance left."""
     z, cov = _posterior(y, seen, basis, sigma)
     b = basis[:, :-1]
-    fit = basis[:, -1] + z @ b.T
     leverage = (cov.reshape(len(cov), -1) @ (b[:, :, None] * b[:, None, :]).reshape(len(b), -1).T) / sigma**2
     left = np.where(seen, np.clip(1 - leverage, 0.02, 1.0), 1.0)
-    return (y - fit) / left, left
+    return [z, cov, (y - basis[:, -1] - z @ b.T) / left, left]
 
 
-def settle(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: float, limit: float) -> np.ndarray:
-    """``seen`` without the readings off their course, found one by one, the farthest of a row first.
+def settle(y: np.ndarray, seen: np.ndarray, basis: np.ndarray, sigma: float, limit: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``seen`` without the readings off their course, found one by one, the farthest of a row first, and what :func:`_held_against` gives for it.
 
     At least three readings of a row are kept, whatever they are.
     """
     seen = seen.copy()
+    against = _held_against(y, seen, basis, sigma)
     active = np.arange(len(y))
     for _ in range(y.shape[1]):
-        if not len(active):
-            break
-        d, left = deleted_residuals(y[active], seen[active], basis, sigma)
+        d, left = against[2][active], against[3][active]
         score = np.where(seen[active], np.abs(d) * np.sqrt(left), -1.0)
         worst = score.argmax(1)
         rows = np.arange(len(active))
         bad = (np.abs(d[rows, worst]) > limit * sigma) & (score[rows, worst] > limit * 0.6 * sigma) & (seen[active].sum(1) > 3)
         active, worst = active[bad], worst[bad]
+        if not len(active):
+            break
         seen[active, worst] = False
-    return seen
+        for whole, part in zip(against, _held_against(y[active], seen[active], basis, sigma), strict=True):
+            whole[active] = part
+    return seen, against
 
 
 def _usable(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -206,6 +208,26 @@ def _usable(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.where(np.isnan(low), 0.0, low), fit, held, high
 
 
+def course_cells(table: DataFrame) -> DataFrame:
+    """(source, cells): of the curves of ``table`` the readings fit for the course, NaN where there is none, of the curves with at least four."""
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                y, fit, _, _ = _usable(pdf)
+                many = fit.sum(1) >= 4
+                yield pd.DataFrame({"source": pdf["source"][many], "cells": [x.tobytes() for x in np.where(fit, y, np.nan)[many].astype(np.float32)]})
+
+    return table.select("source", "low", "high").mapInPandas(pick, "source string, cells binary")
+
+
+def _cells_of(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(readings, 0 where there is none, and where there are some) of rows of ``cells``."""
+    x = np.frombuffer(b"".join(column), dtype=np.float32).reshape(len(column), -1).astype(float)
+    seen = np.isfinite(x)
+    return np.where(seen, x, 0.0), seen
+
+
 def _between(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> np.ndarray:
     """``v`` with the rows not ``known`` read off between those that are, along the logarithm of time."""
     x = np.log(np.maximum(t, 1))
@@ -225,8 +247,8 @@ def moved(old: Course, new: Course) -> float:
     return float(max(parts))
 
 
-def fit_course(table: DataFrame, start: Course, usable: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], between: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Course:
-    """Components and scatters of the rows of ``table`` (source, low, high), of which ``usable`` gives (readings, fit for the course).
+def fit_course(table: DataFrame, start: Course, between: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Course:
+    """Components and scatters of the rows of ``table`` (source, cells).
 
     First the components of all sources together are fitted until they settle,
     then, from there, those of each source. ``between`` mends the components of
@@ -234,6 +256,7 @@ def fit_course(table: DataFrame, start: Course, usable: Callable[[pd.DataFrame],
     """
     width, r = start.basis.shape[0], start.basis.shape[1] - 1
     size = (r + 1) ** 2
+    names = [f"s{k}" for k in range(size + r + 2)]
     course, together = start, True
     for n_pass in range(MOST_PASSES):
 
@@ -242,32 +265,28 @@ def fit_course(table: DataFrame, start: Course, usable: Callable[[pd.DataFrame],
             for pdf in frames:
                 if not len(pdf):
                     continue
-                values, fit = usable(pdf)
+                values, fit = _cells_of(pdf["cells"])
                 for source, at in by_source(pdf):
                     y, seen = values[at], fit[at]
                     enough = seen.sum(1) >= 4
                     y, seen = y[enough], seen[enough]
                     if not len(y):
                         continue
-                    basis, sigma = course.of(source)
-                    seen = settle(y, seen, basis, sigma, limit)
-                    z, cov = _posterior(y, seen, basis, sigma)
+                    seen, (z, cov, d, left) = settle(y, seen, *course.of(source), limit)
                     za = np.concatenate([z, np.ones((len(z), 1))], 1)
                     zz = za[:, :, None] * za[:, None, :]
                     zz[:, :r, :r] += cov
                     w = seen.astype(float)
-                    d, left = deleted_residuals(y, seen, basis, sigma)
                     part = np.concatenate([w.T @ zz.reshape(len(z), -1), np.where(seen, y, 0.0).T @ za, (w * d**2 * left).sum(0)[:, None]], 1)
                     total[source] = total.get(source, 0.0) + part
-            rows = [(s, i, row.tolist()) for s, part in total.items() for i, row in enumerate(part)]
-            yield pd.DataFrame(rows, columns=["source", "i", "parts"])
+            rows = [(s, i, *row.tolist()) for s, part in total.items() for i, row in enumerate(part)]
+            yield pd.DataFrame(rows, columns=["source", "i", *names])
 
-        got = table.select("source", "low", "high").mapInPandas(sums, "source string, i int, parts array<double>")
-        added = got.select("source", "i", F.posexplode("parts").alias("at", "x")).groupBy("source", "i", "at").agg(F.sum("x").alias("x"))
-        lists = added.groupBy("source", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("x"))
+        got = table.select("source", "cells").mapInPandas(sums, "source string, i int, " + ", ".join(f"{c} double" for c in names))
+        added = got.groupBy("source", "i").agg(*[F.sum(c).alias(c) for c in names])
         total = {}
-        for row in lists.collect():  # sources by columns, a few numbers each
-            total.setdefault(row["source"], np.zeros((width, size + r + 2)))[row["i"]] = row["x"]
+        for row in added.collect():  # sources by columns, a few numbers each
+            total.setdefault(row["source"], np.zeros((width, len(names))))[row["i"]] = row[2:]
         scatter = {k: max(float(np.sqrt(v[:, -1].sum() / v[:, size - 1].sum())), 1e-6) for k, v in total.items() if k and v[:, size - 1].sum() >= 20}
         pooled = float(np.median(list(scatter.values()))) if scatter else course.pooled
         weight = {k: course.of(k)[1] ** -2 for k in total}
@@ -303,11 +322,11 @@ def start_of_curves(table: DataFrame, times: list[int]) -> tuple[Course, Callabl
         sums = np.zeros((2, len(times)))
         for pdf in frames:
             if len(pdf):
-                y, fit, _, _ = _usable(pdf)
-                sums += [np.where(fit, y, 0).sum(0), fit.sum(0)]
+                y, fit = _cells_of(pdf["cells"])
+                sums += [y.sum(0), fit.sum(0)]
         yield pd.DataFrame({"at": np.arange(len(times)), "y": sums[0], "n": sums[1]})
 
-    got = table.select("low", "high").mapInPandas(middles, "at int, y double, n double").groupBy("at").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
+    got = table.select("cells").mapInPandas(middles, "at int, y double, n double").groupBy("at").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
     mean = np.full(len(t), np.nan)
     number = np.zeros(len(t))
     for x in got:
@@ -334,8 +353,9 @@ def reading_flags(dissolution: DataFrame) -> DataFrame:
         return out
     # Rows of one source together, so that each batch of rows holds few sources.
     table = durable(packed(curves(dissolution), times).sortWithinPartitions("source"))
-    start, between = start_of_curves(table, times)
-    course = fit_course(table, start, lambda pdf: _usable(pdf)[:2], between)
+    cells = durable(course_cells(table))
+    start, between = start_of_curves(cells, times)
+    course = fit_course(cells, start, between)
 
     def flag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = np.asarray(times)
@@ -347,9 +367,8 @@ def reading_flags(dissolution: DataFrame) -> DataFrame:
             spike = np.zeros(y.shape, dtype=bool)
             for source, rows in by_source(pdf):
                 basis, sigma = course.of(source)
-                kept = settle(y[rows], fit[rows], basis, sigma, TIMES_SCATTER)
                 # The course of the readings kept, against which all others are held.
-                z, _ = _posterior(y[rows], kept, basis, sigma)
+                kept, (z, *_) = settle(y[rows], fit[rows], basis, sigma, TIMES_SCATTER)
                 expected = basis[:, -1] + z @ basis[:, :-1].T
                 far = (np.nan_to_num(np.abs(low[rows] - expected)) > TIMES_SCATTER * sigma) | (np.nan_to_num(np.abs(high[rows] - expected)) > TIMES_SCATTER * sigma)
                 spike[rows] = (kept.sum(1) >= 3)[:, None] & ~kept & ~np.isnan(low[rows]) & ~held[rows] & far
@@ -556,14 +575,14 @@ def _start_of_cells(table: DataFrame, width: int) -> Course:
         total = np.zeros((2, width, width))
         for pdf in frames:
             if len(pdf):
-                x, seen = _scaled(pdf)
+                x, seen = _cells_of(pdf["cells"])
                 x = np.clip(x, -3, 3)
                 seen = seen.astype(float)
                 total += [x.T @ x, seen.T @ seen]
         i, j = np.nonzero(total[1])
         yield pd.DataFrame({"i": i, "j": j, "s": total[0][i, j], "n": total[1][i, j]})
 
-    got = table.select("low").mapInPandas(products, "i int, j int, s double, n double").groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("c")).collect()
+    got = table.select("cells").mapInPandas(products, "i int, j int, s double, n double").groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("c")).collect()
     cov = np.zeros((width, width))
     for r in got:
         cov[r["i"], r["j"]] = r["c"]
@@ -573,12 +592,6 @@ def _start_of_cells(table: DataFrame, width: int) -> Course:
     return Course(np.column_stack([vectors[:, ::-1][:, :rank] * lead, np.zeros(width)]), 1.0, {}, {})
 
 
-def _scaled(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(b"".join(pdf["low"]), dtype=np.float32).reshape(len(pdf), -1).astype(float)
-    seen = np.isfinite(x)
-    return np.where(seen, x, 0.0), seen
-
-
 def cell_spikes(table: DataFrame, width: int) -> DataFrame:
     """(batch, f): cells of ``table`` (batch, equipment_train, off, off_high) off the course of their row and off their formulation's level."""
     usual = durable(usual_scatter(table, width))
@@ -595,19 +608,19 @@ def cell_spikes(table: DataFrame, width: int) -> DataFrame:
                 unit = np.stack(pdf["usual"].to_numpy()).astype(float)
                 rows = [(np.frombuffer(b"".join(pdf[c][pdf[c].notna()]), dtype=np.float32).reshape(-1, width) / unit[pdf[c].notna()]).astype(np.float32) for c in ("off", "off_high")]
                 out = pdf[["batch", "source"]].copy()
-                out["low"] = [x.tobytes() for x in rows[0]]
+                out["cells"] = [x.tobytes() for x in rows[0]]
                 top = iter(rows[1])
                 out["high"] = [next(top).tobytes() if b else None for b in pdf["off_high"].notna()]
                 yield out
 
-    scaled = durable(rows.mapInPandas(scale, "batch string, source string, low binary, high binary").sortWithinPartitions("source"))
-    course = fit_course(scaled, _start_of_cells(scaled, width), _scaled)
+    scaled = durable(rows.mapInPandas(scale, "batch string, source string, cells binary, high binary").sortWithinPartitions("source"))
+    course = fit_course(scaled, _start_of_cells(scaled, width))
 
     def far(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
-            x, seen = _scaled(pdf)
+            x, seen = _cells_of(pdf["cells"])
             top = x.copy()
             for k, b in enumerate(pdf["high"]):
                 if b is not None:
@@ -615,8 +628,7 @@ def cell_spikes(table: DataFrame, width: int) -> DataFrame:
             found = np.zeros(x.shape, dtype=bool)
             for source, at in by_source(pdf):
                 basis, sigma = course.of(source)
-                kept = settle(x[at], seen[at], basis, sigma, STANDS_OUT)
-                d, _ = deleted_residuals(x[at], kept, basis, sigma)
+                kept, (_, _, d, _) = settle(x[at], seen[at], basis, sigma, STANDS_OUT)
                 for v in (x, top):
                     stands_out = ~kept | (np.abs(d + v[at] - x[at]) > STANDS_OUT * sigma)
                     found[at] |= stands_out & (np.abs(v[at]) > TIMES_SCATTER)

@@ -50,8 +50,9 @@ def test_fit_settles(spark, monkeypatch):
     rows, _ = made_curves()
     frame = spark.createDataFrame(rows, ROWS)
     packed = durable(S.packed(S.curves(frame), list(TIMES)))
-    start, between = S.start_of_curves(packed, list(TIMES))
-    fit = lambda: S.fit_course(packed, start, lambda pdf: S._usable(pdf)[:2], between)
+    cells = durable(S.course_cells(packed))
+    start, between = S.start_of_curves(cells, list(TIMES))
+    fit = lambda: S.fit_course(cells, start, between)
     course = fit()
     seen = []
     moved = S.moved
@@ -66,8 +67,9 @@ def test_components_are_each_source_s_own(spark):
     rows, _ = made_curves(900)
     rows = [(b, m, n, t, y + (0.4 * t if d == "D2" else 0.0), "D9" if b in ("B00000002", "B00000006") else d) for b, m, n, t, y, d in rows]
     packed = durable(S.packed(S.curves(spark.createDataFrame(rows, ROWS)), list(TIMES)))
-    start, between = S.start_of_curves(packed, list(TIMES))
-    course = S.fit_course(packed, start, lambda pdf: S._usable(pdf)[:2], between)
+    cells = durable(S.course_cells(packed))
+    start, between = S.start_of_curves(cells, list(TIMES))
+    course = S.fit_course(cells, start, between)
     assert set(course.own) == {"D0", "D1", "D2", "D3", "D9"}
     away = {k: np.abs(x - course.basis).max() for k, x in course.own.items()}
     assert away["D2"] > 1 and away["D9"] < 0.3 * away["D2"]
