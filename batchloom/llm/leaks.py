@@ -15,11 +15,17 @@ that columns read straight across, or run together in one line, are each read
 on their own; passages that are UTF-8 read with a wrong codec are set right.
 
 The corpus is read once, however many items there are. A table of bits of fixed
-size, in which every item fingerprint is marked, is broadcast and keeps back
-the page fingerprints that are in no item; it may let others through, which
-find no partner in the join. Pages with hits go on with the texts of the items
-hit, by joins on the page and on the item, so neither side is held whole
-anywhere, and a task extends a page's hits with only the items of its pages.
+size, in which every item fingerprint is marked, keeps back the page
+fingerprints that are in no item. Items of at most ``BLOCK`` letters are
+broadcast, and the join is a look-up in the tasks that read the pages. More
+items go in blocks of that size: pages are then written as letters and
+fingerprints, joined with the items' fingerprints in Spark to tell which pages
+each block hits, and only these are read and extended with the block. Pages are
+not shuffled whole unless there are blocks, and no group of pages or hits is
+gathered anywhere.
+
+How far an extension can get is bounded for all hits at once; those that can
+reach ``MIN_WORDS`` words are then extended one by one.
 
 Defined results for odd input: NULL or empty pages and items never match; of
 boxes that don't fit the lines, or are NULL, none are used and the text is read
@@ -43,14 +49,13 @@ from batchloom.session import durable
 K = 12  # letters of a k-gram
 WINDOW = 6  # k-grams of which one is kept
 MIN_WORDS = 18  # successive words of an item that make a leak
-BLOCK = 4_000_000  # letters of items that a task keeps from one lot of pages to the next
-LOT = 1_000_000  # letters of pages that are read or extended at a time
+BLOCK = 4_000_000  # letters of items that are broadcast at a time
+LOT = 2_000_000  # letters of pages that are read or extended at a time
 BITS = 24  # logarithm of the number of bits that keep back page fingerprints
 ADVERT = 900  # letters of an insertion that may be passed over
 # Letters that scanners take for one another, by the class they share.
 CONFUSED = {"ß": "s", "œ": "o", "æ": "a", "1": "l", "i": "l", "|": "l", "!": "l", "0": "o", "5": "s", "8": "b", "c": "e", "y": "v", "f": "t"}
 SEED, SKIPS = 9, (0, 1, 2, 3, 4, 5, 6, 7, 9, 11)  # letters that show where an item goes on after an insertion, and those left out before
-ANY, STEP = 1 << len(SKIPS) + 1, 1 << len(SKIPS)  # bits beside those of SKIPS: whatever there is, and a step
 _STEPS = ((1, 1), (1, 2), (2, 1), (2, 2), (0, 1), (1, 0), (0, 2), (2, 0), (3, 3), (1, 3), (3, 1), (2, 3), (3, 2), (0, 3), (3, 0), (4, 4))
 
 
@@ -119,10 +124,10 @@ def slots(values: np.ndarray, n_bits: int) -> np.ndarray:
 
 
 class Items:
-    """Letters, words and seeds of some items."""
+    """Index of the k-grams of some items; their letters and words."""
 
     def __init__(self, ids: list, texts: list[str]):
-        self.ids, self.texts = ids, texts
+        self.ids = ids
         classes, owner, at = letters(texts)
         self.owner = owner
         self.start = np.searchsorted(owner, np.arange(len(texts) + 1))
@@ -131,12 +136,32 @@ class Items:
         self.back = self.text[::-1]
         words = np.cumsum(np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) <= 0x20)
         _, self.word = np.unique(words[at], return_inverse=True)
+        values, inside = hashes(classes, owner)
+        places = np.nonzero(inside)[0]
+        order = np.argsort(values[places], kind="stable")
+        self.values, self.places = values[places][order], places[order]
+        self.ahead, self.behind = Seeds(classes, owner), Seeds(classes[::-1], owner[::-1])
+
+    def hits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the hash, item place) of every equal hash."""
+        left, right = np.searchsorted(self.values, values, "left"), np.searchsorted(self.values, values, "right")
+        n = right - left
+        which = np.repeat(np.arange(len(n)), n)
+        return which, self.places[left[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
+
+
+class Seeds:
+    """The seeds, ``SEED`` letters each, of the letters of items read in one direction."""
+
+    def __init__(self, classes: np.ndarray, owner: np.ndarray):
         values, inside = hashes(classes, owner, SEED)
-        self.seeds = np.unique(values[inside])
-        self.seed = np.full(len(classes), -1)  # number of the seed that starts at each letter
-        self.seed[: len(values)][inside] = np.searchsorted(self.seeds, values[inside])
-        self.seed_bits = np.zeros(1 << 20, dtype=bool)
-        self.seed_bits[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
+        self.fours = _fours(classes)
+        self.classes = np.r_[classes, np.zeros(16, dtype=classes.dtype)]
+        self.values = np.unique(values[inside])
+        self.number = np.full(len(classes) + 16, -1)  # of the seed that starts at each letter
+        self.number[: len(values)][inside] = np.searchsorted(self.values, values[inside])
+        self.bits = np.zeros(1 << 20, dtype=bool)
+        self.bits[(self.values >> np.uint64(44)).astype(np.int64)] = True
 
 
 def exact_runs(items: Items, classes: np.ndarray, owner: np.ndarray, page_at: np.ndarray, item_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,65 +201,100 @@ def _fours(classes: np.ndarray) -> np.ndarray:
     return wide[:n] | wide[1 : n + 1] << np.uint64(16) | wide[2 : n + 2] << np.uint64(32) | wide[3 : n + 3] << np.uint64(48)
 
 
-class Beyond:
-    """Tells, for many stretches at once, what an extension can go on with on either side, as bits.
+class Side:
+    """How far extensions of many stretches of equal letters can get in one direction, found for all of them at once.
 
-    Bit k is set where the seed after ``SKIPS[k]`` letters stands within reach
-    of :func:`_resumed`, ``STEP`` where a step of :func:`_forward` applies;
-    ``ANY`` is set close to the end of an item, where shorter pieces do. With no
-    bit set the extension gets nowhere.
+    It follows :func:`_forward` and :func:`_resumed` step by step, but takes
+    the last letters of an item as found, so that it never stops short of them.
     """
 
-    TABLE = 23
+    TABLE = 24
 
-    def __init__(self, items: Items, classes: np.ndarray, owner: np.ndarray):
-        self.items, self.classes, self.owner = items, classes, owner
+    def __init__(self, seeds: Seeds, classes: np.ndarray, owner: np.ndarray):
+        self.seeds = seeds
+        self.fours = _fours(classes)
+        self.classes = np.r_[classes, np.zeros(16, dtype=classes.dtype)]
         values, inside = hashes(classes, owner, SEED)
         at = np.nonzero(inside)[0]
-        at = at[items.seed_bits[(values[at] >> np.uint64(44)).astype(np.int64)]]
-        n = np.searchsorted(items.seeds, values[at])
-        real = items.seeds[np.minimum(n, len(items.seeds) - 1)] == values[at]
+        at = at[seeds.bits[(values[at] >> np.uint64(44)).astype(np.int64)]]
+        n = np.searchsorted(seeds.values, values[at])
+        real = seeds.values[np.minimum(n, len(seeds.values) - 1)] == values[at] if len(seeds.values) else np.zeros(len(at), dtype=bool)
         at, n = at[real], n[real]
         self.width = len(classes) + 1
         self.keys = np.sort(n * self.width + at)
+        self.ends = np.append(self.keys, np.iinfo(np.int64).max)
         self.table = np.zeros(1 << self.TABLE, dtype=bool)
         self.table[self._slot(n, owner[at])] = True
 
     def _slot(self, seed: np.ndarray, page: np.ndarray) -> np.ndarray:
         return (seed * 40503 + page * 2654435761) & ((1 << self.TABLE) - 1)
 
-    def sides(self, item: np.ndarray, page: np.ndarray, item_at: np.ndarray, page_at: np.ndarray, sizes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bits of what may follow, bits of what may stand before) of each stretch."""
-        items = self.items
-        low, high, begin, end = items.start[item], items.start[item + 1], start[page], start[page + 1]
-        i, j = item_at + sizes, page_at + sizes
-        after = self._steps(_fours(items.classes), _fours(self.classes), i, high, j, end)
-        n, m = len(items.classes), len(self.classes)
-        before = self._steps(_fours(items.classes[::-1]), _fours(self.classes[::-1]), n - item_at, n - low, m - page_at, m - begin)
-        for k, skip in enumerate(SKIPS):
-            some = np.flatnonzero(i + skip + SEED <= high)
-            after[some] |= self._seeded(i[some] + skip, page[some], j[some], np.minimum(end[some], j[some] + ADVERT) - SEED).astype(np.int64) << k
-            some = np.flatnonzero(item_at - skip - SEED >= low)
-            before[some] |= self._seeded(item_at[some] - skip - SEED, page[some], np.maximum(begin[some], page_at[some] - ADVERT), page_at[some] - SEED).astype(np.int64) << k
-        return after, before
-
-    def _steps(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, end_a: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> np.ndarray:
-        left, room = end_a - i, end_b - j
-        out = np.zeros(len(i), dtype=bool)
-        of_a, of_b = [a[i + k] for k in range(5)], [b[j + k] for k in range(5)]
-        for da, db in _STEPS:
-            out |= (of_a[da] == of_b[db]) & (left >= da + 4) & (room >= db + 4)
-        return out * STEP + ((left > 0) & (left < SKIPS[-1] + SEED)) * ANY
-
-    def _seeded(self, item_at: np.ndarray, page: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Whether the seed at ``item_at`` starts at some place of the page from ``first`` to ``last``."""
-        seed = self.items.seed[item_at]
-        out = self.table[self._slot(seed, page)]
-        maybe = np.flatnonzero(out)
-        at = np.searchsorted(self.keys, seed[maybe] * self.width + first[maybe])
-        found = np.append(self.keys, np.iinfo(np.int64).max)[at]
-        out[maybe] = found <= seed[maybe] * self.width + last[maybe]
-        return out
+    def reach(self, page: np.ndarray, i: np.ndarray, end_a: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+        """Up to which letter (exclusive) of the item each extension from item place ``i`` and page place ``j`` gets."""
+        i, j = self._forward(i, end_a, j, end_b)
+        on = np.flatnonzero(i < end_a)
+        while len(on):
+            x, y = self._resumed(page[on], i[on], end_a[on], j[on], end_b[on])
+            further = x > i[on]
+            on = on[further]
+            i[on], j[on] = x[further], y[further]
+            on = on[i[on] < end_a[on]]
+        return i
+
+    def _forward(self, i: np.ndarray, end_a: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = i.copy(), j.copy()
+        fa, fb, a, b = self.seeds.fours, self.fours, self.seeds.classes, self.classes
+        on = np.arange(len(i))
+        while len(on):
+            x, y, p, q = i[on], j[on], end_a[on], end_b[on]
+            four = (fa[x] == fb[y]) & (x + 4 <= p) & (y + 4 <= q)
+            one = ~four & (a[x] == b[y]) & (x < p) & (y < q)
+            step = 4 * four + one
+            i[on] += step
+            j[on] += step
+            stopped = on[(step == 0) & (x < p) & (y < q)]
+            on = on[step > 0]
+            if len(stopped):
+                x, y, p, q = i[stopped], j[stopped], end_a[stopped], end_b[stopped]
+                left = np.arange(len(stopped))
+                got = np.zeros((len(stopped), 2), dtype=np.int64)
+                for da, db in _STEPS:
+                    u, v = x[left] + da, y[left] + db
+                    ok = (fa[u] == fb[v]) & (u + 4 <= p[left]) & (v + 4 <= q[left])
+                    got[left[ok]] = da + 4, db + 4
+                    left = left[~ok]
+                last = left[p[left] - x[left] <= 8]
+                got[last] = np.stack([p[last] - x[last], np.zeros(len(last), dtype=np.int64)], 1)
+                i[stopped] += got[:, 0]
+                j[stopped] += got[:, 1]
+                on = np.concatenate([on, stopped[(got[:, 0] > 0) & (i[stopped] < p)]])
+        return i, j
+
+    def _resumed(self, page: np.ndarray, i: np.ndarray, end_a: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where extensions go on after an insertion, at the first seed in the order of ``SKIPS`` and the page from which enough letters are found."""
+        out_i, out_j = i.copy(), j.copy()
+        out_i[end_a - i < SKIPS[-1] + SEED] = end_a[end_a - i < SKIPS[-1] + SEED]
+        on = np.flatnonzero(out_i < end_a)
+        for skip in SKIPS:
+            if not len(on):
+                break
+            seed = self.seeds.number[i[on] + skip]
+            some = np.flatnonzero(self.table[self._slot(seed, page[on])])
+            e, first = on[some], seed[some] * self.width
+            low = np.searchsorted(self.keys, first + j[e], "left")
+            last = first + np.minimum(end_b[e], j[e] + ADVERT) - SEED
+            near = np.flatnonzero(self.ends[low] <= last)
+            e, first, low = e[near], first[near], low[near]
+            n = np.searchsorted(self.keys, last[near], "right") - low
+            which = np.repeat(np.arange(len(e)), n)
+            at = self.keys[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)] - first[which]
+            own = e[which]
+            x, y = self._forward(i[own] + skip + SEED, end_a[own], at + SEED, end_b[own])
+            good = np.flatnonzero((x - i[own] >= 14) | (x >= end_a[own]))
+            own, nearest = np.unique(own[good], return_index=True)  # of each the first, places being in order
+            out_i[own], out_j[own] = x[good[nearest]], y[good[nearest]]
+            on = np.setdiff1d(on, own, assume_unique=True)
+        return out_i, out_j
 
 
 def _forward(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list[tuple[int, int]]) -> tuple[int, int]:
@@ -262,11 +322,9 @@ def _forward(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list
     return i, j
 
 
-def _resumed(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list[tuple[int, int]], bits: int = ANY) -> tuple[int, int]:
-    """Where ``a`` goes on in ``b`` after an insertion; (i, j) if it doesn't. ``bits`` tell which seeds there are."""
-    for k, skip in enumerate(SKIPS):
-        if not bits & (ANY | 1 << k):
-            continue
+def _resumed(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list[tuple[int, int]]) -> tuple[int, int]:
+    """Where ``a`` goes on in ``b`` after an insertion; (i, j) if it doesn't."""
+    for skip in SKIPS:
         seed = a[i + skip : min(i + skip + SEED, end_a)]
         if len(seed) < 6:
             return i, j
@@ -281,26 +339,15 @@ def _resumed(a: str, i: int, end_a: int, b: str, j: int, end_b: int, wrong: list
     return i, j
 
 
-def _reach(a: str, i: int, end_a: int, b: str, j: int, end_b: int, known: dict[tuple[int, int], tuple[int, int, list[tuple[int, int]]]], bits: int = ANY) -> tuple[int, list[tuple[int, int]]]:
-    """How far ``a`` from ``i`` is found in ``b`` from ``j``, and the places of ``a`` that were misread.
-
-    ``known`` remembers where a place that no step leads on from was resumed;
-    ``bits`` are those of :class:`Beyond` for the start.
-    """
+def _reach(a: str, i: int, end_a: int, b: str, j: int, end_b: int) -> tuple[int, list[tuple[int, int]]]:
+    """How far ``a`` from ``i`` is found in ``b`` from ``j``, and the places of ``a`` that were misread."""
     wrong: list[tuple[int, int]] = []
-    if bits & (ANY | STEP):
-        i, j = _forward(a, i, end_a, b, j, end_b, wrong)
-        bits = ANY
+    i, j = _forward(a, i, end_a, b, j, end_b, wrong)
     while i < end_a:
-        got = known.get((i, j))
-        if got is None:
-            missed: list[tuple[int, int]] = []
-            got = known[i, j] = (*_resumed(a, i, end_a, b, j, end_b, missed, bits), missed)
-        if got[0] <= i:
+        x, y = _resumed(a, i, end_a, b, j, end_b, wrong)
+        if x <= i:
             break
-        wrong += got[2]
-        i, j = got[:2]
-        bits = ANY
+        i, j = x, y
     return i, wrong
 
 
@@ -309,24 +356,19 @@ class Extension:
 
     def __init__(self, items: Items, stream: str):
         self.items, self.stream, self.back = items, stream, stream[::-1]
-        self.after: dict = {}
-        self.before: dict = {}
 
-    def successive_words(self, item: int, item_at: int, page_at: int, size: int, begin: int, end: int, least: int, after: int = ANY, before: int = ANY) -> int:
-        """The most successive item words that the page (from ``begin`` to ``end``) holds around a stretch; 0 if surely below ``least``.
+    def successive_words(self, item: int, item_at: int, page_at: int, size: int, begin: int, end: int) -> int:
+        """The most successive item words that the page (from ``begin`` to ``end``) holds around a stretch.
 
-        ``after`` and ``before`` are the bits of :class:`Beyond`. A word is held if more than half of its letters agree.
+        A word is held if more than half of its letters agree.
         """
         items = self.items
         low, high = int(items.start[item]), int(items.start[item + 1])
         n, m = len(items.text), len(self.stream)
-        stop, wrong = _reach(items.text, item_at + size, high, self.stream, page_at + size, end, self.after, after) if after else (item_at + size, [])
-        back, missed = _reach(items.back, n - item_at, n - low, self.back, m - page_at, m - begin, self.before, before) if before else (n - item_at, [])
-        start = n - back
-        if items.word[stop - 1] - items.word[start] + 1 < least:  # no word outside start to stop can be held
-            return 0
+        stop, wrong = _reach(items.text, item_at + size, high, self.stream, page_at + size, end)
+        back, missed = _reach(items.back, n - item_at, n - low, self.back, m - page_at, m - begin)
         good = np.zeros(high - low, dtype=bool)
-        good[start - low : stop - low] = True
+        good[n - back - low : stop - low] = True
         for x, y in wrong:
             good[x - low : y - low] = False
         for x, y in missed:
@@ -335,6 +377,18 @@ class Extension:
         return _longest(2 * np.bincount(words, weights=good) > np.bincount(words))
 
 
+def words_in_reach(items: Items, classes: np.ndarray, owner: np.ndarray, start: np.ndarray, page: np.ndarray, page_at: np.ndarray, item: np.ndarray, item_at: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """At most how many item words each stretch can be extended to; less than ``least`` where it is surely less."""
+    n, m = len(items.classes), len(classes)
+    low, high, begin, end = items.start[item], items.start[item + 1], start[page], start[page + 1]
+    stop = Side(items.ahead, classes, owner).reach(page, item_at + sizes, high, page_at + sizes, end)
+    most = items.word[stop - 1] - items.word[low] + 1  # if all that stands before were found
+    some = np.flatnonzero(most >= least)
+    back = Side(items.behind, classes[::-1], owner[::-1]).reach(page[some], (n - item_at)[some], (n - low)[some], (m - page_at)[some], (m - begin)[some])
+    most[some] = items.word[stop[some] - 1] - items.word[n - back] + 1
+    return most
+
+
 def _longest(held: np.ndarray) -> int:
     edges = np.flatnonzero(np.diff(np.r_[False, held, False].astype(np.int8)))
     return int((edges[1::2] - edges[::2]).max(initial=0))
@@ -389,31 +443,27 @@ def _all(text: str, mark: str) -> list[int]:
     return out
 
 
-def extended(items: Items, streams: list[str], page: np.ndarray, page_at: np.ndarray, item: np.ndarray, item_at: np.ndarray, least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(page, item, successive words) of the leaks among some hits.
-
-    ``streams`` are the letters of pages, one character each; a hit is a k-gram
-    of ``page`` from ``page_at`` and of ``item`` from ``item_at``.
-    """
-    if not len(page):
+def extended(items: Items, streams: list[str], prints: list[np.ndarray], places: list[np.ndarray], least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(page, item, successive words) of the leaks in some pages, given by their letters, one character each, and fingerprints with their places."""
+    which, item_at = items.hits(np.concatenate(prints).view(np.uint64)) if prints else (np.zeros(0, dtype=np.int64),) * 2
+    if not len(which):
         return []
     sizes = np.fromiter((len(x) for x in streams), dtype=np.int64, count=len(streams))
     start = np.r_[0, np.cumsum(sizes)]
     owner = np.repeat(np.arange(len(streams)), sizes)
+    page_at = np.concatenate([at + k for at, k in zip(places, start.tolist(), strict=False)])[which]
     stream = "".join(streams)
     classes = np.frombuffer(stream.encode("utf-16-le"), dtype="<u2")
-    page_at, item_at, sizes = exact_runs(items, classes, owner, start[page] + page_at, items.start[item] + item_at)
-    by = Extension(items, stream)
+    page_at, item_at, sizes = exact_runs(items, classes, owner, page_at, item_at)
     page, item = owner[page_at], items.owner[item_at]
-    after, before = Beyond(items, classes, owner).sides(item, page, item_at, page_at, sizes, start)
-    own = items.word[item_at + sizes - 1] - items.word[item_at] + 1
-    some = np.flatnonzero((after | before != 0) | (own >= least))
-    start = start.tolist()
+    most = words_in_reach(items, classes, owner, start, page, page_at, item, item_at, sizes, least)
+    some = np.flatnonzero(most >= least)
+    some = some[np.argsort(-sizes[some], kind="stable")]
+    by, start = Extension(items, stream), start.tolist()
     best: dict[tuple[int, int], int] = {}
-    for p, q, i, j, size, *sides in zip(*[x[some].tolist() for x in (page, item, item_at, page_at, sizes, after, before)], strict=True):
-        n = by.successive_words(q, i, j, size, start[p], start[p + 1], least, *sides)
-        if n > best.get((p, q), 0):
-            best[p, q] = n
+    for p, q, i, j, size, bound in zip(*[x[some].tolist() for x in (page, item, item_at, page_at, sizes, most)], strict=True):
+        if bound > best.get((p, q), 0):  # else it has been found to be as long already
+            best[p, q] = max(best.get((p, q), 0), by.successive_words(q, i, j, size, start[p], start[p + 1]))
     return [(p, q, n) for (p, q), n in best.items() if n >= least]
 
 
@@ -446,7 +496,7 @@ def page_prints(texts: list[str], bits: np.ndarray) -> list[tuple[str, np.ndarra
 
 
 def item_prints(items: DataFrame) -> DataFrame:
-    """(hash, item, item_at) of all k-grams of ``items`` (item, text)."""
+    """(hash, block) of all k-grams of ``items`` (text, block), each once."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -454,10 +504,9 @@ def item_prints(items: DataFrame) -> DataFrame:
                 classes, owner, _ = letters(list(pdf["text"][lot]))
                 values, inside = hashes(classes, owner)
                 at = np.nonzero(inside)[0]
-                start = np.searchsorted(owner, np.arange(lot.stop - lot.start))
-                yield pd.DataFrame({"hash": values[at].view(np.int64), "item": pdf["item"].to_numpy()[lot][owner[at]], "item_at": (at - start[owner[at]]).astype(np.int32)})
+                yield pd.DataFrame({"hash": values[at].view(np.int64), "block": pdf["block"].to_numpy()[lot][owner[at]]})
 
-    return items.select("item", "text").mapInPandas(cut, "hash long, item long, item_at int")
+    return items.select("text", "block").mapInPandas(cut, "hash long, block int").distinct()
 
 
 def marked_bits(prints: DataFrame, power: int = BITS) -> np.ndarray:
@@ -475,12 +524,15 @@ def find_leaks(documents: DataFrame, items: DataFrame, lot_letters: int = LOT, b
     The other parameters change memory and speed only.
     """
     key, item_key = dict(documents.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
+    context = documents.sparkSession.sparkContext
     box = lambda f: F.transform("line_boxes", lambda b: b[f]).alias(f)
     boxed = "line_boxes" in documents.columns
-    # Rows are numbered, since ids may be repeated; the tables are written, so that the numbers stay.
-    texts = durable(items.where("text is not null and item_id is not null").select(F.monotonically_increasing_id().alias("item"), "item_id", "text"))
+    usable = items.where("text is not null and item_id is not null")
+    blocks = max(1, -(-2 * (usable.agg(F.sum(F.length("text"))).first()[0] or 0) // block))
+    # Blocks are hashed, and of half the size allowed on average, which bounds them.
+    texts = durable(usable.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int").alias("block")))
     prints = durable(item_prints(texts))
-    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(marked_bits(prints, power)))
+    shared = context.broadcast(np.packbits(marked_bits(prints, power)))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.unpackbits(shared.value).astype(bool)
@@ -499,30 +551,30 @@ def find_leaks(documents: DataFrame, items: DataFrame, lot_letters: int = LOT, b
                     rows[name] = [got[k][c] for k in some]
                 yield rows
 
+    def found_in(pages: DataFrame, number: int) -> DataFrame:
+        rows = texts.where(F.col("block") == number).orderBy("item_id", "text").collect()  # at most a block
+        index = context.broadcast(Items([r.item_id for r in rows], [r.text for r in rows]))
+
+        def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                out = []
+                for lot in lots([len(x) for x in pdf["stream"]], lot_letters):
+                    part = pdf[lot]
+                    ids = list(part["doc_id"])
+                    out += [(ids[p], index.value.ids[q], n) for p, q, n in extended(index.value, list(part["stream"]), list(part["hash"]), list(part["at"]))]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words"])
+
+        return pages.mapInPandas(extend, f"doc_id {key}, item_id {item_key}, n_words int")
+
     pages = documents.where("text <> ''").select(F.monotonically_increasing_id().alias("page"), "doc_id", "text", *([box("x0"), box("y0"), box("x1")] if boxed else []))
-    pages = durable(pages.mapInPandas(read, f"page long, doc_id {key}, stream string, hash array<long>, at array<int>"))
-    hits = pages.select("page", F.explode(F.arrays_zip("hash", "at")).alias("p")).select("page", F.col("p.hash").alias("hash"), F.col("p.at").alias("at")).join(prints, "hash")
-    pairs = hits.groupBy("page", "item").agg(F.collect_list(F.struct("item_at", "at")).alias("h")).join(texts, "item")
-    per_page = pairs.groupBy("page").agg(F.collect_list(F.struct("item", "item_id", "text", F.col("h.item_at").alias("item_at"), F.col("h.at").alias("at"))).alias("f"))
-    joined = per_page.join(pages.select("page", "doc_id", "stream"), "page").select("doc_id", "stream", *[F.col(f"f.{c}").alias(c) for c in ("item", "item_id", "text", "item_at", "at")])
-
-    def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, place, index = Items([], []), {}, {}
-        for pdf in frames:
-            out = []
-            for lot in lots([len(x) for x in pdf["stream"]], lot_letters):
-                part = pdf[lot]
-                index = {i: (name, text) for row in zip(part["item"], part["item_id"], part["text"], strict=True) for i, name, text in zip(*row, strict=True)}
-                if not index.keys() <= place.keys():
-                    if len(known.text) < block:  # items already met are likely to come again
-                        index = {i: (known.ids[k], known.texts[k]) for i, k in place.items()} | index
-                    place = {i: k for k, i in enumerate(sorted(index))}
-                    known = Items([index[i][0] for i in place], [index[i][1] for i in place])
-                page = [np.full(len(a), k) for k, row in enumerate(part["at"]) for a in row]
-                item = [np.full(len(a), place[i]) for row, own in zip(part["at"], part["item"], strict=True) for a, i in zip(row, own, strict=True)]
-                flat = lambda c: np.concatenate([a for row in part[c] for a in row]).astype(np.int64)  # noqa: B023, E731
-                ids = list(part["doc_id"])
-                out += [(ids[p], known.ids[q], n) for p, q, n in extended(known, list(part["stream"]), np.concatenate(page), flat("at"), np.concatenate(item), flat("item_at"))]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words"])
-
-    return joined.mapInPandas(extend, f"doc_id {key}, item_id {item_key}, n_words int")
+    pages = pages.mapInPandas(read, f"page long, doc_id {key}, stream string, hash array<long>, at array<int>")
+    if blocks == 1:
+        return found_in(pages, 0)
+    # Pages are numbered, since ids may be repeated, and written, so that the numbers stay and the corpus is read once.
+    pages = durable(pages)
+    hits = durable(pages.select("page", F.explode("hash").alias("hash")).join(prints, "hash").select("page", "block").distinct())
+    found = [durable(found_in(pages.join(hits.where(F.col("block") == number), "page", "left_semi"), number)) for number in range(blocks)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
