@@ -282,8 +282,8 @@ def fit_coding(table: DataFrame, numbers: list[str]) -> Coding:
             if len(pdf):
                 x = unpacked(pdf["dist"], width)
                 row, f = np.nonzero(~np.isnan(x))
-                keys, n = np.unique(np.stack([f, _place(x[row, f])]), axis=1, return_counts=True)
-                yield pd.DataFrame({"f": keys[0], "place": keys[1], "n": n})
+                keys, n = np.unique(f * (4 * ZERO) + _place(x[row, f]) + 2 * ZERO, return_counts=True)
+                yield pd.DataFrame({"f": keys // (4 * ZERO), "place": keys % (4 * ZERO) - 2 * ZERO, "n": n})
 
     got = table.select("dist").mapInPandas(count, "f int, place long, n long").groupBy("f", "place").agg(F.sum("n").alias("n")).toPandas()
     edges, middles = [], []

@@ -54,7 +54,7 @@ TOLERANCE, OWN_TOLERANCE = 0.01, 0.05  # change from one pass to the next, see m
 TIMES_SCATTER = 8.0
 FEW = 20  # readings of a time point below which its course is read off the neighbouring ones
 RUN = 4  # successive equal values that count as stuck
-BIN, EMPTY = 0.04, -40_000  # width of a bin of logarithms, and the bin of zeros
+BIN, EMPTY, SPAN = 0.04, -40_000, 80_000  # width of a bin of logarithms, the bin of zeros, and how many there may be
 HOT = 20_000  # batches of a formulation whose middle one task finds; that of more is found by counting, with the same result
 CHUNK, MARGIN = 5_000, 64  # batches of a train searched for runs at a time, and those of the neighbours looked at
 FEW_VALUES = 12  # runs in columns with no more different values are settings, not stuck values
@@ -209,21 +209,31 @@ def _usable(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def course_cells(table: DataFrame) -> DataFrame:
-    """(source, cells): of the curves of ``table`` the readings fit for the course, NaN where there is none, of the curves with at least four."""
+    """Blocks (source, cells) of the readings of the curves of ``table`` that are fit for the course, NaN where there is none, of those with at least four."""
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
                 y, fit, _, _ = _usable(pdf)
-                many = fit.sum(1) >= 4
-                yield pd.DataFrame({"source": pdf["source"][many], "cells": [x.tobytes() for x in np.where(fit, y, np.nan)[many].astype(np.float32)]})
+                yield in_blocks(pdf, np.where(fit, y, np.nan))
 
-    return table.select("source", "low", "high").mapInPandas(pick, "source string, cells binary")
+    return table.select("source", "low", "high").mapInPandas(pick, BLOCKS)
 
 
-def _cells_of(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(readings, 0 where there is none, and where there are some) of rows of ``cells``."""
-    x = np.frombuffer(b"".join(column), dtype=np.float32).reshape(len(column), -1).astype(float)
+BLOCKS = "source string, rows int, cells binary"
+
+
+def in_blocks(pdf: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+    """The rows of ``x`` with at least four readings, those of one source in one block of bytes."""
+    many = np.isfinite(x).sum(1) >= 4
+    x = x.astype(np.float32)
+    out = [(s, len(own), x[own].tobytes()) for s, at in by_source(pdf) if len(own := at[many[at]])]
+    return pd.DataFrame(out, columns=["source", "rows", "cells"])
+
+
+def _cells_of(block: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(readings, 0 where there is none, and where there are some) of a block."""
+    x = np.frombuffer(block, dtype=np.float32).reshape(rows, -1).astype(float)
     seen = np.isfinite(x)
     return np.where(seen, x, 0.0), seen
 
@@ -248,7 +258,7 @@ def moved(old: Course, new: Course) -> float:
 
 
 def fit_course(table: DataFrame, start: Course, between: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Course:
-    """Components and scatters of the rows of ``table`` (source, cells).
+    """Components and scatters of the rows in the blocks of ``table`` (source, rows, cells).
 
     First the components of all sources together are fitted until they settle,
     then, from there, those of each source. ``between`` mends the components of
@@ -263,15 +273,8 @@ def fit_course(table: DataFrame, start: Course, between: Callable[[np.ndarray],
         def sums(frames: Iterator[pd.DataFrame], course: Course = course, limit: float = 5.0 if n_pass else 6.0) -> Iterator[pd.DataFrame]:
             total: dict[str, np.ndarray] = {}
             for pdf in frames:
-                if not len(pdf):
-                    continue
-                values, fit = _cells_of(pdf["cells"])
-                for source, at in by_source(pdf):
-                    y, seen = values[at], fit[at]
-                    enough = seen.sum(1) >= 4
-                    y, seen = y[enough], seen[enough]
-                    if not len(y):
-                        continue
+                for source, rows, block in zip(pdf["source"], pdf["rows"], pdf["cells"], strict=True):
+                    y, seen = _cells_of(block, rows)
                     seen, (z, cov, d, left) = settle(y, seen, *course.of(source), limit)
                     za = np.concatenate([z, np.ones((len(z), 1))], 1)
                     zz = za[:, :, None] * za[:, None, :]
@@ -282,7 +285,7 @@ def fit_course(table: DataFrame, start: Course, between: Callable[[np.ndarray],
             rows = [(s, i, *row.tolist()) for s, part in total.items() for i, row in enumerate(part)]
             yield pd.DataFrame(rows, columns=["source", "i", *names])
 
-        got = table.select("source", "cells").mapInPandas(sums, "source string, i int, " + ", ".join(f"{c} double" for c in names))
+        got = table.mapInPandas(sums, "source string, i int, " + ", ".join(f"{c} double" for c in names))
         added = got.groupBy("source", "i").agg(*[F.sum(c).alias(c) for c in names])
         total = {}
         for row in added.collect():  # sources by columns, a few numbers each
@@ -321,12 +324,12 @@ def start_of_curves(table: DataFrame, times: list[int]) -> tuple[Course, Callabl
     def middles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((2, len(times)))
         for pdf in frames:
-            if len(pdf):
-                y, fit = _cells_of(pdf["cells"])
+            for rows, block in zip(pdf["rows"], pdf["cells"], strict=True):
+                y, fit = _cells_of(block, rows)
                 sums += [y.sum(0), fit.sum(0)]
         yield pd.DataFrame({"at": np.arange(len(times)), "y": sums[0], "n": sums[1]})
 
-    got = table.select("cells").mapInPandas(middles, "at int, y double, n double").groupBy("at").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
+    got = table.select("rows", "cells").mapInPandas(middles, "at int, y double, n double").groupBy("at").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
     mean = np.full(len(t), np.nan)
     number = np.zeros(len(t))
     for x in got:
@@ -488,8 +491,9 @@ def usual_scatter(table: DataFrame, width: int) -> DataFrame:
             row, col = np.nonzero(~np.isnan(off))
             x = off[row, col]
             at = np.where(x > 0, np.floor(np.log(np.maximum(x, 1e-300)) / BIN), EMPTY).astype(np.int64)
-            keys, n = np.unique(np.stack([train[row], col, at]), axis=1, return_counts=True)
-            yield pd.DataFrame({"equipment_train": np.asarray(names, dtype=object)[keys[0]], "f": keys[1].astype(np.int32), "bin": keys[2].astype(np.int32), "n": n})
+            keys, n = np.unique((train[row] * width + col) * SPAN + at - EMPTY, return_counts=True)
+            column, at = np.divmod(keys, SPAN)
+            yield pd.DataFrame({"equipment_train": np.asarray(names, dtype=object)[column // width], "f": (column % width).astype(np.int32), "bin": (at + EMPTY).astype(np.int32), "n": n})
 
     counts = table.select("equipment_train", "off").mapInPandas(bins, "equipment_train string, f int, bin int, n long").groupBy("equipment_train", "f", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("equipment_train", "f")
@@ -574,15 +578,15 @@ def _start_of_cells(table: DataFrame, width: int) -> Course:
     def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, width, width))
         for pdf in frames:
-            if len(pdf):
-                x, seen = _cells_of(pdf["cells"])
+            for rows, block in zip(pdf["rows"], pdf["cells"], strict=True):
+                x, seen = _cells_of(block, rows)
                 x = np.clip(x, -3, 3)
                 seen = seen.astype(float)
                 total += [x.T @ x, seen.T @ seen]
         i, j = np.nonzero(total[1])
         yield pd.DataFrame({"i": i, "j": j, "s": total[0][i, j], "n": total[1][i, j]})
 
-    got = table.select("cells").mapInPandas(products, "i int, j int, s double, n double").groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("c")).collect()
+    got = table.select("rows", "cells").mapInPandas(products, "i int, j int, s double, n double").groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("c")).collect()
     cov = np.zeros((width, width))
     for r in got:
         cov[r["i"], r["j"]] = r["c"]
@@ -614,13 +618,20 @@ def cell_spikes(table: DataFrame, width: int) -> DataFrame:
                 yield out
 
     scaled = durable(rows.mapInPandas(scale, "batch string, source string, cells binary, high binary").sortWithinPartitions("source"))
-    course = fit_course(scaled, _start_of_cells(scaled, width))
+
+    def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                yield in_blocks(pdf, np.frombuffer(b"".join(pdf["cells"]), dtype=np.float32).reshape(len(pdf), width))
+
+    blocks = durable(scaled.select("source", "cells").mapInPandas(block, BLOCKS))
+    course = fit_course(blocks, _start_of_cells(blocks, width))
 
     def far(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
-            x, seen = _cells_of(pdf["cells"])
+            x, seen = _cells_of(b"".join(pdf["cells"]), len(pdf))
             top = x.copy()
             for k, b in enumerate(pdf["high"]):
                 if b is not None:
