@@ -101,20 +101,23 @@ def clusters(edges: DataFrame, threshold: float = CLUSTER_R) -> DataFrame:
     return label.join(sizes, "c").select(F.col("v").alias("variable"), F.col("c").alias("cluster_id"), "size")
 
 
+def _per_formulation(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """(variable, formulation, n, m, v, lo, hi, mean): the values of each formulation, and the mean of the column's; one pass over the cells."""
+    rows = cells.where("value is not null").join(labels.where("formulation is not null").select("batch", "formulation"), "batch")
+    per = durable(rows.groupBy("variable", "formulation").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.min("value").alias("lo"), F.max("value").alias("hi")))
+    total = per.groupBy("variable").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    return per.join(F.broadcast(total), "variable")  # one row per column
+
+
 def eta_squared(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """(variable, n_groups, eta2): share of a variable's variance that lies between formulations; NULL if it does not vary.
 
     Two steps, so that a hot formulation is summed up where its rows are.
     """
-    rows = cells.join(labels.where("formulation is not null").select("batch", "formulation"), "batch").where("value is not null")
-    total = rows.groupBy("variable").agg(F.avg("value").alias("mean"))
-    per = rows.groupBy("variable", "formulation").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    joined = per.join(F.broadcast(total), "variable")  # one row per column
     between = F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2)
-    within = F.sum(F.col("n") * F.col("v"))
-    share = F.try_divide(between, between + within)
+    share = F.try_divide(between, between + F.sum(F.col("n") * F.col("v")))
     varies = F.min("lo") < F.max("hi")
-    return joined.groupBy("variable").agg(F.count("*").alias("n_groups"), F.when(varies, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).alias("eta2"))
+    return _per_formulation(cells, labels).groupBy("variable").agg(F.count("*").alias("n_groups"), F.when(varies, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).alias("eta2"))
 
 
 def time_r2(cells: DataFrame, labels: DataFrame) -> DataFrame:
@@ -127,17 +130,14 @@ def time_r2(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 def variance_components(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Per variable: mean squares between and within formulations, F, and the share of variance between them."""
-    rows = cells.join(labels.where("formulation is not null").select("batch", "formulation"), "batch").where("value is not null")
-    total = rows.groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd_total"))
-    per = rows.groupBy("variable", "formulation").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    sums = per.join(F.broadcast(total), "variable").groupBy("variable").agg(
+    sums = _per_formulation(cells, labels).groupBy("variable").agg(
         F.sum("n").alias("n"),
         F.count("*").alias("k"),
-        F.min("sd_total").alias("sd_total"),
         F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("ssb"),
         F.sum(F.col("n") * F.col("v")).alias("ssw"),
         F.sum(F.col("n") * F.col("n")).alias("nn"),
     )
+    sums = sums.withColumn("sd_total", F.sqrt(F.try_divide(F.col("ssb") + F.col("ssw"), F.col("n") - 1)))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     out = sums.where("n >= 3 and k >= 2").withColumns({"msb": F.try_divide(F.col("ssb"), k - 1), "msw": F.try_divide(F.col("ssw"), n - k), "n0": F.try_divide(n - F.col("nn") / n, k - 1)})
     between = F.greatest(F.try_divide(F.col("msb") - F.col("msw"), F.col("n0")), F.lit(0.0))
@@ -214,3 +214,94 @@ def dependencies(wide: DataFrame, columns: Sequence[str], tolerance: float = 1e-
             members = sorted(((c, float(x / s)) for c, x, s in zip(columns, d, scale, strict=True) if abs(x) > 1e-6), key=lambda m: -abs(m[1]))
             out.append(dict(members))
     return out
+
+
+def effective_size(wide: DataFrame, labels: DataFrame, predictors: int) -> DataFrame:
+    """One row: batches, formulations, predictors, and whether these are more than a third of the batches, or as many as they or more."""
+    n = wide.select("batch").distinct().join(labels.select("batch", "formulation"), "batch", "left").groupBy("formulation").agg(F.count("*").alias("n"))
+    out = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_batches"), F.count("formulation").alias("n_formulations"))
+    return out.withColumns({"n_predictors": F.lit(predictors), "above_a_third": F.lit(predictors) > F.col("n_batches") / 3, "no_fewer_than_batches": F.lit(predictors) >= F.col("n_batches")})
+
+
+def aliases(eta: DataFrame, time: DataFrame, limit: float = ALIAS_R2) -> DataFrame:
+    """(variable, alias_of, strength) of the variables that hardly differ within a formulation, or follow the date of manufacture.
+
+    ``eta`` is (variable, eta2), ``time`` (variable, r2).
+    """
+    one = eta.where(F.col("eta2") > limit).select("variable", F.lit("formulation").alias("alias_of"), F.col("eta2").alias("strength"))
+    return one.unionByName(time.where(F.col("r2") > limit).select("variable", F.lit("manufacturing_date").alias("alias_of"), F.col("r2").alias("strength")))
+
+
+def cluster_examples(edges: DataFrame, threshold: float = CLUSTER_R) -> DataFrame:
+    """(cluster_id, name, size, a, b, r): each cluster, named after its first member, with its most correlated pair; ties go to the first in the alphabet."""
+    members = clusters(edges, threshold)
+    near = edges.where(F.abs("r") >= threshold).join(members.select(F.col("variable").alias("a"), "cluster_id", "size"), "a")
+    order = F.struct(F.round(-F.abs("r"), 9).alias("k"), "a", "b", "r")
+    best = near.groupBy("cluster_id", "size").agg(F.min(order).alias("m"))
+    name = F.concat(F.lit("cluster["), "cluster_id", F.lit("+"), (F.col("size") - 1).cast("string"), F.lit("]"))
+    return best.select("cluster_id", name.alias("name"), "size", "m.a", "m.b", "m.r")
+
+
+def confounds(edges: DataFrame, alias: DataFrame, threshold: float = CLUSTER_R) -> DataFrame:
+    """(variable, confounded_with): what each variable cannot be told apart from: members of its cluster, the formulation, the date."""
+    members = clusters(edges, threshold)
+    other = members.select(F.col("variable").alias("confounded_with"), "cluster_id")
+    pairs = members.join(other, "cluster_id").where(F.col("variable") != F.col("confounded_with")).select("variable", "confounded_with")  # as many as columns in a cluster
+    return pairs.unionByName(alias.select("variable", F.col("alias_of").alias("confounded_with")))
+
+
+def safe_of_mixtures(wide: DataFrame, predictors: Sequence[str], mixture: Sequence[str], dependent: Sequence[dict[str, float]] = ()) -> dict[str, str]:
+    """(column: reason) of the columns to leave out: of a mixture the component that varies most, of each further dependency its smallest member."""
+    out: dict[str, str] = {}
+    if mixture:
+        pairs = pair_sums(wide, list(mixture))
+        n = np.maximum(np.diag(pairs.n), 1)
+        sd = np.sqrt(np.maximum(np.diag(pairs.xx) / n - (np.diag(pairs.x) / n) ** 2, 0))
+        out[mixture[int(np.argmax(np.round(sd, 12)))]] = "remainder of a mixture"
+    for d in dependent:
+        left = [c for c in d if c not in out]
+        if left and len(left) == len(d):
+            out[left[-1]] = "follows from others"
+    return {c: r for c, r in out.items() if c in predictors}
+
+
+def plan_of(members: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Features and the columns each stands for: a cluster (variable, cluster_id) enters as one, what is in none by itself."""
+    got: dict[str, list[str]] = {}
+    for r in members.where(F.col("variable").isin(list(columns))).orderBy("cluster_id", "variable").collect():
+        got.setdefault(r.cluster_id, []).append(r.variable)
+    out = {m[0] if len(m) == 1 else f"cluster[{m[0]}+{len(m) - 1}]": m for m in got.values()}
+    seen = {c for m in out.values() for c in m}
+    return out | {c: [c] for c in columns if c not in seen}
+
+
+def cluster_features(wide: DataFrame, plan: dict[str, list[str]]) -> DataFrame:
+    """``wide`` with a column per feature of ``plan``: a column as it is, of a cluster the mean of its members' known z values.
+
+    Members that run against the first of their cluster are turned round.
+    """
+    many = {f: m for f, m in plan.items() if len(m) > 1}
+    columns = sorted({c for m in many.values() for c in m})
+    out = [F.col(f"`{m[0]}`").cast("double").alias(f) for f, m in plan.items() if len(m) == 1]
+    if columns:
+        pairs = pair_sums(wide, columns)
+        at = {c: i for i, c in enumerate(columns)}
+        r = pairs.corr()
+        stats = wide.agg(*[F.avg(c_).alias(f"m{i}") for i, c_ in enumerate(_known(columns))], *[F.stddev_pop(c_).alias(f"s{i}") for i, c_ in enumerate(_known(columns))]).first()
+        for f, m in many.items():
+            zs = []
+            for c in m:
+                i = at[c]
+                if not stats[f"s{i}"]:
+                    continue
+                turn = -1.0 if pairs.n[at[m[0]], i] > 2 and r[at[m[0]], i] < 0 else 1.0
+                zs.append((_known([c])[0] - F.lit(stats[f"m{i}"])) * F.lit(turn / stats[f"s{i}"]))
+            known = F.filter(F.array(*zs), lambda z: z.isNotNull())
+            mean = F.aggregate(known, F.lit(0.0), lambda a, z: a + z) / F.size(known)
+            out.append(F.when(F.size(known) > 0, mean).alias(f))
+    keys = [c for c in wide.columns if c == "batch"]
+    return wide.select(*keys, *out)
+
+
+def _known(columns: Sequence[str]) -> list:
+    return [F.when(~F.isnan(F.col(f"`{c}`").cast("double")) & (F.abs(F.col(f"`{c}`").cast("double")) < float("inf")), F.col(f"`{c}`").cast("double")) for c in columns]

@@ -100,8 +100,12 @@ def compare(cells: DataFrame, families: DataFrame, batches: Sequence[str]) -> Da
     return rows.join(F.broadcast(families.select("variable", "family")), "variable", "left").select("variable", "family", *batches)
 
 
-def what_changed(cells: DataFrame, a: str, b: str, least_for_sd: int = 5) -> DataFrame:
-    """Per variable known in both batches: difference, percent, and how many sds of all batches it is."""
+def what_changed(cells: DataFrame, a: str, b: str, least_for_sd: int = 5, min_pct: float | None = None) -> DataFrame:
+    """Per variable known in both batches: difference, percent, how many sds of all batches it is, and its place.
+
+    Places go by the size of z, or, where that is unknown for all, of the
+    percentage, then by name. With ``min_pct`` smaller or unknown percentages are left out.
+    """
     if a == b:
         raise Refusal("a batch cannot be compared with itself")
     per = cells.groupBy("variable").agg(
@@ -112,7 +116,11 @@ def what_changed(cells: DataFrame, a: str, b: str, least_for_sd: int = 5) -> Dat
     both = per.where("a is not null and b is not null").withColumn("difference", F.col("b") - F.col("a"))
     percent = F.when(F.abs("a") > TINY, 100 * F.try_divide(F.col("difference"), F.abs("a")))
     z = F.when(F.col("sd") > TINY, F.try_divide(F.col("difference"), F.col("sd")))
-    return both.select("variable", "a", "b", "difference", percent.alias("percent"), z.alias("z"), (F.col("difference") != 0).alias("changed"))
+    out = both.select("variable", "a", "b", "difference", percent.alias("percent"), z.alias("z"), (F.col("difference") != 0).alias("changed"))
+    if min_pct is not None:
+        out = out.where(F.abs("percent") >= min_pct)
+    order = Window.orderBy(F.desc_nulls_last(F.round(F.abs("z"), 9)), F.desc_nulls_last(F.round(F.abs("percent"), 9)), "variable")  # one row per variable
+    return out.withColumn("place", F.row_number().over(order))
 
 
 def trend(cells: DataFrame, labels: DataFrame, variable: str, bucket_days: int = 30) -> DataFrame:

@@ -23,16 +23,16 @@ BOTH_ABOVE = 85.0
 
 
 def points(dissolution: DataFrame) -> DataFrame:
-    """One point per curve and time: the mean of what was read there, spellings and inexact times brought together."""
+    """One point per curve and time, spellings and inexact times brought together; where readings contradict one another there is none."""
     rows = dissolution.select(
         squeezed(F.col("batch")).alias("batch"),
         canonical_medium(F.col("medium")).alias("medium"),
         "run_no",
         minute(F.col("time_h")).alias("time_min"),
-        finite(F.col("percent_released")).alias("y"),
+        (finite(F.col("percent_released")) + F.lit(0.0)).alias("y"),
     ).where("batch is not null and y is not null and time_min is not null")
-    once = rows.distinct()
-    return once.groupBy(*CURVE, "time_min").agg(F.avg("y").alias("y")).withColumn("t", F.col("time_min") / 60.0)
+    once = rows.groupBy(*CURVE, "time_min").agg(F.min("y").alias("y"), F.max("y").alias("_other")).where("y = _other")
+    return once.drop("_other").withColumn("t", F.col("time_min") / 60.0)
 
 
 def with_previous(pts: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from batchloom.operators.longform import safe_corr
+from batchloom.errors import Refusal
+from batchloom.operators import profiles
+from batchloom.operators.diagnostics import pair_sums
+from batchloom.operators.longform import numeric_columns
 
 LEAST_N, LEAST_RANGE_IN_SD = 3, 3.0
 
@@ -40,11 +44,16 @@ def two_sided_p(r: Column, n: Column) -> Column:
     return F.when(r.isNotNull() & (n > 2), F.when(x == 0, 0.0).otherwise(p))
 
 
-def screen(cells: DataFrame, response: str) -> DataFrame:
-    """(variable, n, r, t, p): correlation of every other variable with the response, pairwise complete. A screen, not findings."""
-    y = cells.where((F.col("variable") == response) & F.col("value").isNotNull()).select("batch", F.col("value").alias("y"))
-    rows = cells.where((F.col("variable") != response) & F.col("value").isNotNull()).join(y, "batch")
-    out = rows.groupBy("variable").agg(F.count("*").alias("n"), safe_corr(F.col("value"), F.col("y")).alias("r"))
+def screen(wide: DataFrame, response: str) -> DataFrame:
+    """(variable, n, r, t, p): correlation of every other numeric column of ``wide`` with the response, pairwise complete. A screen, not findings.
+
+    All sums come from one pass that multiplies rows inside the tasks.
+    """
+    columns = numeric_columns(wide)
+    pairs = pair_sums(wide, columns)
+    corr, y = pairs.corr(), columns.index(response)
+    rows = [(c, int(pairs.n[i, y]), None if np.isnan(corr[i, y]) else float(corr[i, y])) for i, c in enumerate(columns) if i != y and pairs.n[i, y]]
+    out = wide.sparkSession.createDataFrame(rows, "variable string, n long, r double")
     t = F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("r") * F.col("r")))
     return out.withColumns({"t": t, "p": two_sided_p(F.col("r"), F.col("n"))})
 
@@ -70,3 +79,23 @@ def nice_step(sd: Column) -> Column:
 def complexity_cap(n: Column) -> Column:
     """Predictors that ``n`` batches can carry: one per five, from 1 to 10."""
     return F.greatest(F.lit(1), F.least(F.lit(10), F.floor(n / 5).cast("int")))
+
+
+def from_profiles(points: DataFrame, metric: str, medium: str, reference: str | None = None, run_no: int = 1) -> DataFrame:
+    """(batch, y): a metric of each batch's release curve in one medium; ``f1`` and ``f2`` are against the curve of ``reference``.
+
+    Batches whose curve does not give the metric are left out; an unknown
+    metric or medium, or a missing reference, is refused.
+    """
+    chosen = points.where((F.col("medium") == medium) & (F.col("run_no") == run_no))
+    if chosen.isEmpty():
+        raise Refusal(f"no curve in medium {medium!r}")
+    if metric in ("f1", "f2"):
+        if reference is None or chosen.where(F.col("batch") == reference).isEmpty():
+            raise Refusal(f"{metric} needs a reference batch with a curve in the medium")
+        out = profiles.similarity(chosen, reference)
+    else:
+        out = profiles.metrics(chosen)
+    if metric not in out.columns:
+        raise Refusal(f"unknown metric {metric!r}")
+    return out.where(F.col(metric).isNotNull()).select("batch", F.col(metric).alias("y"))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from batchloom.operators import diagnostics, explore, models, profiles, response
+from batchloom.operators import diagnostics, explore, models, profiles, response, variables
 from batchloom.operators.bad_rows import read_fields
 from batchloom.operators.dataset import build_dataset
 from batchloom.operators.longform import batch_labels, clean_wide, exact_quantile, numeric_columns, unpivoted
@@ -44,6 +45,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per batch with the values within their physical bounds; ``dataset_issues`` and ``spec_check`` are on the values as they are."""
     return clean_wide(table(spark, sf_dir, "batch_wide"), table(spark, sf_dir, "variable_families"))
 
 
@@ -77,16 +79,18 @@ _LABELS = rf"""labels AS (
     min(manufacturing_date) AS manufacturing_date
   FROM batch_metadata WHERE batch IS NOT NULL GROUP BY batch)"""
 _POINTS = f"""pts AS (
-  SELECT batch, medium, run_no, m AS time_min, avg(y) AS y, m / 60.0::DOUBLE AS t FROM (
+  SELECT batch, medium, run_no, m AS time_min, min(y) AS y, m / 60.0::DOUBLE AS t FROM (
     SELECT DISTINCT upper(replace(batch, ' ', '')) AS batch, {_MEDIUM} AS medium, run_no,
       CAST(round(time_h * 60) AS INTEGER) AS m, percent_released + 0.0 AS y
     FROM dissolution WHERE percent_released IS NOT NULL AND NOT isnan(percent_released) AND batch IS NOT NULL)
-  GROUP BY 1, 2, 3, 4)"""
-_ROWS = f"""rows AS (
-  SELECT w.batch, formulation, formulation % 5 AS fold, {', '.join(PREDICTORS)}, {RESPONSE} AS y FROM (
+  GROUP BY 1, 2, 3, 4 HAVING count(*) = 1)"""
+_ROWS = f"""known AS (
+  SELECT w.batch, formulation, {', '.join(PREDICTORS)}, {RESPONSE} AS y FROM (
     SELECT batch, {', '.join(f"max(value) FILTER (WHERE variable = '{c}') AS {c}" for c in (*PREDICTORS, RESPONSE))}
     FROM cells GROUP BY batch) w JOIN labels USING (batch)
-  WHERE formulation IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in (*PREDICTORS, RESPONSE))})"""
+  WHERE formulation IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in (*PREDICTORS, RESPONSE))}),
+dealt AS (SELECT formulation, (row_number() OVER (ORDER BY count(*) DESC, formulation) - 1) % 5 AS fold FROM known GROUP BY formulation),
+rows AS (SELECT * FROM known JOIN dealt USING (formulation))"""
 
 
 # ---- release profiles
@@ -294,7 +298,8 @@ WITH {_CELLS}, p AS (SELECT min(batch) AS a FROM batch_wide), q AS (SELECT min(b
 v AS (SELECT variable, max(value) FILTER (WHERE batch = (SELECT a FROM p)) AS a, max(value) FILTER (WHERE batch = (SELECT b FROM q)) AS b,
   CASE WHEN count(value) >= 5 THEN stddev_samp(value) END AS sd FROM cells GROUP BY variable)
 SELECT variable, a, b, round(b - a, 6) + 0.0 AS difference, round(CASE WHEN abs(a) > 1e-12 THEN 100 * (b - a) / abs(a) END, 6) + 0.0 AS percent,
-  round(CASE WHEN sd > 1e-12 THEN (b - a) / sd END, 6) + 0.0 AS z, b <> a AS changed
+  round(CASE WHEN sd > 1e-12 THEN (b - a) / sd END, 6) + 0.0 AS z, b <> a AS changed,
+  row_number() OVER (ORDER BY round(abs(CASE WHEN sd > 1e-12 THEN (b - a) / sd END), 9) DESC NULLS LAST, round(abs(CASE WHEN abs(a) > 1e-12 THEN 100 * (b - a) / abs(a) END), 9) DESC NULLS LAST, variable) AS place
 FROM v WHERE a IS NOT NULL AND b IS NOT NULL""")
 def what_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _first_batches(spark, sf_dir, 2)
@@ -323,13 +328,17 @@ def pseudocomponents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per measured column of the raw files: fields that are no numbers, and the first five different ones."""
+    """Per measured column of the raw files: fields that are no numbers, how many different ones, and the first five of these."""
     fields = read_fields(table(spark, sf_dir, "raw_batch_rows")).where("sound and size(header) = size(fields)")
     names = table(spark, sf_dir, "variable_families").select("variable")
     pairs = fields.select(F.explode(F.arrays_zip("header", "fields")).alias("p")).select(F.col("p.header").alias("variable"), F.col("p.fields").alias("text"))
     number = F.translate(F.trim("text"), ",", ".").rlike(r"\A[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z")
-    bad = pairs.where((F.col("text") != "") & ~number & (F.lower("text") != F.lower("variable"))).groupBy("variable", "text").agg(F.count("*").alias("c"))
-    return bad.join(F.broadcast(names), "variable").groupBy("variable").agg(F.sum("c").alias("n"), F.slice(F.array_sort(F.collect_set("text")), 1, 5).alias("examples"))
+    bad = pairs.where((F.col("text") != "") & ~number & (F.lower("text") != F.lower("variable"))).join(F.broadcast(names), "variable").groupBy("variable", "text").agg(F.count("*").alias("c"))
+    # Of each hash bucket the first five texts, then of these the first five: no task holds all texts of a column.
+    bucket = F.pmod(F.xxhash64("text"), F.lit(256))
+    near = bad.withColumn("r", F.row_number().over(Window.partitionBy("variable", bucket).orderBy("text")))
+    per = near.groupBy("variable").agg(F.sum("c").alias("n"), F.count("*").alias("n_different"), F.slice(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("text")))), 1, 5).alias("examples"))
+    return per
 
 
 # ---- what cannot be told apart
@@ -344,7 +353,7 @@ WITH {_CELLS} SELECT a.variable AS a, b.variable AS b,
   count(*) FILTER (WHERE a.value IS NOT NULL AND b.value IS NOT NULL) AS n
 FROM cells a JOIN cells b ON a.batch = b.batch AND a.variable < b.variable GROUP BY 1, 2""")
 def pairwise_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _wide(spark, sf_dir)
+    wide = durable(_wide(spark, sf_dir))
     return _rounded(diagnostics.correlations(wide, numeric_columns(wide)), "r")
 
 
@@ -357,7 +366,7 @@ reach(u, v) AS (SELECT u, v FROM adj UNION SELECT r.u, a.v FROM reach r JOIN adj
 low AS (SELECT u AS variable, min(least(u, v)) AS cluster_id FROM reach GROUP BY u)
 SELECT variable, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS size FROM low""")
 def corr_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _wide(spark, sf_dir)
+    wide = durable(_wide(spark, sf_dir))
     return diagnostics.clusters(diagnostics.correlations(wide, numeric_columns(wide)))
 
 
@@ -445,13 +454,13 @@ s AS (SELECT variable, count(*) AS n, CASE WHEN count(*) >= 3 AND min(value) < m
   FROM cells JOIN y USING (batch) WHERE variable <> '{RESPONSE}' AND value IS NOT NULL GROUP BY variable)
 SELECT variable, n, round(r, 6) + 0.0 AS r, round(r * sqrt(n - 2) / nullif(sqrt(1 - r * r), 0), 4) + 0.0 AS t FROM s""")
 def univariate_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = response.screen(_cells(spark, sf_dir), RESPONSE).drop("p")
+    out = response.screen(durable(_wide(spark, sf_dir)), RESPONSE).drop("p")
     return _rounded(out, "r").withColumn("t", _r("t", 4))
 
 
 @_query()
 def screen_q_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return response.with_q_values(response.screen(_cells(spark, sf_dir), RESPONSE))
+    return response.with_q_values(response.screen(durable(_wide(spark, sf_dir)), RESPONSE))
 
 
 @_query(f"""
@@ -467,6 +476,7 @@ def effect_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""
 WITH {_CELLS}, {_LABELS}, {_ROWS} SELECT fold::INTEGER AS fold, count(*) AS n_batches, count(DISTINCT formulation) AS n_formulations FROM rows GROUP BY fold""")
 def formulation_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of whole formulations, dealt in turn from the largest down."""
     per = _rows(spark, sf_dir).groupBy("fold", "formulation").agg(F.count("*").alias("n"))
     return per.groupBy("fold").agg(F.sum("n").alias("n_batches"), F.count("*").alias("n_formulations"))
 
@@ -485,31 +495,119 @@ def cv_single_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(float(got["q2"]), 6) + 0.0, round(got["rmse"], 6) + 0.0, got["n"])], "q2 double, rmse double, n long")
 
 
+def _predictors(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The columns of the four predictor families that vary."""
+    families = {r.variable: r.family for r in table(spark, sf_dir, "variable_families").select("variable", "family").collect()}
+    built = build_dataset(table(spark, sf_dir, "batch_wide"), families, table(spark, sf_dir, "batch_metadata"))
+    return [c for c in built.predictors if c != RESPONSE]
+
+
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
+    """(rows for models, features, plan): all predictors, mixtures without their remainder, correlated columns entering as one."""
+    wide = durable(_wide(spark, sf_dir))
+    columns = _predictors(spark, sf_dir)
+    mixture, _ = diagnostics.constant_sums(wide, [c for c in MIXTURE if c in columns])
+    gone = diagnostics.safe_of_mixtures(wide, columns, mixture)
+    kept = [c for c in columns if c not in gone]
+    plan = diagnostics.plan_of(diagnostics.clusters(diagnostics.correlations(wide, kept)), kept)
+    features = diagnostics.cluster_features(wide, plan).join(wide.select("batch", RESPONSE), "batch")
+    rows = durable(models.model_rows(features, _labels(spark, sf_dir), list(plan), RESPONSE, fill=True))
+    return rows, list(plan), plan
+
+
 @_query()
 def model_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out Q2 of every linear model, tuned inside each fold, with the fitted coefficients."""
-    sums = models.fold_sums(_rows(spark, sf_dir), PREDICTORS)
+    """Held-out Q2 of every linear model over all predictors, tuned inside each fold, with the fitted coefficients.
+
+    The group lasso works on the single columns, the members of a cluster being one group.
+    """
+    rows, names, plan = _features(spark, sf_dir)
+    sums = models.fold_sums(rows, names)
+    wide = _wide(spark, sf_dir)
+    single = [c for m in plan.values() for c in m]
+    groups, at = [], 0
+    for m in plan.values():
+        groups.append(list(range(at, at + len(m))))
+        at += len(m)
+    apart = models.fold_sums(models.model_rows(wide, _labels(spark, sf_dir), single, RESPONSE, fill=True), single)
     out = []
     for model in ("ols", "ridge", "lasso", "elastic_net", "group_lasso", "pls"):
-        got = models.cross_validate(model, sums)
-        setting, coef, intercept = models.tuned(model, sums.by_fold)
-        out.append((model, setting, got["q2"], got["rmse"], got["n"], float(intercept), [float(c) for c in coef]))
-    return spark.createDataFrame(out, "model string, setting string, q2 double, rmse double, n long, intercept double, coef array<double>")
+        s, g = (apart, groups) if model == "group_lasso" else (sums, None)
+        got = models.cross_validate(model, s, g)
+        setting, coef, intercept = models.tuned(model, s.by_fold, g)
+        out.append((model, setting, got["q2"], got["rmse"], got["n"], intercept, {c: float(x) for c, x in zip(s.columns, coef, strict=True) if x}))
+    return spark.createDataFrame(out, "model string, setting string, q2 double, rmse double, n long, intercept double, coef map<string,double>")
 
 
 @_query()
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the held-out Q2 of ridge beats refits to permuted responses, and what may be said."""
-    rows = durable(_rows(spark, sf_dir))
-    sums = models.fold_sums(rows, PREDICTORS)
-    q2 = models.cross_validate("ridge", sums)["q2"]
-    null = durable(models.permutation_null(rows, sums, "ridge"))
+    """Whether the held-out Q2 of the elastic net beats complete refits to permuted responses."""
+    rows, names, _ = _features(spark, sf_dir)
+    sums = models.fold_sums(rows, names)
+    q2 = models.cross_validate("elastic_net", sums)["q2"]
+    null = durable(models.permutation_null(rows, sums, "elastic_net"))
     return models.permutation_summary(null, q2).withColumn("q2", F.lit(q2))
 
 
 @_query()
 def stability_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.stability(_rows(spark, sf_dir), PREDICTORS, "lasso")
+    """How often the elastic net keeps each feature over resampled formulations, the steadiest first."""
+    rows, names, _ = _features(spark, sf_dir)
+    return models.stability(rows, names).orderBy(F.desc("frequency"), "feature")
+
+
+@_query()
+def stability_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over resampled single batches."""
+    rows, names, _ = _features(spark, sf_dir)
+    return models.stability(rows, names, scheme="batch", replicates=200).orderBy(F.desc("frequency"), "feature")
+
+
+@_query()
+def validation_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be said of the elastic net: held-out Q2, beside that over random rows (for comparison only), the permutation null and stability."""
+    rows, names, _ = _features(spark, sf_dir)
+    return models.validated(rows, names)
+
+
+@_query(f"""
+WITH {_CELLS}, {_LABELS}, {_ROWS}
+SELECT 'leave_one_formulation_out' AS scheme, count(DISTINCT formulation) AS n_folds, count(*) AS n_batches FROM rows
+UNION ALL SELECT 'grouped_kfold_formulation', count(DISTINCT fold), count(*) FROM rows
+UNION ALL SELECT 'leave_one_batch_out', count(DISTINCT batch), count(*) FROM rows""")
+def grouped_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schemes by which batches are left out, and their numbers of folds."""
+    rows = durable(_rows(spark, sf_dir))
+    out = None
+    for scheme in models.SCHEMES:
+        folds = models.split(rows, scheme).groupBy("fold").agg(F.count("*").alias("n"))
+        one = folds.agg(F.count("*").alias("n_folds"), F.sum("n").alias("n_batches")).select(F.lit(scheme).alias("scheme"), "n_folds", "n_batches")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _held_out_sql(fold: str) -> str:
+    return f"""
+WITH {_CELLS}, {_LABELS}, {_ROWS}, u AS (SELECT *, {fold} AS unit FROM rows),
+f AS (SELECT unit, count(*)::DOUBLE AS n, sum(hpmc_level_pct) AS x, sum(y) AS y, sum(hpmc_level_pct * hpmc_level_pct) AS xx, sum(hpmc_level_pct * y) AS xy FROM u GROUP BY unit),
+a AS (SELECT sum(n) AS n, sum(x) AS x, sum(y) AS y, sum(xx) AS xx, sum(xy) AS xy FROM f),
+t AS (SELECT f.unit, a.n - f.n AS n, a.x - f.x AS x, a.y - f.y AS y, a.xx - f.xx AS xx, a.xy - f.xy AS xy FROM f, a),
+c AS (SELECT unit, (xy - x * y / n) / (xx - x * x / n) AS slope, y / n AS my, x / n AS mx FROM t)
+SELECT u.batch, unit AS fold, round(u.y, 6) + 0.0 AS observed, round(my + slope * (hpmc_level_pct - mx), 6) + 0.0 AS prediction FROM u JOIN c USING (unit)"""
+
+
+@_query(_held_out_sql("formulation"))
+def heldout_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch's response and what least squares on one predictor, fitted without its formulation, says."""
+    out = models.held_out_line(models.split(durable(_rows(spark, sf_dir)), "leave_one_formulation_out"))
+    return out.select("batch", "fold", _r("y").alias("observed"), _r("prediction").alias("prediction"))
+
+
+@_query(_held_out_sql("batch"))
+def heldout_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, leaving out one batch at a time."""
+    out = models.held_out_line(models.split(durable(_rows(spark, sf_dir)), "leave_one_batch_out"))
+    return out.select("batch", "fold", _r("y").alias("observed"), _r("prediction").alias("prediction"))
 
 
 @_query()
@@ -529,14 +627,11 @@ def scheffe_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, float(b)) for c, b in zip(MIXTURE, coef, strict=True)], "component string, coef double")
 
 
-@_query(f"""
-WITH {_CELLS}, {_LABELS}, {_ROWS}, c AS (SELECT regr_slope(y, hpmc_level_pct) AS s, regr_intercept(y, hpmc_level_pct) AS i FROM rows)
-SELECT batch, round(i + s * hpmc_level_pct, 6) + 0.0 AS prediction, round(y, 6) + 0.0 AS observed FROM rows, c""")
+@_query(_held_out_sql("fold"))
 def observed_vs_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every batch's response and what a single-predictor fit to all batches says."""
-    rows = durable(_rows(spark, sf_dir))
-    coef, intercept = models.ridge(models.fold_sums(rows.select("fold", "x0", "y"), PREDICTORS[:1]).total, 0.0)
-    return models.with_prediction(rows, coef, intercept).select("batch", _r("prediction").alias("prediction"), _r("y").alias("observed"))
+    """Every batch's response and what least squares on one predictor, fitted without its fold of formulations, says."""
+    out = models.held_out_line(models.split(durable(_rows(spark, sf_dir)), "grouped_kfold_formulation"))
+    return out.select("batch", F.col("fold").cast("long").alias("fold"), _r("y").alias("observed"), _r("prediction").alias("prediction"))
 
 
 @_query(f"""
@@ -592,6 +687,176 @@ def dataset_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.issues.where("code <> 'HIGH_MISSINGNESS'").select("severity", "code", "n_rows")
 
 
+# ---- the dictionary of variables, roles and aliases
+
+
+@_query("SELECT variable, family, unit, low, high FROM variable_families WHERE family IN ('FORMULATION', 'RESPONSE')")
+def variable_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variables.dictionary(table(spark, sf_dir, "variable_families"), ("FORMULATION", "RESPONSE")).select("variable", "family", "unit", "low", "high")
+
+
+@_query("SELECT family, count(*) AS n_variables FROM variable_families GROUP BY family")
+def variables_per_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variables.per_family(table(spark, sf_dir, "variable_families"))
+
+
+@_query("SELECT variable, count(DISTINCT family) AS n_families FROM variable_families GROUP BY variable HAVING count(DISTINCT family) > 1")
+def dual_role_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variables.dual_role(table(spark, sf_dir, "variable_families"))
+
+
+@_query("""
+WITH h AS (SELECT DISTINCT trim(unnest(string_split_regex(raw_line, '[,;\t]')), '" ') AS variable FROM raw_batch_rows WHERE line_no = 1)
+SELECT variable, coalesce(min(family), 'PROCESS') AS family, regexp_matches(lower(variable), 'pct|%|percent|_ww$') AS percent,
+  coalesce(coalesce(min(family), 'PROCESS') IN ('FORMULATION', 'PROCESS', 'MATERIAL'), TRUE) AS settable
+FROM h LEFT JOIN variable_families USING (variable) GROUP BY variable""")
+def roles_of_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family and roles of every column that the raw files' headers name."""
+    heads = table(spark, sf_dir, "raw_batch_rows").where("line_no = 1")
+    names = heads.select(F.explode(F.split("raw_line", r"[,;\t]")).alias("v")).select(F.trim(F.col("v"), F.lit('" ')).alias("variable")).distinct()
+    known = variables.families_for(names, table(spark, sf_dir, "variable_families"))
+    return known.select("variable", "family", variables.looks_like_percent(F.col("variable")).alias("percent"), variables.settable(F.col("family")).alias("settable"))
+
+
+_SEARCHED = (*variables.CAUSAL, r"\bnew\b")
+# Words end where no letter, digit or underscore of any script follows.
+_CAUSAL_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{p}' AS pattern FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){p.removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b')}($|[^\\p{{L}}\\p{{N}}_])')" for p in _SEARCHED
+)
+
+
+@_query(f"SELECT pattern, count(*) AS n_texts FROM ({_CAUSAL_SQL}) GROUP BY pattern")
+def causal_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with causal phrases, by pattern; one more pattern that is frequent in any text shows that they are searched."""
+    hits = variables.causal_language(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", _SEARCHED)
+    return hits.groupBy("pattern").agg(F.countDistinct("doc_id").alias("n_texts"))
+
+
+@_query(f"""
+WITH {_LABELS}, w AS (SELECT DISTINCT batch FROM batch_wide WHERE batch IS NOT NULL), n AS (SELECT count(*) AS b, count(DISTINCT formulation) AS f FROM w LEFT JOIN labels USING (batch))
+SELECT b AS n_batches, f AS n_formulations, 40 AS n_predictors, 40 > b / 3.0 AS above_a_third, 40 >= b AS no_fewer_than_batches FROM n""")
+def effective_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches and formulations against forty predictors."""
+    return diagnostics.effective_size(table(spark, sf_dir, "batch_wide").where("batch is not null"), _labels(spark, sf_dir), 40)
+
+
+_ETA_SQL = SQL["eta_squared"].strip().removeprefix("WITH").strip()
+
+
+@_query(f"""
+WITH e AS (WITH {_ETA_SQL}), t AS ({SQL['time_r2']})
+SELECT variable, 'formulation' AS alias_of, eta2 AS strength FROM e WHERE eta2 > 0.6
+UNION ALL SELECT variable, 'manufacturing_date', r2 FROM t WHERE r2 > 0.6""")
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables of which formulation or date of manufacture explains more than 60 %."""
+    cells, labels = durable(_cells(spark, sf_dir)), durable(_labels(spark, sf_dir))
+    return _rounded(diagnostics.aliases(diagnostics.eta_squared(cells, labels), diagnostics.time_r2(cells, labels), 0.6), "strength")
+
+
+_NEAR = f"""{_CELLS},
+edges AS (SELECT a.variable AS a, b.variable AS b, corr(a.value, b.value) AS r FROM cells a JOIN cells b ON a.batch = b.batch AND a.variable < b.variable
+  GROUP BY 1, 2 HAVING stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0 AND count(*) FILTER (WHERE a.value IS NOT NULL AND b.value IS NOT NULL) >= 3),
+adj AS (SELECT a AS u, b AS v FROM edges WHERE abs(r) >= 0.9 UNION SELECT b, a FROM edges WHERE abs(r) >= 0.9),
+reach(u, v) AS (SELECT u, v FROM adj UNION SELECT r.u, a.v FROM reach r JOIN adj a ON a.u = r.v),
+low AS (SELECT u AS variable, min(least(u, v)) AS cluster_id, count(DISTINCT v) AS size FROM reach GROUP BY u)"""
+
+
+@_query(f"""
+WITH RECURSIVE {_NEAR}
+SELECT cluster_id, 'cluster[' || cluster_id || '+' || (size - 1) || ']' AS name, size, a, b, round(r, 6) + 0.0 AS r FROM (
+  SELECT cluster_id, size, a, b, r, row_number() OVER (PARTITION BY cluster_id ORDER BY round(-abs(r), 9), a, b) AS k FROM edges JOIN low ON low.variable = edges.a WHERE abs(r) >= 0.9) WHERE k = 1""")
+def cluster_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = durable(_wide(spark, sf_dir))
+    return _rounded(diagnostics.cluster_examples(durable(diagnostics.correlations(wide, numeric_columns(wide)))), "r")
+
+
+@_query(f"""
+WITH RECURSIVE {_NEAR}, e AS (WITH {_ETA_SQL}), t AS ({SQL['time_r2']})
+SELECT a.variable, b.variable AS confounded_with FROM low a JOIN low b ON a.cluster_id = b.cluster_id AND a.variable <> b.variable
+UNION ALL SELECT variable, 'formulation' FROM e WHERE eta2 > 0.95 UNION ALL SELECT variable, 'manufacturing_date' FROM t WHERE r2 > 0.95""")
+def confounded_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each variable cannot be told apart from."""
+    wide = durable(_wide(spark, sf_dir))
+    cells, labels = unpivoted(wide, numeric_columns(wide)), durable(_labels(spark, sf_dir))
+    alias = diagnostics.aliases(diagnostics.eta_squared(cells, labels), diagnostics.time_r2(cells, labels))
+    return diagnostics.confounds(durable(diagnostics.correlations(wide, numeric_columns(wide))), alias)
+
+
+@_query()
+def cluster_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that models work on, and the columns each stands for."""
+    _, _, plan = _features(spark, sf_dir)
+    return spark.createDataFrame([(f, m) for f, m in plan.items()], "feature string, members array<string>")
+
+
+@_query(f"""
+WITH {_CELLS}, w AS (SELECT batch, {', '.join(f"max(value) FILTER (WHERE variable = '{c}') AS {c}" for c in MIXTURE[:3])} FROM cells GROUP BY batch),
+s AS (SELECT batch, {', '.join(f'{c} / nullif({" + ".join(f"coalesce({m}, 0)" for m in MIXTURE[:3])}, 0) AS s{i}' for i, c in enumerate(MIXTURE[:3]))} FROM w)
+SELECT batch, {', '.join(f'round(s{i}, 6) + 0.0 AS "{c}"' for i, c in enumerate(MIXTURE[:3]))},
+  {', '.join(f'round(s{i} * s{j}, 6) + 0.0 AS "{MIXTURE[i]} x {MIXTURE[j]}"' for i in range(3) for j in range(i + 1, 3))} FROM s""")
+def mixture_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of three components of the mixture, and the products of every two: the terms of a quadratic mixture model."""
+    return models.mixture_terms(_wide(spark, sf_dir), MIXTURE[:3], lambda x: _r(x))
+
+
+@_query(f"""
+WITH {_CELLS}, w AS (SELECT batch, {', '.join(f"max(value) FILTER (WHERE variable = '{c}') AS {c}" for c in (*MIXTURE[:2], RESPONSE))} FROM cells GROUP BY batch),
+k AS (SELECT {MIXTURE[0]} / ({MIXTURE[0]} + {MIXTURE[1]}) AS p, {MIXTURE[1]} / ({MIXTURE[0]} + {MIXTURE[1]}) AS q, {RESPONSE} AS y FROM w
+  JOIN (WITH {_LABELS} SELECT batch FROM labels WHERE formulation IS NOT NULL) USING (batch)
+  WHERE {MIXTURE[0]} IS NOT NULL AND {MIXTURE[1]} IS NOT NULL AND {RESPONSE} IS NOT NULL AND {MIXTURE[0]} + {MIXTURE[1]} > 0),
+t AS (SELECT sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(p * y) AS py, sum(q * y) AS qy FROM k),
+b AS (SELECT (py * qq - qy * pq) / (pp * qq - pq * pq) AS one, (qy * pp - py * pq) / (pp * qq - pq * pq) AS two FROM t)
+SELECT '{MIXTURE[0]}' AS a, '{MIXTURE[1]}' AS b, round(one - two, 4) + 0.0 AS difference FROM b""")
+def component_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What replacing one component of a two-part mixture by the other does to the response."""
+    coef = models.mixture_fit(models.model_rows(_wide(spark, sf_dir), _labels(spark, sf_dir), MIXTURE[:2], RESPONSE), MIXTURE[:2])
+    return spark.createDataFrame([(a, b, round(d, 4) + 0.0) for a, b, d in models.contrasts(MIXTURE[:2], coef)], "a string, b string, difference double")
+
+
+@_query()
+def scheffe_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of the quadratic mixture model, and every contrast of two components."""
+    rows = models.model_rows(_wide(spark, sf_dir), _labels(spark, sf_dir), MIXTURE, RESPONSE)
+    terms, coef = models.mixture_fit_quadratic(rows, MIXTURE)
+    return spark.createDataFrame([(c, float(b)) for c, b in zip(terms, coef, strict=True)], "term string, coef double")
+
+
+@_query()
+def effects_per_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one unit of every column changes in the elastic net's prediction, the largest effects per spread first."""
+    rows, names, plan = _features(spark, sf_dir)
+    _, coef, _ = models.tuned("elastic_net", models.fold_sums(rows, names).by_fold)
+    return models.per_unit(_wide(spark, sf_dir), plan, dict(zip(names, map(float, coef), strict=True))).orderBy(F.desc(F.abs("per_sd")), "variable")
+
+
+@_query(f"""
+WITH {_POINTS}, seq AS (SELECT *, lag(t, 1, 0.0::DOUBLE) OVER w AS t0, lag(y, 1, 0.0::DOUBLE) OVER w AS y0 FROM pts WHERE medium = 'pH 6.8 phosphate' AND run_no = 1 WINDOW w AS (PARTITION BY batch ORDER BY t))
+SELECT batch, round(CASE WHEN count(*) >= 2 AND sum(y - y0) > 0 THEN sum((t + t0) / 2 * (y - y0)) / sum(y - y0) END, 6) + 0.0 AS y FROM seq GROUP BY batch
+HAVING CASE WHEN count(*) >= 2 AND sum(y - y0) > 0 THEN TRUE END""")
+def response_from_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean dissolution time in one medium as the response to be explained."""
+    return _rounded(response.from_profiles(_points(spark, sf_dir), "mdt", "pH 6.8 phosphate"), "y")
+
+
+@_query(f"""
+WITH {_POINTS}, ref AS (SELECT time_min, y AS r FROM pts WHERE batch = '{CONTROL}' AND run_no = 1 AND medium = '0.1N HCl')
+SELECT batch, round(50 * log10(100 / sqrt(1 + avg((r - y) * (r - y)))), 6) + 0.0 AS y FROM pts JOIN ref USING (time_min) WHERE medium = '0.1N HCl' AND run_no = 1 GROUP BY batch HAVING count(*) >= 3""")
+def response_from_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity (f2) to the control batch in one medium as the response."""
+    return _rounded(response.from_profiles(_points(spark, sf_dir), "f2", "0.1N HCl", CONTROL), "y")
+
+
+@_query(f"""
+WITH {_CELLS}, p AS (SELECT min(batch) AS a FROM batch_wide), q AS (SELECT min(batch) AS b FROM batch_wide WHERE batch > (SELECT a FROM p))
+SELECT variable, min(family) AS family, max(value) FILTER (WHERE batch = (SELECT a FROM p)) AS first, max(value) FILTER (WHERE batch = (SELECT b FROM q)) AS second
+FROM cells LEFT JOIN variable_families USING (variable) GROUP BY variable""")
+def compare_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two batches side by side, one row per variable."""
+    a, b = _first_batches(spark, sf_dir, 2)
+    out = explore.compare(_cells(spark, sf_dir), table(spark, sf_dir, "variable_families"), [a, b])
+    return out.select("variable", "family", F.col(a).alias("first"), F.col(b).alias("second"))
+
+
 # ---- streaming
 
 

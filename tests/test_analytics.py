@@ -79,6 +79,13 @@ def test_solvers_meet_their_conditions():
     assert np.allclose(models.pls(m, 5), np.linalg.solve(m.s, m.c))
     groups = [[0, 1], [2, 3, 4]]
     assert not models.group_lasso(m, groups, models.group_lasso_limit(m, groups) * 1.001).any()
+    lam = models.group_lasso_limit(m, groups) * 0.5
+    t, places = models.orthonormal_blocks(m, groups)
+    b = np.linalg.lstsq(t, models.group_lasso(m, groups, lam), rcond=None)[0]
+    grad = t.T @ m.c - t.T @ m.s @ t @ b
+    for g in places:  # the subgradient of each block
+        size = np.linalg.norm(b[g])
+        assert np.allclose(grad[g], lam * np.sqrt(len(g)) * b[g] / size, atol=1e-6) if size else np.linalg.norm(grad[g]) <= lam * np.sqrt(len(g)) + 1e-9
     assert np.allclose(models.group_lasso(m, groups, 1e-9), np.linalg.solve(m.s, m.c), atol=1e-4)
 
 
