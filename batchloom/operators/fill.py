@@ -43,6 +43,7 @@ CATEGORIES = ("scale", "equipment_train", "site", "operator_shift")
 BINS = 9  # bins of a measured field
 LABELS = 1000  # labels of a category field with a bin of their own; rarer ones share one, and are told apart by the group's frequencies
 GROUP = 20_000  # batches of a formulation whose medians one task finds; those of more are found by counting, with the same result
+BELIEFS = 1_000_000  # bins of rows whose posteriors a task holds at a time; fields with many labels take many
 WIDTH, ZERO = 0.02, 40_000  # width of a bin of logarithms of distances, and what keeps their numbers positive
 PERIOD_MONTHS = 3  # batches made within one such period count as made around the same time
 
@@ -151,39 +152,52 @@ def group_middles(v: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.repeat(low, size), np.repeat(high, size), np.repeat(n, size)
 
 
-def by_formulation(batches: DataFrame, inside: Column, hot: int) -> DataFrame:
-    """``batches`` with ``levels`` and ``bucket``: rows of one bucket are to be one task's.
+@dataclass(frozen=True)
+class Middles:
+    """Of formulations, sorted, the two middle values per place of ``v``, NaN where there are none."""
+
+    formulations: np.ndarray
+    values: np.ndarray  # formulations, places, 2
+
+
+def by_formulation(batches: DataFrame, inside: Column, hot: int) -> tuple[DataFrame, Middles]:
+    """``batches`` with ``bucket``: rows of one bucket are to be one task's; and the middles of the formulations that no bucket holds whole.
 
-    Formulations share buckets and lie in one whole, with NULL as ``levels``.
-    Those of more than ``hot`` batches are spread over all buckets; their
-    ``levels`` give the two middle values per place of ``v``, found by
-    counting over all tasks. ``inside`` tells which values count, from
-    ``variable`` and ``value``.
+    Formulations share buckets and lie in one whole. Those of more than
+    ``hot`` batches are spread over all buckets; their middles, found by
+    counting over all tasks, go to the tasks once and not with every row.
+    ``inside`` tells which values count, from ``variable`` and ``value``.
     """
-    sizes = durable(batches.where("formulation is not null").groupBy("formulation").count())
-    large = sizes.where(F.col("count") > hot).select("formulation")
+    sizes = durable(batches.groupBy("formulation").count())
+    large = sizes.where((F.col("count") > hot) & F.col("formulation").isNotNull()).select("formulation")
     n = sizes.agg(F.sum("count")).first()[0] or 0
-    own = F.when(F.col("formulation").isNull() | F.col("levels").isNotNull(), F.xxhash64("batch")).otherwise(F.xxhash64("formulation"))
-    if large.isEmpty():
-        marked = batches.withColumn("levels", F.lit(None).cast("map<int,array<double>>"))
-    else:
-        cells = batches.join(F.broadcast(large), "formulation").select("formulation", F.posexplode("v").alias("variable", "value"))  # at most n / hot formulations
-        mids = exact_middles(durable(cells.where(inside)), ["formulation", "variable"])
-        per = mids.groupBy("formulation").agg(F.map_from_entries(F.collect_list(F.struct("variable", F.array("low", "high")))).alias("levels"))
-        marked = batches.join(F.broadcast(per), "formulation", "left")
-    return marked.withColumn("bucket", F.pmod(own, F.lit(max(1, -(-n // hot)))).cast("int"))
-
-
-def middles_of(pdf: pd.DataFrame, v: np.ndarray, hot: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    names = np.array(sorted(r[0] for r in large.collect()), dtype=np.int64)  # at most n / hot
+    values = np.full((len(names), 0, 2), np.nan)
+    spread = F.col("formulation").isNull()
+    if len(names):
+        cells = batches.join(F.broadcast(large), "formulation").select("formulation", F.posexplode("v").alias("variable", "value"))
+        got = exact_middles(durable(cells.where(inside)), ["formulation", "variable"]).toPandas()
+        values = np.full((len(names), int(got["variable"].max()) + 1 if len(got) else 0, 2), np.nan)
+        values[np.searchsorted(names, got["formulation"].to_numpy(dtype=np.int64)), got["variable"].to_numpy(dtype=np.int64)] = got[["low", "high"]].to_numpy(dtype=float)
+        batches = batches.join(F.broadcast(large.withColumn("_large", F.lit(True))), "formulation", "left")
+        spread = spread | F.col("_large").isNotNull()
+    own = F.when(spread, F.xxhash64("batch")).otherwise(F.xxhash64("formulation"))
+    # Buckets of a quarter of ``hot`` on average: one with several large formulations stays near ``hot``.
+    return batches.withColumn("bucket", F.pmod(own, F.lit(max(1, -(-4 * n // hot)))).cast("int")).drop("_large"), Middles(names, values)
+
+
+def middles_of(pdf: pd.DataFrame, v: np.ndarray, hot: int, large: Middles) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(place, lower middle, upper middle, number of values) per row of a bucket sorted by formulation."""
     group = pdf["formulation"].fillna(2**62).astype(np.int64).to_numpy()
-    given = np.flatnonzero(pdf["levels"].notna())
-    levels = [dict(pdf["levels"].iat[k]) for k in given]
+    at = np.searchsorted(large.formulations, group)
+    given = np.flatnonzero(np.append(large.formulations, 2**62)[at] == group)
+    given = given[group[given] != 2**62]
     for f in range(v.shape[1]):
         a, b, n = group_middles(v[:, f], group)
-        for k, known in zip(given, levels, strict=True):
-            got = known.get(f)
-            a[k], b[k], n[k] = (got[0], got[1], hot) if got is not None else (np.nan, np.nan, 0)
+        if len(given):
+            known = large.values[at[given], f] if f < large.values.shape[1] else np.full((len(given), 2), np.nan)
+            a[given], b[given] = known.T
+            n[given] = np.where(np.isnan(known[:, 0]), 0, hot)
         n[group == 2**62] = 0
         yield f, a, b, n
 
@@ -206,12 +220,13 @@ def distances(batches: DataFrame, width: int, hot: int = GROUP) -> DataFrame:
     """
     by_period = period_levels(batches, width)
     blank = np.full(width, np.nan)
+    placed, large = by_formulation(batches, F.col("value").isNotNull(), hot)
 
     def level(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("formulation", kind="stable", na_position="last").reset_index(drop=True)
         v = np.stack(pdf["v"].to_numpy()).astype(float)
         at, source = np.empty(v.shape), np.zeros(v.shape, dtype=np.int8)
-        for f, a, b, n in middles_of(pdf, v, hot):
+        for f, a, b, n in middles_of(pdf, v, hot, large):
             at[:, f] = np.where(n > 0, (a + b) / 2, np.nan)
         for k, others in ((1, np.stack([by_period.get(None if p != p else p, blank) for p in pdf["period"]])), (2, by_period[None][None, :])):
             gone = np.isnan(at)
@@ -226,7 +241,7 @@ def distances(batches: DataFrame, width: int, hot: int = GROUP) -> DataFrame:
 
     labels = ", ".join(f"{c} string" for c in CATEGORIES)
     schema = f"batch string, in_wide boolean, in_metadata boolean, formulation long, period int, {labels}, dist binary, level binary, source binary"
-    return by_formulation(batches, F.col("value").isNotNull(), hot).groupBy("bucket").applyInPandas(level, schema)
+    return placed.groupBy("bucket").applyInPandas(level, schema)
 
 
 def unpacked(column: pd.Series, width: int) -> np.ndarray:
@@ -410,6 +425,13 @@ def posteriors(tree: Tree, codes: np.ndarray, sizes: list[int]) -> list[np.ndarr
     return out
 
 
+def portions(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """``rows`` in parts of which the posteriors, ``width`` bins a row, have at most ``BELIEFS`` numbers."""
+    step = max(1, BELIEFS // width)
+    for k in range(0, len(rows), step):
+        yield rows[k : k + step]
+
+
 @dataclass(frozen=True)
 class Filled:
     cells: DataFrame  # batch, field, number, label, taken_from: one row per filled cell
@@ -446,32 +468,34 @@ def fill_missing(wide: DataFrame, metadata: DataFrame, families: DataFrame, reco
             wanted = gone.copy()
             wanted[:, :width] &= pdf["in_wide"].to_numpy(dtype=bool)[:, None]
             wanted[:, width:] &= pdf["in_metadata"].to_numpy(dtype=bool)[:, None]
-            some = wanted.any(1)
-            if not some.any():
-                continue
-            beliefs = posteriors(tree, codes[some], sizes)
-            pdf, gone, wanted = pdf[some], gone[some], wanted[some]
-            level, source = np.full((len(pdf), width), np.nan), np.full((len(pdf), width), 3, dtype=np.int8)
-            level[gone[:, :width]] = np.frombuffer(b"".join(pdf["level"]))
-            source[gone[:, :width]] = np.frombuffer(b"".join(pdf["source"]), dtype=np.int8)
-            for f in range(len(fields)):
-                rows = np.flatnonzero(wanted[:, f])
-                if not len(rows):
-                    continue
-                belief = beliefs[f][rows]
-                part = pdf[["batch", "formulation", "period"]].iloc[rows].copy()
-                part["field"] = f
-                if f < width:
-                    half = np.minimum((np.cumsum(belief, 1) < 0.5).sum(1), sizes[f] - 1)
-                    value = level[rows, f] + coding.middles[f][np.minimum(half, len(coding.middles[f]) - 1)]
-                    part["number"] = pd.array(np.where(np.isnan(value), 0.0, value), dtype="Float64")
-                    part.loc[np.isnan(value), "number"] = pd.NA
-                    part["taken_from"] = np.where(np.isnan(value), None, sources[source[rows, f]])
-                    part["support"] = None
-                else:
-                    part["number"], part["taken_from"] = pd.array([pd.NA] * len(rows), dtype="Float64"), None
-                    part["support"] = list((belief / tree.prior[f]).astype(np.float32))
-                yield part
+            for at in portions(np.flatnonzero(wanted.any(1)), sum(sizes)):
+                yield answers(pdf.iloc[at], codes[at], wanted[at])
+
+    def answers(pdf: pd.DataFrame, codes: np.ndarray, wanted: np.ndarray) -> pd.DataFrame:
+        beliefs, gone = posteriors(tree, codes, sizes), codes < 0
+        level, source = np.full((len(pdf), width), np.nan), np.full((len(pdf), width), 3, dtype=np.int8)
+        level[gone[:, :width]] = np.frombuffer(b"".join(pdf["level"]))
+        source[gone[:, :width]] = np.frombuffer(b"".join(pdf["source"]), dtype=np.int8)
+        rows, column, number, taken, support = [], [], [], [], []
+        for f in range(len(fields)):
+            at = np.flatnonzero(wanted[:, f])
+            belief = beliefs[f][at]
+            rows.append(at)
+            column.append(np.full(len(at), f, dtype=np.int32))
+            if f < width:
+                half = np.minimum((np.cumsum(belief, 1) < 0.5).sum(1), sizes[f] - 1)
+                number.append(level[at, f] + coding.middles[f][np.minimum(half, len(coding.middles[f]) - 1)])
+                taken.append(np.where(np.isnan(number[-1]), None, sources[source[at, f]]))
+                support += [None] * len(at)
+            else:
+                number.append(np.full(len(at), np.nan))
+                taken.append(np.full(len(at), None))
+                support += list((belief / tree.prior[f]).astype(np.float32))
+        value = np.concatenate(number)
+        out = pdf[["batch", "formulation", "period"]].iloc[np.concatenate(rows)].reset_index(drop=True)
+        out["field"], out["taken_from"], out["support"] = np.concatenate(column), np.concatenate(taken), pd.Series(support, dtype=object)
+        out["number"] = pd.arrays.FloatingArray(np.nan_to_num(value), np.isnan(value))
+        return out
 
     missing = durable(table.mapInPandas(infer, "batch string, formulation long, period int, field int, number double, taken_from string, support array<float>"))
 

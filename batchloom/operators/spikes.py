@@ -449,7 +449,7 @@ def residuals(batches: DataFrame, bounds: list[tuple[float | None, float | None]
     low, high = _limits(bounds)
     middle = np.asarray(middle, dtype=float)
     limit = F.get(F.array(*[F.struct(F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for a, b in zip(low, high, strict=True)]), F.col("variable"))
-    placed = by_formulation(batches, (F.col("value") >= limit["low"]) & (F.col("value") <= limit["high"]), hot)
+    placed, large = by_formulation(batches, (F.col("value") >= limit["low"]) & (F.col("value") <= limit["high"]), hot)
 
     def level(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("formulation", kind="stable", na_position="last").reset_index(drop=True)
@@ -462,7 +462,7 @@ def residuals(batches: DataFrame, bounds: list[tuple[float | None, float | None]
         top[(top < low) | (top > high)] = np.nan
         off = np.full(v.shape, np.nan, dtype=np.float32)
         far = np.full(top.shape, np.nan, dtype=np.float32)
-        for f, a, b, n in middles_of(pdf, v, hot):
+        for f, a, b, n in middles_of(pdf, v, hot, large):
             at = np.where(n >= 2, np.fmin(np.fmax(middle[f], a), b), np.nan)
             off[:, f] = v[:, f] - at
             far[:, f] = top[:, f] - at[twice]

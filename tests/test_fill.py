@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import itertools
+import tracemalloc
 
 import numpy as np
 from oracle import SMALL
 from pyspark.sql import functions as F
 
-from batchloom.operators.fill import CATEGORIES, apply_fills, chow_liu, fill_missing, measured_columns, posteriors
+from batchloom.operators.fill import CATEGORIES, apply_fills, by_formulation, chow_liu, distances, fill_missing, find_rules, measured_columns, merged_batches, portions, posteriors
 from batchloom.session import table
 
 TABLES = ("batch_wide", "batch_metadata", "variable_families", "imputation_record")
@@ -75,3 +76,31 @@ def test_empty_and_odd_tables(spark):
     odd = wide.where("batch = 'B00000001'").select("batch", *[F.lit(float("nan")).alias(c) for c in measured_columns(wide)], F.lit(None).cast("timestamp_ntz").alias("loaded_at"), F.lit(1).alias("codes"), F.lit("x").alias("period"))
     cells = fill_missing(odd.union(odd), meta.limit(0), families, record).cells.collect()
     assert len(cells) == len(measured_columns(wide)) and all(c.number is None for c in cells)
+
+
+def test_many_labels_take_little_memory(spark):
+    """A thousand labels and a batch of 10,000 rows: posteriors of all rows at once take over 400 MB."""
+    rng = np.random.default_rng(4)
+    sizes = [9] * 40 + [1001]
+    codes = np.stack([rng.integers(-1, s, 10_000) for s in sizes], 1)
+    hot = np.eye(sum(sizes))
+    tree = chow_liu(hot, sizes)
+    tracemalloc.start()
+    for at in portions(np.arange(len(codes)), sum(sizes)):
+        some = posteriors(tree, codes[at], sizes)
+        if at[0] == 0:
+            assert all(np.allclose(a, b) for a, b in zip(some, posteriors(tree, codes[: len(at)], sizes), strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+def test_rows_of_a_large_formulation_carry_no_levels(spark):
+    wide, meta, families, record = (table(spark, "/root/testdata/sf0.01", n) for n in TABLES)
+    batches = merged_batches(wide, meta, find_rules(wide, families, record)).cache()
+    width = len(measured_columns(wide))
+    placed, large = by_formulation(batches, F.col("value").isNotNull(), 20)
+    assert set(placed.columns) == {*batches.columns, "bucket"} and len(large.formulations)
+    # Formulations of a few large ones and all small ones in one bucket each give the same distances.
+    as_rows = lambda hot: {r.batch: (r.dist, r.level, r.source) for r in distances(batches, width, hot).collect()}
+    assert as_rows(20) == as_rows(10**6)
