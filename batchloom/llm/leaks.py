@@ -24,8 +24,10 @@ each block hits, and only these are read and extended with the block. Pages are
 not shuffled whole unless there are blocks, and no group of pages or hits is
 gathered anywhere.
 
-How far an extension can get is bounded for all hits at once; those that can
-reach ``MIN_WORDS`` words are then extended one by one.
+How far an extension can get is bounded for all hits at once: first up to the
+first insertion on either side, which is where most end, and beyond it for those
+that may go on; those that can reach ``MIN_WORDS`` words are then extended one
+by one.
 
 Defined results for odd input: NULL or empty pages and items never match; of
 boxes that don't fit the lines, or are NULL, none are used and the text is read
@@ -140,7 +142,8 @@ class Items:
         places = np.nonzero(inside)[0]
         order = np.argsort(values[places], kind="stable")
         self.values, self.places = values[places][order], places[order]
-        self.ahead, self.behind = Seeds(classes, owner), Seeds(classes[::-1], owner[::-1])
+        self.fours, self.back_fours = _fours(classes), _fours(classes[::-1])
+        self.seeds = Seeds(classes, owner)
 
     def hits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the hash, item place) of every equal hash."""
@@ -151,47 +154,60 @@ class Items:
 
 
 class Seeds:
-    """The seeds, ``SEED`` letters each, of the letters of items read in one direction."""
+    """The seeds, ``SEED`` letters each, of the letters of items, numbered alike for both directions of reading."""
 
     def __init__(self, classes: np.ndarray, owner: np.ndarray):
         values, inside = hashes(classes, owner, SEED)
-        self.fours = _fours(classes)
-        self.classes = np.r_[classes, np.zeros(16, dtype=classes.dtype)]
         self.values = np.unique(values[inside])
-        self.number = np.full(len(classes) + 16, -1)  # of the seed that starts at each letter
-        self.number[: len(values)][inside] = np.searchsorted(self.values, values[inside])
-        self.bits = np.zeros(1 << 20, dtype=bool)
-        self.bits[(self.values >> np.uint64(44)).astype(np.int64)] = True
+        self.ahead = np.full(len(classes) + 16, -1)  # number of the seed that starts at each letter
+        self.ahead[: len(values)][inside] = np.searchsorted(self.values, values[inside])
+        self.behind = np.full(len(classes) + 16, -1)  # and of that which starts there for who reads backwards
+        self.behind[: len(values)] = self.ahead[: len(values)][::-1]
+        # Seeds by their first bits, of which there are more than seeds.
+        self.shift = np.uint64(64 - max(20, len(self.values).bit_length() + 1))
+        self.bucket = np.searchsorted(self.values >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+        self.some = self.bucket[1:] > self.bucket[:-1]
+
+    def numbered(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``values`` are seeds, and their numbers."""
+        bucket = (values >> self.shift).astype(np.int64)
+        at = np.flatnonzero(self.some[bucket])
+        n, end = self.bucket[bucket[at]].astype(np.int64), self.bucket[bucket[at] + 1]
+        found, numbers = [], []
+        while len(at):
+            same = self.values[n] == values[at]
+            found.append(at[same])
+            numbers.append(n[same])
+            n += 1
+            on = ~same & (n < end)
+            at, n, end = at[on], n[on], end[on]
+        return np.concatenate([*found, np.zeros(0, dtype=np.int64)]), np.concatenate([*numbers, np.zeros(0, dtype=np.int64)])
 
 
-def exact_runs(items: Items, classes: np.ndarray, owner: np.ndarray, page_at: np.ndarray, item_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def exact_runs(items: Items, owner: np.ndarray, start: np.ndarray, fours: np.ndarray, back_fours: np.ndarray, page_at: np.ndarray, item_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(page place, item place, letters) of every longest stretch of equal letters that holds a hit, each once.
 
     An extension is the same from wherever in a stretch it starts, so one for each stretch covers all hits.
     """
     # Hits that overlap on one diagonal are of one stretch.
-    order = np.lexsort((item_at, page_at - item_at))
-    i, j = item_at[order], page_at[order]
+    n, m = len(items.owner), len(owner)
+    diagonal, i = np.divmod(np.sort((page_at - item_at + n) * n + item_at), n)
+    j = diagonal - n + i
     q, p = items.owner[i], owner[j]
     new = np.ones(len(i), dtype=bool)
-    new[1:] = (j[1:] - i[1:] != j[:-1] - i[:-1]) | (i[1:] - i[:-1] > K) | (q[1:] != q[:-1]) | (p[1:] != p[:-1])
+    new[1:] = (diagonal[1:] != diagonal[:-1]) | (i[1:] - i[:-1] > K) | (q[1:] != q[:-1]) | (p[1:] != p[:-1])
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(i)] - 1
     i0, j0, i1, j1 = i[first], j[first], i[last] + K, j[last] + K
     q, p = q[first], p[first]
-    for i, j, move in ((i0, j0, -1), (i1, j1, 1)):
-        at = np.arange(len(i))
-        while len(at):
-            # The letter before the start, or the one at the end.
-            x, y = (i[at] - 1, j[at] - 1) if move < 0 else (i[at], j[at])
-            inside = (x >= 0) & (y >= 0) & (x < len(items.owner)) & (y < len(owner))
-            at, x, y = at[inside], x[inside], y[inside]
-            same = (items.classes[x] == classes[y]) & (items.owner[x] == q[at]) & (owner[y] == p[at])
-            at = at[same]
-            i[at] += move
-            j[at] += move
-    _, once = np.unique(j0 * len(items.owner) + i0, return_index=True)
-    return j0[once], i0[once], (i1 - i0)[once]
+    i1 += _equal(items.fours, i1, items.start[q + 1], fours, j1, start[p + 1])
+    i0 -= (more := _equal(items.back_fours, n - i0, n - items.start[q], back_fours, m - j0, m - start[p]))
+    j0 -= more
+    once = np.ones(len(i0), dtype=bool)
+    once[1:] = (i0[1:] != i0[:-1]) | (j0[1:] != j0[:-1])  # those of one diagonal follow one another
+    j0, i0, i1, p = j0[once], i0[once], i1[once], p[once]
+    order = np.argsort(p.astype(np.min_scalar_type(len(start))), kind="stable")  # what is read for one page is near by
+    return j0[order], i0[order], (i1 - i0)[order]
 
 
 def _fours(classes: np.ndarray) -> np.ndarray:
@@ -201,6 +217,62 @@ def _fours(classes: np.ndarray) -> np.ndarray:
     return wide[:n] | wide[1 : n + 1] << np.uint64(16) | wide[2 : n + 2] << np.uint64(32) | wide[3 : n + 3] << np.uint64(48)
 
 
+def _alike(x: np.ndarray) -> np.ndarray:
+    """How many letters agree, from the first on, of fours whose exclusive or is ``x``."""
+    return sum(((x & np.uint64(mask)) == 0).astype(np.int64) for mask in (0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFF, 0xFFFFFFFFFFFFFFFF))
+
+
+def _equal(fa: np.ndarray, i: np.ndarray, end_a: np.ndarray, fb: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+    """How many letters from item places ``i`` and page places ``j`` agree."""
+    room = np.minimum(end_a - i, end_b - j)
+    out = np.zeros(len(i), dtype=np.int64)
+    on = np.arange(len(i))
+    while len(on):
+        at = out[on]
+        n = np.minimum(_alike(fa[i[on] + at] ^ fb[j[on] + at]), room[on] - at)
+        out[on] += n
+        on = on[n == 4]
+    return out
+
+
+class Found:
+    """Where some pages hold seeds of the items."""
+
+    TABLE = 24
+
+    def __init__(self, seeds: Seeds, classes: np.ndarray, owner: np.ndarray, start: np.ndarray):
+        values, inside = hashes(classes, owner, SEED)
+        at = np.flatnonzero(inside)
+        some, n = seeds.numbered(values[at])
+        at = at[some]
+        page = owner[at]
+        # By page, seed and place in the page, from either of its ends.
+        self.n_seeds, self.width = len(seeds.values) + 1, int(np.diff(start).max(initial=0)) + 1
+        first = self.first(n, page)
+        self.ahead = np.append(np.sort(first + at - start[page]), np.iinfo(np.int64).max)
+        self.behind = np.append(np.sort(first + start[page + 1] - SEED - at), np.iinfo(np.int64).max)
+        # Each page has slots of its own. A slot has the mark of the one seed that it stands for, or 255 for several.
+        self.power = max(0, self.TABLE - len(start).bit_length())
+        slot, mark = self._slot(n, page)
+        self.table = np.zeros(len(start) << self.power, dtype=np.uint8)
+        self.table[slot] = mark
+        self.table[slot[self.table[slot] != mark]] = 255
+
+    def first(self, seed: np.ndarray, page: np.ndarray) -> np.ndarray:
+        """No more than the keys of ``seed`` in ``page``, by the place in the page."""
+        return (page * self.n_seeds + seed) * self.width
+
+    def _slot(self, seed: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = (seed.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        return (page << self.power) + (mixed >> np.uint32(8) & np.uint32((1 << self.power) - 1)), (mixed >> np.uint32(1) & np.uint32(127)).astype(np.uint8) + np.uint8(1)
+
+    def may_hold(self, seed: np.ndarray, page: np.ndarray) -> np.ndarray:
+        """Whether ``page`` may hold ``seed``; it doesn't where this is false."""
+        slot, mark = self._slot(seed, page)
+        there = self.table[slot]
+        return (there == mark) | (there == 255)
+
+
 class Side:
     """How far extensions of many stretches of equal letters can get in one direction, found for all of them at once.
 
@@ -208,30 +280,66 @@ class Side:
     the last letters of an item as found, so that it never stops short of them.
     """
 
-    TABLE = 24
+    MOST, LOT = 1_000_000, 16_384  # places that are tried at a time, and stops that are looked at
 
-    def __init__(self, seeds: Seeds, classes: np.ndarray, owner: np.ndarray):
-        self.seeds = seeds
-        self.fours = _fours(classes)
-        self.classes = np.r_[classes, np.zeros(16, dtype=classes.dtype)]
-        values, inside = hashes(classes, owner, SEED)
-        at = np.nonzero(inside)[0]
-        at = at[seeds.bits[(values[at] >> np.uint64(44)).astype(np.int64)]]
-        n = np.searchsorted(seeds.values, values[at])
-        real = seeds.values[np.minimum(n, len(seeds.values) - 1)] == values[at] if len(seeds.values) else np.zeros(len(at), dtype=bool)
-        at, n = at[real], n[real]
-        self.width = len(classes) + 1
-        self.keys = np.sort(n * self.width + at)
-        self.ends = np.append(self.keys, np.iinfo(np.int64).max)
-        self.table = np.zeros(1 << self.TABLE, dtype=bool)
-        self.table[self._slot(n, owner[at])] = True
-
-    def _slot(self, seed: np.ndarray, page: np.ndarray) -> np.ndarray:
-        return (seed * 40503 + page * 2654435761) & ((1 << self.TABLE) - 1)
-
-    def reach(self, page: np.ndarray, i: np.ndarray, end_a: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> np.ndarray:
-        """Up to which letter (exclusive) of the item each extension from item place ``i`` and page place ``j`` gets."""
-        i, j = self._forward(i, end_a, j, end_b)
+    def __init__(self, fa: np.ndarray, fb: np.ndarray, seeds: np.ndarray, found: Found, keys: np.ndarray, origin: np.ndarray):
+        self.fa, self.fb, self.seeds, self.found, self.keys, self.origin = fa, fb, seeds, found, keys, origin  # origin: the first place of each page
+
+    def forward(self, i: np.ndarray, end_a: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Up to which letters (exclusive) item and page agree from ``i`` and ``j`` on, through misreadings."""
+        i, j = i.copy(), j.copy()
+        fa, fb = self.fa, self.fb
+        on = np.arange(len(i))
+        while len(on):
+            x, y, p, q = i[on], j[on], end_a[on], end_b[on]
+            n = np.minimum(_alike(fa[x] ^ fb[y]), np.minimum(p - x, q - y))
+            whole = np.flatnonzero(n == 4)
+            if len(whole):
+                u, v = x[whole], y[whole]
+                far = (u + 16 <= p[whole]) & (v + 16 <= q[whole])
+                for k in (4, 8, 12):
+                    far &= fa[u + k] == fb[v + k]
+                n[whole[far]] = 16
+            x += n
+            y += n
+            stop = np.flatnonzero((n < 4) & (x < p) & (y < q))
+            if len(stop):
+                lots = [stop[k : k + self.LOT] for k in range(0, len(stop), self.LOT)]
+                da, db = np.concatenate([self._stepped(x[k], p[k], y[k], q[k]) for k in lots], axis=1)
+                x[stop] += da
+                y[stop] += db
+                n[stop[da > 0]] = 4
+            i[on], j[on] = x, y
+            on = on[(n >= 4) & (x < p) & (y < q)]
+        return i, j
+
+    def _stepped(self, x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Letters of item and page that the first step that fits passes over, with the four after it; 0 if there is none."""
+        da, db = out = np.zeros((2, len(x)), dtype=np.int64)
+        rest = p - x
+        last = rest <= 8
+        da[last] = rest[last]
+        none = np.uint64(2**64 - 1)
+        a = [np.where(rest >= k + 4, self.fa[x + k], none) for k in range(5)]
+        b = [np.where(q - y >= k + 4, self.fb[y + k], none - np.uint64(1)) for k in range(5)]
+        for u, v in reversed(_STEPS):
+            fits = np.flatnonzero(a[u] == b[v])
+            da[fits], db[fits] = u + 4, v + 4
+        return out
+
+    def may_resume(self, page: np.ndarray, i: np.ndarray, end_a: np.ndarray) -> np.ndarray:
+        """Whether extensions that have stopped at ``i`` may go on after an insertion; they don't where this is false."""
+        out = (i < end_a) & (end_a - i < SKIPS[-1] + SEED)
+        on = np.flatnonzero((i < end_a) & ~out)
+        for skip in SKIPS:
+            some = self.found.may_hold(self.seeds[i[on] + skip], page[on])
+            out[on[some]] = True
+            on = on[~some]
+        return out
+
+    def resume(self, page: np.ndarray, i: np.ndarray, end_a: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+        """Up to which letter (exclusive) of the item extensions that have stopped at ``i`` and ``j`` get."""
+        i, j = i.copy(), j.copy()
         on = np.flatnonzero(i < end_a)
         while len(on):
             x, y = self._resumed(page[on], i[on], end_a[on], j[on], end_b[on])
@@ -241,59 +349,36 @@ class Side:
             on = on[i[on] < end_a[on]]
         return i
 
-    def _forward(self, i: np.ndarray, end_a: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j = i.copy(), j.copy()
-        fa, fb, a, b = self.seeds.fours, self.fours, self.seeds.classes, self.classes
-        on = np.arange(len(i))
-        while len(on):
-            x, y, p, q = i[on], j[on], end_a[on], end_b[on]
-            four = (fa[x] == fb[y]) & (x + 4 <= p) & (y + 4 <= q)
-            one = ~four & (a[x] == b[y]) & (x < p) & (y < q)
-            step = 4 * four + one
-            i[on] += step
-            j[on] += step
-            stopped = on[(step == 0) & (x < p) & (y < q)]
-            on = on[step > 0]
-            if len(stopped):
-                x, y, p, q = i[stopped], j[stopped], end_a[stopped], end_b[stopped]
-                left = np.arange(len(stopped))
-                got = np.zeros((len(stopped), 2), dtype=np.int64)
-                for da, db in _STEPS:
-                    u, v = x[left] + da, y[left] + db
-                    ok = (fa[u] == fb[v]) & (u + 4 <= p[left]) & (v + 4 <= q[left])
-                    got[left[ok]] = da + 4, db + 4
-                    left = left[~ok]
-                last = left[p[left] - x[left] <= 8]
-                got[last] = np.stack([p[last] - x[last], np.zeros(len(last), dtype=np.int64)], 1)
-                i[stopped] += got[:, 0]
-                j[stopped] += got[:, 1]
-                on = np.concatenate([on, stopped[(got[:, 0] > 0) & (i[stopped] < p)]])
-        return i, j
-
     def _resumed(self, page: np.ndarray, i: np.ndarray, end_a: np.ndarray, j: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where extensions go on after an insertion, at the first seed in the order of ``SKIPS`` and the page from which enough letters are found."""
         out_i, out_j = i.copy(), j.copy()
-        out_i[end_a - i < SKIPS[-1] + SEED] = end_a[end_a - i < SKIPS[-1] + SEED]
-        on = np.flatnonzero(out_i < end_a)
-        for skip in SKIPS:
-            if not len(on):
-                break
-            seed = self.seeds.number[i[on] + skip]
-            some = np.flatnonzero(self.table[self._slot(seed, page[on])])
-            e, first = on[some], seed[some] * self.width
-            low = np.searchsorted(self.keys, first + j[e], "left")
-            last = first + np.minimum(end_b[e], j[e] + ADVERT) - SEED
-            near = np.flatnonzero(self.ends[low] <= last)
-            e, first, low = e[near], first[near], low[near]
-            n = np.searchsorted(self.keys, last[near], "right") - low
-            which = np.repeat(np.arange(len(e)), n)
-            at = self.keys[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)] - first[which]
+        short = end_a - i < SKIPS[-1] + SEED
+        out_i[short] = end_a[short]
+        on = np.flatnonzero(~short)
+        seed = self.seeds[i[on][:, None] + np.array(SKIPS)]
+        e, skip = np.nonzero(self.found.may_hold(seed, np.broadcast_to(page[on][:, None], seed.shape)))
+        seed, e, skip = seed[e, skip], on[e], np.array(SKIPS)[skip]
+        origin = self.origin[page[e]]
+        first = self.found.first(seed, page[e]) - origin
+        low = np.searchsorted(self.keys, first + j[e], "left")
+        last = first + np.minimum(end_b[e], j[e] + ADVERT) - SEED
+        near = np.flatnonzero(self.keys[low] <= last)
+        e, skip, first, low, last = e[near], skip[near], first[near], low[near], last[near]
+        n = np.ones(len(e), dtype=np.int64)
+        more = np.flatnonzero(self.keys[low + 1] <= last)
+        n[more] = np.searchsorted(self.keys, last[more], "right") - low[more]
+        done = np.zeros(len(i), dtype=bool)
+        cuts = np.r_[np.flatnonzero(np.diff(np.cumsum(n) // self.MOST, prepend=0)), len(n)]
+        for a, b in zip(np.r_[0, cuts[:-1]], cuts, strict=True):
+            part = np.arange(a, b)[~done[e[a:b]]]
+            which = np.repeat(part, n[part])
+            at = self.keys[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])] - first[which]
             own = e[which]
-            x, y = self._forward(i[own] + skip + SEED, end_a[own], at + SEED, end_b[own])
+            x, y = self.forward(i[own] + skip[which] + SEED, end_a[own], at + SEED, end_b[own])
             good = np.flatnonzero((x - i[own] >= 14) | (x >= end_a[own]))
-            own, nearest = np.unique(own[good], return_index=True)  # of each the first, places being in order
+            own, nearest = np.unique(own[good], return_index=True)  # of each the first, skips and places being in order
             out_i[own], out_j[own] = x[good[nearest]], y[good[nearest]]
-            on = np.setdiff1d(on, own, assume_unique=True)
+            done[own] = True
         return out_i, out_j
 
 
@@ -377,15 +462,25 @@ class Extension:
         return _longest(2 * np.bincount(words, weights=good) > np.bincount(words))
 
 
-def words_in_reach(items: Items, classes: np.ndarray, owner: np.ndarray, start: np.ndarray, page: np.ndarray, page_at: np.ndarray, item: np.ndarray, item_at: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+def words_in_reach(items: Items, classes: np.ndarray, owner: np.ndarray, start: np.ndarray, page: np.ndarray, fours: np.ndarray, back_fours: np.ndarray, page_at: np.ndarray, item: np.ndarray, item_at: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
     """At most how many item words each stretch can be extended to; less than ``least`` where it is surely less."""
     n, m = len(items.classes), len(classes)
     low, high, begin, end = items.start[item], items.start[item + 1], start[page], start[page + 1]
-    stop = Side(items.ahead, classes, owner).reach(page, item_at + sizes, high, page_at + sizes, end)
-    most = items.word[stop - 1] - items.word[low] + 1  # if all that stands before were found
-    some = np.flatnonzero(most >= least)
-    back = Side(items.behind, classes[::-1], owner[::-1]).reach(page[some], (n - item_at)[some], (n - low)[some], (m - page_at)[some], (m - begin)[some])
-    most[some] = items.word[stop[some] - 1] - items.word[n - back] + 1
+    found = Found(items.seeds, classes, owner, start)
+    ahead = Side(items.fours, fours, items.seeds.ahead, found, found.ahead, start)
+    behind = Side(items.back_fours, back_fours, items.seeds.behind, found, found.behind, m - start[1:])
+    stop, stop_at = ahead.forward(item_at + sizes, high, page_at + sizes, end)
+    back, back_at = behind.forward(n - item_at, n - low, m - page_at, m - begin)
+    # Most go on in neither direction, or would still be too short if all that stands there were found.
+    to = np.where(ahead.may_resume(page, stop, high), high, stop)
+    since = np.where(behind.may_resume(page, back, n - low), low, n - back)
+    most = items.word[to - 1] - items.word[since] + 1
+    some = np.flatnonzero((most >= least) & (to > stop))
+    to[some] = ahead.resume(page[some], stop[some], high[some], stop_at[some], end[some])
+    most[some] = items.word[to[some] - 1] - items.word[since[some]] + 1
+    some = np.flatnonzero((most >= least) & (since < n - back))
+    since[some] = n - behind.resume(page[some], back[some], (n - low)[some], back_at[some], (m - begin)[some])
+    most[some] = items.word[to[some] - 1] - items.word[since[some]] + 1
     return most
 
 
@@ -454,9 +549,10 @@ def extended(items: Items, streams: list[str], prints: list[np.ndarray], places:
     page_at = np.concatenate([at + k for at, k in zip(places, start.tolist(), strict=False)])[which]
     stream = "".join(streams)
     classes = np.frombuffer(stream.encode("utf-16-le"), dtype="<u2")
-    page_at, item_at, sizes = exact_runs(items, classes, owner, page_at, item_at)
+    fours, back_fours = _fours(classes), _fours(classes[::-1])
+    page_at, item_at, sizes = exact_runs(items, owner, start, fours, back_fours, page_at, item_at)
     page, item = owner[page_at], items.owner[item_at]
-    most = words_in_reach(items, classes, owner, start, page, page_at, item, item_at, sizes, least)
+    most = words_in_reach(items, classes, owner, start, page, fours, back_fours, page_at, item, item_at, sizes, least)
     some = np.flatnonzero(most >= least)
     some = some[np.argsort(-sizes[some], kind="stable")]
     by, start = Extension(items, stream), start.tolist()
@@ -551,12 +647,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, lot_letters: int = LOT, b
                     rows[name] = [got[k][c] for k in some]
                 yield rows
 
-    def found_in(pages: DataFrame, number: int) -> DataFrame:
+    def found_in(pages: DataFrame, number: int, unread: bool = False) -> DataFrame:
         rows = texts.where(F.col("block") == number).orderBy("item_id", "text").collect()  # at most a block
         index = context.broadcast(Items([r.item_id for r in rows], [r.text for r in rows]))
 
         def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
+            for pdf in read(frames) if unread else frames:
                 out = []
                 for lot in lots([len(x) for x in pdf["stream"]], lot_letters):
                     part = pdf[lot]
@@ -567,11 +663,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, lot_letters: int = LOT, b
         return pages.mapInPandas(extend, f"doc_id {key}, item_id {item_key}, n_words int")
 
     pages = documents.where("text <> ''").select(F.monotonically_increasing_id().alias("page"), "doc_id", "text", *([box("x0"), box("y0"), box("x1")] if boxed else []))
-    pages = pages.mapInPandas(read, f"page long, doc_id {key}, stream string, hash array<long>, at array<int>")
     if blocks == 1:
-        return found_in(pages, 0)
+        return found_in(pages, 0, unread=True)
     # Pages are numbered, since ids may be repeated, and written, so that the numbers stay and the corpus is read once.
-    pages = durable(pages)
+    pages = durable(pages.mapInPandas(read, f"page long, doc_id {key}, stream string, hash array<long>, at array<int>"))
     hits = durable(pages.select("page", F.explode("hash").alias("hash")).join(prints, "hash").select("page", "block").distinct())
     found = [durable(found_in(pages.join(hits.where(F.col("block") == number), "page", "left_semi"), number)) for number in range(blocks)]
     out = found[0]

@@ -85,6 +85,29 @@ def test_what_is_not_extended_gets_nowhere(monkeypatch):
     assert found(pages, items) == some and some
 
 
+def test_only_what_may_go_on_is_looked_for_beyond_insertions(monkeypatch):
+    rng = random.Random(8)
+    items = [" ".join(words(rng, 60)) for _ in range(30)]
+    phrases = [" ".join(i.split()[k : k + 3]) for i in items for k in range(0, 57, 5)]
+    pages = [page(rng, [w for x in rng.sample(phrases, 12) for w in (x, f"{rng.getrandbits(64):x}")], before=0, after=0) for _ in range(10)] + [page(rng, items[0].split()[5:30])]
+    runs, looked, exact, resumed = [], [], L.exact_runs, L.Side._resumed
+    monkeypatch.setattr(L, "exact_runs", lambda *a: runs.append(exact(*a)) or runs[-1])
+    monkeypatch.setattr(L.Side, "_resumed", lambda side, page, *rest: looked.append(len(page)) or resumed(side, page, *rest))
+    assert (10, 0) in found(pages, items)
+    assert sum(len(x[0]) for x in runs) > 100 and sum(looked) < sum(len(x[0]) for x in runs) / 2
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_portions_of_an_extension_change_nothing(monkeypatch, most):
+    rng = random.Random(7)
+    items = ["ab" * 300, " ".join(["la"] * 80), *(" ".join(words(rng, 60)) for _ in range(6))]
+    pages = ["ab " * 400, " ".join(["la"] * 200), *(page(rng, [*items[k].split()[:12], *words(rng, 5), *items[k].split()[12:40]], noise=0.03) for k in range(2, 8))]
+    whole = found(pages, items)
+    monkeypatch.setattr(L.Side, "MOST", most)
+    monkeypatch.setattr(L.Side, "LOT", most)
+    assert found(pages, items) == whole and len(whole) >= 7
+
+
 def test_winnowing_keeps_what_it_promises():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 50, 400).astype(np.uint64)
