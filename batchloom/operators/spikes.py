@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,17 +80,63 @@ def by_source(pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
 
 
 def curves(dissolution: DataFrame) -> DataFrame:
-    """One row per curve: batch_key, medium, run_no, source and its cells (t, y), each different reading of a cell once."""
-    rows = dissolution.select(
-        squeezed(F.col("batch")).alias("batch_key"),
-        canonical_medium(F.col("medium")).alias("medium"),
-        "run_no",
-        minute(F.col("time_h")).alias("t"),
-        (finite(F.col("percent_released")) + F.lit(0.0)).alias("y"),
-        "instrument",
-    ).where("batch_key is not null and y is not null and t is not null")
-    cells = F.collect_set(F.struct("t", "y"))
-    return rows.groupBy("batch_key", "medium", "run_no").agg(F.coalesce(F.max("instrument"), F.lit("")).alias("source"), cells.alias("cells"))
+    """One row per curve: batch_key, medium, run_no, source and its cells (t, y), each different reading of a cell once; also as the lists ``t`` and ``y``."""
+    rows = dissolution.select("batch", "medium", "run_no", "instrument", minute(F.col("time_h")).alias("t"), (finite(F.col("percent_released")) + F.lit(0.0)).alias("y"))
+    kind = dict(rows.dtypes)["run_no"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ["batch", "medium", "run_no", "instrument"]
+        for batch in batches:
+            if batch.num_rows:
+                once = pa.Table.from_batches([batch]).group_by([*own, "t", "y"], use_threads=False).aggregate([])
+                # In order, so that rows sent again make an equal list.
+                lists = once.sort_by([("t", "ascending"), ("y", "ascending")]).group_by(own, use_threads=False).aggregate([("t", "list"), ("y", "list")])
+                yield from lists.select([*own, "t_list", "y_list"]).rename_columns([*own, "t", "y"]).to_batches()
+
+    # Readings of a curve mostly follow one another: a task makes lists of them, and few are left to be put together.
+    rows = rows.where("batch is not null and y is not null and t is not null").mapInArrow(gather, f"batch string, medium string, run_no {kind}, instrument string, t array<int>, y array<double>")
+    keys = ["batch_key", "medium", "run_no"]
+    rows = rows.select(squeezed(F.col("batch")).alias("batch_key"), canonical_medium(F.col("medium")).alias("medium"), "run_no", F.coalesce("instrument", F.lit("")).alias("source"), "t", "y")
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # the curve that the next rows may go on with
+        for pdf in frames:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            same = np.ones(len(pdf) - 1, dtype=bool)
+            for c in keys:
+                code = pd.factorize(pdf[c])[0]  # -1 for NULL
+                same &= code[1:] == code[:-1]
+            first = np.flatnonzero(np.r_[True, ~same])
+            sizes = np.diff(np.r_[first, len(pdf)])
+            out = pdf.iloc[first].reset_index(drop=True)
+            some = np.flatnonzero(sizes > 1)
+            if len(some):
+                rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
+                own = np.repeat(np.repeat(np.arange(len(some)), sizes[some]), [len(x) for x in pdf["t"].to_numpy()[rows]])
+                t, y = (np.concatenate(pdf[c].to_numpy()[rows]) for c in ("t", "y"))
+                order = np.lexsort((y, t, own))
+                own, t, y = own[order], t[order], y[order]
+                new = np.ones(len(own), dtype=bool)
+                new[1:] = (own[1:] != own[:-1]) | (t[1:] != t[:-1]) | (y[1:] != y[:-1])
+                own, t, y = own[new], t[new], y[new]
+                cut = np.searchsorted(own, np.arange(1, len(some)))
+                source = pdf["source"].to_numpy()
+                for c, parts in (("source", [max(source[k : k + n]) for k, n in zip(first[some], sizes[some], strict=True)]), ("t", np.split(t, cut)), ("y", np.split(y, cut))):
+                    column = out[c].to_numpy(dtype=object, copy=True)
+                    for k, part in zip(some, parts, strict=True):
+                        column[k] = part
+                    out[c] = column
+            rest = out.iloc[-1:]
+            yield out.iloc[:-1]
+        if rest is not None:
+            yield rest
+
+    # However many lists a curve has, they pass one after another.
+    lists = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return lists.mapInPandas(merge, f"batch_key string, medium string, run_no {kind}, source string, t array<int>, y array<double>").withColumn("cells", F.arrays_zip("t", "y"))
 
 
 def packed(table: DataFrame, times: list[int]) -> DataFrame:
@@ -99,7 +146,7 @@ def packed(table: DataFrame, times: list[int]) -> DataFrame:
     """
     kind = dict(table.dtypes)["run_no"]
     grid = np.asarray(times)
-    flat = table.select("batch_key", "medium", "run_no", "source", F.col("cells.t").alias("t"), F.col("cells.y").alias("y"))
+    flat = table.select("batch_key", "medium", "run_no", "source", "t", "y")
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -247,33 +294,43 @@ def _between(t: np.ndarray, v: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
+def moved_of(source: str, old: Course, new: Course) -> float:
+    """Largest change of the course of one source: of its scatter relative to itself, of means to the scatter, of covariances to their largest entry."""
+    (a, before), (b, sigma) = old.of(source), new.of(source)
+    c, d = a[:, :-1] @ a[:, :-1].T, b[:, :-1] @ b[:, :-1].T
+    scatter = abs(sigma / before - 1) if source in new.scatter else 0.0
+    return float(max(scatter, np.abs(b[:, -1] - a[:, -1]).max() / sigma, np.abs(d - c).max() / max(np.abs(d).max(), 1e-12)))
+
+
 def moved(old: Course, new: Course) -> float:
-    """Largest change of a course: of scatters relative to themselves, of means to the scatter, of covariances to their largest entry."""
-    parts = [abs(x / old.of(k)[1] - 1) for k, x in new.scatter.items()]
-    for k in ("", *new.own):
-        (a, _), (b, sigma) = old.of(k), new.of(k)
-        c, d = a[:, :-1] @ a[:, :-1].T, b[:, :-1] @ b[:, :-1].T
-        parts += [np.abs(b[:, -1] - a[:, -1]).max() / sigma, np.abs(d - c).max() / max(np.abs(d).max(), 1e-12)]
-    return float(max(parts))
+    """Largest change of a course, see :func:`moved_of`."""
+    return max([abs(x / old.of(k)[1] - 1) for k, x in new.scatter.items()] + [moved_of(k, old, new) for k in ("", *new.own)])
 
 
 def fit_course(table: DataFrame, start: Course, between: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Course:
     """Components and scatters of the rows in the blocks of ``table`` (source, rows, cells).
 
     First the components of all sources together are fitted until they settle,
-    then, from there, those of each source. ``between`` mends the components of
+    then, from there, those of each source; a source that has settled in two
+    passes on end is left out of those that follow. ``between`` mends the components of
     columns with too few readings.
     """
     width, r = start.basis.shape[0], start.basis.shape[1] - 1
     size = (r + 1) ** 2
     names = [f"s{k}" for k in range(size + r + 2)]
     course, together = start, True
+    total: dict[str, np.ndarray] = {}
+    settled: dict[str, int] = {}  # passes on end in which the sources changed little
     for n_pass in range(MOST_PASSES):
 
-        def sums(frames: Iterator[pd.DataFrame], course: Course = course, limit: float = 5.0 if n_pass else 6.0) -> Iterator[pd.DataFrame]:
+        done = {k for k, n in settled.items() if n >= 2}
+
+        def sums(frames: Iterator[pd.DataFrame], course: Course = course, done: set[str] = done, limit: float = 5.0 if n_pass else 6.0) -> Iterator[pd.DataFrame]:
             total: dict[str, np.ndarray] = {}
             for pdf in frames:
                 for source, rows, block in zip(pdf["source"], pdf["rows"], pdf["cells"], strict=True):
+                    if source in done:
+                        continue
                     y, seen = _cells_of(block, rows)
                     seen, (z, cov, d, left) = settle(y, seen, *course.of(source), limit)
                     za = np.concatenate([z, np.ones((len(z), 1))], 1)
@@ -287,7 +344,7 @@ def fit_course(table: DataFrame, start: Course, between: Callable[[np.ndarray],
 
         got = table.mapInPandas(sums, "source string, i int, " + ", ".join(f"{c} double" for c in names))
         added = got.groupBy("source", "i").agg(*[F.sum(c).alias(c) for c in names])
-        total = {}
+        total = {k: v for k, v in total.items() if k in done}
         for row in added.collect():  # sources by columns, a few numbers each
             total.setdefault(row["source"], np.zeros((width, len(names))))[row["i"]] = row[2:]
         scatter = {k: max(float(np.sqrt(v[:, -1].sum() / v[:, size - 1].sum())), 1e-6) for k, v in total.items() if k and v[:, size - 1].sum() >= 20}
@@ -308,10 +365,13 @@ def fit_course(table: DataFrame, start: Course, between: Callable[[np.ndarray],
         own = {}
         prior = SHRINK * each
         for k, v in total.items():
-            if k:
+            if k in done:
+                own[k], scatter[k] = course.of(k)
+            elif k:
                 told = v[:, size:-1] + np.einsum("tij,tj->ti", prior, course.basis)
                 own[k] = np.linalg.solve(v[:, :size].reshape(width, r + 1, r + 1) + prior + 1e-9 * np.eye(r + 1), told[:, :, None])[:, :, 0]
         course = Course(course.basis, pooled, own, scatter)
+        settled |= {k: settled.get(k, 0) + 1 if moved_of(k, before, course) < OWN_TOLERANCE else 0 for k in own if k not in done}
         if moved(before, course) < OWN_TOLERANCE:
             break
     return course
@@ -348,12 +408,10 @@ def start_of_curves(table: DataFrame, times: list[int]) -> tuple[Course, Callabl
 
 def reading_flags(dissolution: DataFrame) -> DataFrame:
     """(batch_key, medium, run_no, time_min, reason) of the implausible readings."""
-    outside = (finite(F.col("percent_released")) < LOWEST) | (finite(F.col("percent_released")) > HIGHEST)
-    rows = dissolution.where(outside).select(squeezed(F.col("batch")).alias("batch_key"), canonical_medium(F.col("medium")).alias("medium"), "run_no", minute(F.col("time_h")).alias("time_min"))
-    out = rows.where("batch_key is not null and time_min is not null").distinct().withColumn("reason", F.lit("range"))
     times = time_points(dissolution)
+    schema = f"batch_key string, medium string, run_no {dict(dissolution.dtypes)['run_no']}, time_min int, reason string"
     if not times:
-        return out
+        return dissolution.sparkSession.createDataFrame([], schema)
     # Rows of one source together, so that each batch of rows holds few sources.
     table = durable(packed(curves(dissolution), times).sortWithinPartitions("source"))
     cells = durable(course_cells(table))
@@ -375,16 +433,14 @@ def reading_flags(dissolution: DataFrame) -> DataFrame:
                 expected = basis[:, -1] + z @ basis[:, :-1].T
                 far = (np.nan_to_num(np.abs(low[rows] - expected)) > TIMES_SCATTER * sigma) | (np.nan_to_num(np.abs(high[rows] - expected)) > TIMES_SCATTER * sigma)
                 spike[rows] = (kept.sum(1) >= 3)[:, None] & ~kept & ~np.isnan(low[rows]) & ~held[rows] & far
-            for name, mask in (("stuck", held), ("spike", spike)):
+            for name, mask in (("range", (low < LOWEST) | (high > HIGHEST)), ("stuck", held), ("spike", spike)):
                 row, col = np.nonzero(mask)
                 if len(row):
                     part = pdf[["batch_key", "medium", "run_no"]].iloc[row].copy()
                     part["time_min"], part["reason"] = at[col], name
                     yield part
 
-    fields = dict(table.dtypes)
-    schema = f"batch_key string, medium string, run_no {fields['run_no']}, time_min int, reason string"
-    return out.unionByName(table.select("batch_key", "medium", "run_no", "source", "low", "high").mapInPandas(flag, schema))
+    return table.select("batch_key", "medium", "run_no", "source", "low", "high").mapInPandas(flag, schema)
 
 
 def _labelled_batches(wide: DataFrame, metadata: DataFrame, rules: Rules, columns: list[str]) -> DataFrame:

@@ -62,6 +62,31 @@ def test_fit_settles(spark, monkeypatch):
     assert moved(course, course) == 0
 
 
+def test_settled_sources_are_left_alone(spark, monkeypatch):
+    """A source that takes long doesn't keep those that have settled in the passes, and changes nothing for them."""
+    rows, _ = made_curves()
+    cells = durable(S.course_cells(S.packed(S.curves(spark.createDataFrame(rows, ROWS)), list(TIMES))))
+    start, between = S.start_of_curves(cells, list(TIMES))
+    courses = []
+    monkeypatch.setattr(S, "moved_of", lambda k, a, b: float(k == "D3"))
+    monkeypatch.setattr(S, "moved", lambda a, b: courses.append(b) or float(len([c for c in courses if c.own]) % 6 > 0 and bool(b.own)))
+    S.fit_course(cells, start, between)
+    own = [c.own for c in courses if c.own]
+    still = {k: [np.array_equal(a[k], b[k]) for a, b in zip(own, own[1:], strict=False)] for k in own[0]}
+    assert len(own) == 6 and not any(still["D3"])
+    assert all(still[k] == [False, True, True, True, True] for k in ("D0", "D1", "D2"))
+    assert all(c.scatter["D0"] == courses[-1].scatter["D0"] for c in courses[-4:])
+
+
+def test_readings_of_a_curve_apart_and_spelt_otherwise(spark):
+    """Lists of a curve made in different tasks and under different spellings are one curve, of which no reading counts twice."""
+    rows = [(b, m, n, t / 60, float(t + shift), d) for b, m, d, shift in (("B1", "0.1N HCl", "x", 0), (" b1", "0.1n hcl", "y", 1), ("B1", "0.1N HCl", None, 0)) for n in (1, None) for t in TIMES]
+    frame = spark.createDataFrame(rows, ROWS)
+    got = {r.run_no: r for r in S.curves(frame.repartition(7)).collect()}
+    assert got.keys() == {1, None}
+    assert all(r.batch_key == "B1" and r.source == "y" and sorted(map(tuple, r.cells)) == sorted((t, float(t + k)) for t in TIMES for k in (0, 1)) for r in got.values())
+
+
 def test_components_are_each_source_s_own(spark):
     """With many readings a source's components follow its own curves, with few they stay with those of all."""
     rows, _ = made_curves(900)
