@@ -32,19 +32,20 @@ for runs; NULL batches are left out; empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from batchloom.functions.domain import canonical_medium, finite, minute, squeezed
+from batchloom.functions.domain import canonical_medium, squeezed
 from batchloom.operators.fill import Rules, by_formulation, find_rules, first_labels, measured_columns, middles_of
 from batchloom.operators.reshape import time_points
-from batchloom.session import durable
+from batchloom.session import durable, setting
 
 LOWEST, HIGHEST = -1.0, 130.0  # bounds of a reading in percent
 RANK, CELL_RANK = 4, 3  # components of curves and of batches
@@ -54,6 +55,7 @@ STANDS_OUT = 5.0  # scatters off its row's course from which a cell of the batch
 TOLERANCE, OWN_TOLERANCE = 0.01, 0.05  # change from one pass to the next, see moved(), below which the fit of all sources, and of each, has settled
 TIMES_SCATTER = 8.0
 FEW = 20  # readings of a time point below which its course is read off the neighbouring ones
+TASK_MB = 16  # of blocks that a task of a pass reads
 RUN = 4  # successive equal values that count as stuck
 BIN, EMPTY, SPAN = 0.04, -40_000, 80_000  # width of a bin of logarithms, the bin of zeros, and how many there may be
 HOT = 20_000  # batches of a formulation whose middle one task finds; that of more is found by counting, with the same result
@@ -79,24 +81,44 @@ def by_source(pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
     yield from pdf.reset_index(drop=True).groupby("source").indices.items()
 
 
-def curves(dissolution: DataFrame) -> DataFrame:
-    """One row per curve: batch_key, medium, run_no, source and its cells (t, y), each different reading of a cell once; also as the lists ``t`` and ``y``."""
-    rows = dissolution.select("batch", "medium", "run_no", "instrument", minute(F.col("time_h")).alias("t"), (finite(F.col("percent_released")) + F.lit(0.0)).alias("y"))
+CURVE = ["batch_key", "medium", "run_no"]
+
+
+def lists(dissolution: DataFrame) -> DataFrame:
+    """batch_key, medium, run_no, source and the lists ``t`` and ``y`` of some readings of a curve, in order; the lists of one curve follow one another in one task."""
+    rows = dissolution.select("batch", "medium", "run_no", "instrument", F.col("time_h").cast("double").alias("t"), F.col("percent_released").cast("double").alias("y"))
     kind = dict(rows.dtypes)["run_no"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ["batch", "medium", "run_no", "instrument"]
         for batch in batches:
-            if batch.num_rows:
-                once = pa.Table.from_batches([batch]).group_by([*own, "t", "y"], use_threads=False).aggregate([])
+            t, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("t", "y"))
+            good = np.isfinite(t) & np.isfinite(y) & np.asarray(batch.column("batch").is_valid())
+            if good.any():
+                part = pa.Table.from_batches([batch]).select(own).filter(pa.array(good))
+                part = part.append_column("t", pa.array(whole_minutes(t[good]))).append_column("y", pa.array(y[good] + 0.0))
+                once = part.group_by([*own, "t", "y"], use_threads=False).aggregate([])
                 # In order, so that rows sent again make an equal list.
-                lists = once.sort_by([("t", "ascending"), ("y", "ascending")]).group_by(own, use_threads=False).aggregate([("t", "list"), ("y", "list")])
-                yield from lists.select([*own, "t_list", "y_list"]).rename_columns([*own, "t", "y"]).to_batches()
+                made = once.sort_by([("t", "ascending"), ("y", "ascending")]).group_by(own, use_threads=False).aggregate([("t", "list"), ("y", "list")])
+                yield from made.select([*own, "t_list", "y_list"]).rename_columns([*own, "t", "y"]).to_batches()
 
     # Readings of a curve mostly follow one another: a task makes lists of them, and few are left to be put together.
-    rows = rows.where("batch is not null and y is not null and t is not null").mapInArrow(gather, f"batch string, medium string, run_no {kind}, instrument string, t array<int>, y array<double>")
-    keys = ["batch_key", "medium", "run_no"]
+    rows = rows.mapInArrow(gather, f"batch string, medium string, run_no {kind}, instrument string, t array<int>, y array<double>")
     rows = rows.select(squeezed(F.col("batch")).alias("batch_key"), canonical_medium(F.col("medium")).alias("medium"), "run_no", F.coalesce("instrument", F.lit("")).alias("source"), "t", "y")
+    return rows.repartition(*CURVE).sortWithinPartitions(*CURVE)
+
+
+def whole_minutes(hours: np.ndarray) -> np.ndarray:
+    """What ``minute`` gives for finite hours: halves go away from zero."""
+    x = hours * 60
+    size = np.abs(x)
+    down = np.floor(size)
+    return np.copysign(down + (size - down >= 0.5), x).astype(np.int32)
+
+
+def curves(dissolution: DataFrame) -> DataFrame:
+    """One row per curve: batch_key, medium, run_no, source and its cells (t, y), each different reading of a cell once; also as the lists ``t`` and ``y``."""
+    kind = dict(dissolution.dtypes)["run_no"]
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # the curve that the next rows may go on with
@@ -106,7 +128,7 @@ def curves(dissolution: DataFrame) -> DataFrame:
             if not len(pdf):
                 continue
             same = np.ones(len(pdf) - 1, dtype=bool)
-            for c in keys:
+            for c in CURVE:
                 code = pd.factorize(pdf[c])[0]  # -1 for NULL
                 same &= code[1:] == code[:-1]
             first = np.flatnonzero(np.r_[True, ~same])
@@ -135,40 +157,74 @@ def curves(dissolution: DataFrame) -> DataFrame:
             yield rest
 
     # However many lists a curve has, they pass one after another.
-    lists = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return lists.mapInPandas(merge, f"batch_key string, medium string, run_no {kind}, source string, t array<int>, y array<double>").withColumn("cells", F.arrays_zip("t", "y"))
+    return lists(dissolution).mapInPandas(merge, f"batch_key string, medium string, run_no {kind}, source string, t array<int>, y array<double>").withColumn("cells", F.arrays_zip("t", "y"))
+
+
+def same_as_before(batch: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Whether each row but the first has the keys of the row before it, NULLs being alike."""
+    same = np.ones(batch.num_rows - 1, dtype=bool)
+    for c in keys:
+        column = batch.column(c)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        code = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        same &= code[1:] == code[:-1]
+    return same
+
+
+def as_binary(x: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    """The bytes of each row of ``x``, NULL where it is not ``there``."""
+    there = np.ones(len(x), dtype=bool) if there is None else there
+    ends = np.r_[0, np.cumsum(np.where(there, x.shape[1] * x.itemsize, 0))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [pa.py_buffer(np.packbits(there, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(x[there].tobytes())])
 
 
 def packed(table: DataFrame, times: list[int]) -> DataFrame:
     """Curves on the grid ``times``: ``low`` and ``high`` are the bytes of one double per time point, NaN where there is no reading.
 
-    ``high`` is NULL where no cell has different readings.
+    ``table`` are :func:`lists`, or curves put together. ``high`` is NULL where
+    no cell has different readings.
     """
     kind = dict(table.dtypes)["run_no"]
     grid = np.asarray(times)
-    flat = table.select("batch_key", "medium", "run_no", "source", "t", "y")
+    width = len(grid)
+    flat = table.select(*CURVE, "source", "t", "y")
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if not len(pdf):
+    def rows_of(head: pa.Table, source: pa.Array, low: np.ndarray, high: np.ndarray) -> list[pa.RecordBatch]:
+        low, high = (np.where(np.isinf(x), np.nan, x) for x in (low, high))
+        differ = ((low != high) & ~np.isnan(low)).any(1)
+        return pa.Table.from_arrays([*[head.column(c) for c in CURVE], source, as_binary(low), as_binary(high, differ)], [*CURVE, "source", "low", "high"]).to_batches()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the curve that the next rows may go on with
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            sizes = pdf["t"].map(len).to_numpy()
-            t, y = np.concatenate(pdf["t"].to_numpy()), np.concatenate(pdf["y"].to_numpy())
-            at = np.minimum(np.searchsorted(grid, t), len(grid) - 1)
-            row = np.repeat(np.arange(len(pdf)), sizes)
+            new = np.r_[True, ~same_as_before(batch, CURVE)]
+            first = np.flatnonzero(new)
+            cell = np.repeat(np.cumsum(new) - 1, batch.column("t").value_lengths().to_numpy(zero_copy_only=False))
+            t, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("t", "y"))
+            at = np.minimum(np.searchsorted(grid, t), width - 1)
             on = grid[at] == t
-            low, high = np.full((len(pdf), len(grid)), np.inf), np.full((len(pdf), len(grid)), -np.inf)
-            np.minimum.at(low, (row[on], at[on]), y[on])
-            np.maximum.at(high, (row[on], at[on]), y[on])
-            low[np.isinf(low)] = np.nan
-            high[np.isinf(high)] = np.nan
-            differ = ((low != high) & ~np.isnan(low)).any(1)
-            out = pdf[["batch_key", "medium", "run_no", "source"]].copy()
-            out["low"] = [x.tobytes() for x in low]
-            out["high"] = [x.tobytes() if d else None for x, d in zip(high, differ, strict=True)]
-            yield out
+            cell = (cell * width + at)[on]
+            low, high = np.full(len(first) * width, np.inf), np.full(len(first) * width, -np.inf)
+            np.minimum.at(low, cell, y[on])
+            np.maximum.at(high, cell, y[on])
+            low, high = low.reshape(-1, width), high.reshape(-1, width)
+            names = np.asarray(batch.column("source").to_pylist(), dtype=object)
+            names = [max(names[k:n]) for k, n in zip(first, [*first[1:], len(names)], strict=True)]
+            head = pa.Table.from_batches([batch]).select(CURVE).take(pa.array(first))
+            if rest is not None:
+                if rest[0].to_pylist() == head.slice(0, 1).to_pylist():
+                    names[0] = max(names[0], rest[1])
+                    low[0], high[0] = np.minimum(low[0], rest[2]), np.maximum(high[0], rest[3])
+                else:
+                    yield from rows_of(rest[0], pa.array([rest[1]], pa.string()), rest[2][None], rest[3][None])
+            rest = (head.slice(len(first) - 1), names[-1], low[-1], high[-1])
+            yield from rows_of(head.slice(0, len(first) - 1), pa.array(names[:-1], pa.string()), low[:-1], high[:-1])
+        if rest is not None:
+            yield from rows_of(rest[0], pa.array([rest[1]], pa.string()), rest[2][None], rest[3][None])
 
-    return flat.mapInPandas(pack, f"batch_key string, medium string, run_no {kind}, source string, low binary, high binary")
+    return flat.mapInArrow(pack, f"batch_key string, medium string, run_no {kind}, source string, low binary, high binary")
 
 
 def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -307,6 +363,13 @@ def moved(old: Course, new: Course) -> float:
     return max([abs(x / old.of(k)[1] - 1) for k, x in new.scatter.items()] + [moved_of(k, old, new) for k in ("", *new.own)])
 
 
+@contextmanager
+def few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Tables read inside are divided into tasks of ``TASK_MB``, however few: a pass is short, and a task costs as much as some thousand rows."""
+    with setting(spark, "spark.sql.files.minPartitionNum", "1"), setting(spark, "spark.sql.files.maxPartitionBytes", f"{TASK_MB}m"), setting(spark, "spark.sql.files.openCostInBytes", "64k"):
+        yield
+
+
 def fit_course(table: DataFrame, start: Course, between: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Course:
     """Components and scatters of the rows in the blocks of ``table`` (source, rows, cells).
 
@@ -345,7 +408,9 @@ def fit_course(table: DataFrame, start: Course, between: Callable[[np.ndarray],
         got = table.mapInPandas(sums, "source string, i int, " + ", ".join(f"{c} double" for c in names))
         added = got.groupBy("source", "i").agg(*[F.sum(c).alias(c) for c in names])
         total = {k: v for k, v in total.items() if k in done}
-        for row in added.collect():  # sources by columns, a few numbers each
+        with few_tasks(table.sparkSession):
+            rows = added.collect()
+        for row in rows:  # sources by columns, a few numbers each
             total.setdefault(row["source"], np.zeros((width, len(names))))[row["i"]] = row[2:]
         scatter = {k: max(float(np.sqrt(v[:, -1].sum() / v[:, size - 1].sum())), 1e-6) for k, v in total.items() if k and v[:, size - 1].sum() >= 20}
         pooled = float(np.median(list(scatter.values()))) if scatter else course.pooled
@@ -413,7 +478,7 @@ def reading_flags(dissolution: DataFrame) -> DataFrame:
     if not times:
         return dissolution.sparkSession.createDataFrame([], schema)
     # Rows of one source together, so that each batch of rows holds few sources.
-    table = durable(packed(curves(dissolution), times).sortWithinPartitions("source"))
+    table = durable(packed(lists(dissolution), times).sortWithinPartitions("source"))
     cells = durable(course_cells(table))
     start, between = start_of_curves(cells, times)
     course = fit_course(cells, start, between)
@@ -443,15 +508,72 @@ def reading_flags(dissolution: DataFrame) -> DataFrame:
     return table.select("batch_key", "medium", "run_no", "source", "low", "high").mapInPandas(flag, schema)
 
 
+def usable_values(x: np.ndarray, rules: Rules, columns: list[str]) -> np.ndarray:
+    """``x`` with what ``rules.usable`` does not take for a value as NaN."""
+    low, high = _limits([rules.bounds.get(c, (None, None)) for c in columns])
+    bad = ~np.isfinite(x) | (((x < low) | (x > high)) & np.isin(x, rules.codes))
+    for f, c in enumerate(columns):
+        if rules.fills.get(c):
+            bad[:, f] |= np.isin(x[:, f], rules.fills[c])
+    return np.where(bad, np.nan, x)
+
+
 def _labelled_batches(wide: DataFrame, metadata: DataFrame, rules: Rules, columns: list[str]) -> DataFrame:
     """One row per batch: formulation, train, date, the array ``v`` of its smallest values, and ``high`` of its largest where they differ from these."""
-    names = [f"c{i}" for i in range(len(columns))]
-    values = wide.where("batch is not null").select("batch", *[rules.usable(c).alias(n) for c, n in zip(columns, names, strict=True)])
-    values = values.groupBy("batch").agg(*[F.min(n).alias(n) for n in names], *[F.max(n).alias("_" + n) for n in names])
-    low, high = F.array(*[F.col(n) for n in names]), F.array(*[F.col("_" + n) for n in names])
-    values = values.select("batch", low.alias("v"), F.when(~low.eqNullSafe(high), high).alias("high"))
-    labels = first_labels(metadata, ("equipment_train",)).select("batch", "formulation", "equipment_train", "manufacturing_date")
-    return values.join(labels, "batch", "left")
+    width = len(columns)
+    facts = ["formulation", "equipment_train", "manufacturing_date"]
+    labels = first_labels(metadata, ("equipment_train",)).select("batch", F.lit(None).cast("binary").alias("v"), *facts)
+    kinds = [dict(labels.dtypes)[c] for c in facts]
+    names = [f"c{i}" for i in range(width)]
+
+    def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], 1) if width else np.zeros((batch.num_rows, 0))
+                yield pa.RecordBatch.from_arrays([batch.column("batch"), as_binary(usable_values(x, rules, columns))], ["batch", "v"])
+
+    values = wide.where("batch is not null").select("batch", *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
+    values = values.mapInArrow(usable, "batch string, v binary").select("batch", "v", *[F.lit(None).cast(k).alias(c) for c, k in zip(facts, kinds, strict=True)])
+
+    def rows_of(head: pa.Table, low: np.ndarray, high: np.ndarray, there: np.ndarray) -> list[pa.RecordBatch]:
+        differ = ((low != high) & ~np.isnan(low)).any(1)
+        ends = pa.array(np.arange(len(low) + 1, dtype=np.int32) * width)
+        tops = pa.array(np.r_[0, np.cumsum(differ * width)].astype(np.int32), mask=np.r_[~differ, False])
+        v, top = (pa.ListArray.from_arrays(e, pa.array(x.ravel(), from_pandas=True)) for e, x in ((ends, low), (tops, high[differ])))
+        out = pa.Table.from_arrays([head.column("batch"), v, top, *[head.column(c) for c in facts]], ["batch", "v", "high", *facts])
+        return out.filter(pa.array(there)).to_batches()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # the batch that the next rows may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]).combine_chunks()
+            new = np.r_[True, ~same_as_before(rows, ["batch"])]
+            first = np.flatnonzero(new)
+            read = np.asarray(rows.column("v").is_valid())
+            low = np.full((len(rows), width), np.nan)
+            low[read] = np.frombuffer(b"".join(rows.column("v").drop_null().to_pylist()), dtype=float).reshape(-1, width)
+            low, high = np.fmin.reduceat(low, first), np.fmax.reduceat(low, first)
+            there = np.logical_or.reduceat(read, first)
+            told = np.maximum.reduceat(np.where(read, -1, np.arange(len(rows))), first)  # the row with the labels
+            told = pa.array(told, mask=told < 0)
+            head = pa.Table.from_arrays([rows.column("batch").take(pa.array(first)), *[rows.column(c).take(told) for c in facts]], ["batch", *facts])
+            if rest is not None:
+                if rest[0]["batch"][0].as_py() == head["batch"][0].as_py():
+                    low[0], high[0], there[0] = np.fmin(low[0], rest[1]), np.fmax(high[0], rest[2]), there[0] | rest[3]
+                    if not told[0].is_valid:
+                        head = pa.concat_tables([rest[0], head.slice(1)])
+                else:
+                    yield from rows_of(rest[0], rest[1][None], rest[2][None], np.array([rest[3]]))
+            rest = (head.slice(len(first) - 1), low[-1], high[-1], there[-1])
+            yield from rows_of(head.slice(0, len(first) - 1), low[:-1], high[:-1], there[:-1])
+        if rest is not None:
+            yield from rows_of(rest[0], rest[1][None], rest[2][None], np.array([rest[3]]))
+
+    # However often a batch was sent, its rows pass one after another, its labels among them.
+    rows = values.unionByName(labels).repartition("batch").sortWithinPartitions("batch")
+    return rows.mapInArrow(merge, "batch string, v array<double>, high array<double>, " + ", ".join(f"{c} {k}" for c, k in zip(facts, kinds, strict=True)))
 
 
 def column_facts(batches: DataFrame, bounds: list[tuple[float | None, float | None]]) -> tuple[list[float], list[bool]]:
@@ -548,16 +670,39 @@ def usual_scatter(table: DataFrame, width: int) -> DataFrame:
             x = off[row, col]
             at = np.where(x > 0, np.floor(np.log(np.maximum(x, 1e-300)) / BIN), EMPTY).astype(np.int64)
             keys, n = np.unique((train[row] * width + col) * SPAN + at - EMPTY, return_counts=True)
-            column, at = np.divmod(keys, SPAN)
-            yield pd.DataFrame({"equipment_train": np.asarray(names, dtype=object)[column // width], "f": (column % width).astype(np.int32), "bin": (at + EMPTY).astype(np.int32), "n": n})
-
-    counts = table.select("equipment_train", "off").mapInPandas(bins, "equipment_train string, f int, bin int, n long").groupBy("equipment_train", "f", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("equipment_train", "f")
-    placed = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
-    middle = placed.where(F.col("upto") * 2 >= F.col("all")).groupBy("equipment_train", "f").agg(F.min("bin").alias("bin"))
-    usual = F.when(F.col("bin") > EMPTY, F.exp((F.col("bin") + 0.5) * BIN) * 1.4826)
-    per = middle.groupBy("equipment_train").agg(F.map_from_entries(F.collect_list(F.struct("f", usual.alias("u")))).alias("m"))
-    return per.select("equipment_train", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.element_at("m", i)).alias("usual"))
+            own, keys = np.divmod(keys, SPAN * width)
+            have, first = np.unique(own, return_index=True)
+            yield pd.DataFrame({"equipment_train": np.asarray(names, dtype=object)[have], **{c: [x.astype(np.int64).tobytes() for x in np.split(v, first[1:])][: len(have)] for c, v in (("keys", keys), ("n", n))}})
+
+    def middle(keys: np.ndarray, n: np.ndarray) -> list[float | None]:
+        f, at = np.divmod(keys, SPAN)  # in order
+        upto = np.cumsum(n)
+        out: list[float | None] = [None] * width
+        for k in np.unique(f):
+            a, b = np.searchsorted(f, [k, k + 1])
+            before = upto[a] - n[a]
+            bin_of = at[a + np.flatnonzero((upto[a:b] - before) * 2 >= upto[b - 1] - before)[0]] + EMPTY
+            out[k] = float(np.exp((bin_of + 0.5) * BIN) * 1.4826) if bin_of > EMPTY else None
+        return out
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        train, keys, n = None, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for pdf in frames:
+            done = []
+            for name, more, times in zip(pdf["equipment_train"], pdf["keys"], pdf["n"], strict=True):
+                if name != train:
+                    if train is not None:
+                        done.append((train, middle(keys, n)))
+                    train, keys, n = name, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+                keys, place = np.unique(np.r_[keys, np.frombuffer(more, dtype=np.int64)], return_inverse=True)
+                n = np.bincount(place, np.r_[n, np.frombuffer(times, dtype=np.int64)], len(keys)).astype(np.int64)
+            yield pd.DataFrame(done, columns=["equipment_train", "usual"])
+        if train is not None:
+            yield pd.DataFrame([(train, middle(keys, n))], columns=["equipment_train", "usual"])
+
+    # The counts of one train pass one after another.
+    counts = table.select("equipment_train", "off").mapInPandas(bins, "equipment_train string, keys binary, n binary")
+    return counts.repartition("equipment_train").sortWithinPartitions("equipment_train").mapInPandas(merge, "equipment_train string, usual array<double>")
 
 
 def _runs(v: np.ndarray) -> np.ndarray:

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 import numpy as np
 from oracle import SMALL
 from pyspark.sql import functions as F
 
+from batchloom.functions.domain import minute
 from batchloom.operators import spikes as S
-from batchloom.operators.fill import find_rules, group_middles, measured_columns
+from batchloom.operators.fill import Rules, find_rules, group_middles, measured_columns
 from batchloom.plans.problems import DERIVED
-from batchloom.session import durable, table
+from batchloom.session import durable, setting, table
 
 TIMES = (15, 30, 60, 120, 240, 360, 480, 720)
 ROWS = "batch string, medium string, run_no int, time_h double, percent_released double, instrument string"
@@ -164,3 +167,78 @@ def test_cells_of_empty_tables(spark):
     assert S.cell_flags(wide.limit(0), meta.limit(0), families, record).count() == 0
     alone = S.cell_flags(wide.withColumn("f", F.lit(1)).withColumn("place", F.lit("x")), meta.limit(0), families, record)
     assert {r.reason for r in alone.collect()} <= {"range"}
+
+
+def test_a_pass_reads_small_blocks_in_one_task(spark):
+    rows, _ = made_curves()
+    cells = durable(S.course_cells(S.packed(S.curves(spark.createDataFrame(rows, ROWS)), list(TIMES))).repartition(7))
+    start, between = S.start_of_curves(cells, list(TIMES))
+    spark.sparkContext.setJobGroup("passes", "")
+    try:
+        S.fit_course(cells, start, between)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("passes") for s in tracker.getJobInfo(j).stageIds]
+    assert len(stages) > S.PASSES and max(s.numTasks for s in stages if s.numCompletedTasks) == 1
+
+
+def test_lists_in_small_batches_are_the_curves(spark):
+    rows = [(b, m, n, t / 60, float(t + shift), d) for b, m, d, shift in (("B1", "0.1N HCl", "x", 0), (" b1", "0.1n hcl", "y", 1), ("B1", "0.1N HCl", None, 0), ("B2", None, None, 2)) for n in (1, None) for t in TIMES]
+    rows += [("B2", None, 1, x, y, "z") for x, y in ((None, 1.0), (1.0, None), (float("nan"), 1.0), (2.0, float("inf")), (0.508333, -0.0))]
+    frame = spark.createDataFrame(rows, ROWS).repartition(5)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2"):
+        got, whole = ([tuple(r) for r in S.packed(f(frame), [*TIMES[:1], 30, 31, *TIMES[2:]]).collect()] for f in (S.lists, S.curves))
+    assert len(got) == 4 and sorted(map(repr, got)) == sorted(map(repr, whole))
+    x = {r[:3]: (r[3], *(None if v is None else np.frombuffer(v).tolist() for v in r[4:])) for r in got}
+    assert x["B1", "0.1N HCl", 1][0] == "y" and x["B1", "0.1N HCl", None][2][0] == 16.0
+    assert x["B2", None, 1][0] == "z" and x["B2", None, None][2] is None
+    assert str(x["B2", None, 1][1][:3]) == "[17.0, 0.0, nan]" and x["B2", None, 1][2][:2] == [17.0, 32.0]
+
+
+def test_whole_minutes_are_those_of_the_expression(spark):
+    hours = [0.0, -0.0, 0.49999999999999994 / 60, 0.5 / 60, 1.5 / 60, -0.5 / 60, -2.5 / 60, 0.008333333333333333, 0.175, 2.675, 1e6 / 7]
+    hours += (np.random.default_rng(1).integers(0, 200_000, 500) / 120).tolist()
+    want = [r.m for r in spark.createDataFrame([(h,) for h in hours], "h double").select(minute(F.col("h")).alias("m")).collect()]
+    assert S.whole_minutes(np.array(hours)).tolist() == want
+
+
+def test_batches_in_small_arrow_batches(spark):
+    """Rows of a batch that come apart give its smallest and largest usable values and its labels, once."""
+    day = datetime(2020, 1, 2)
+    wide = spark.createDataFrame([("A", 1.0, 5.0), ("A", 3.0, None), ("A", 2.0, 5.0), ("B", float("nan"), 999.0), ("C", 7.0, -9.0), ("C", 7.0, -9.0), (None, 1.0, 1.0), ("D", 4.0, 8.0)], "batch string, x double, y double").repartition(4)
+    meta = spark.createDataFrame([("A", "F-1", "T1", day), ("C", None, "T2", None), ("E", "F-2", "T1", day)], "batch string, formulation string, equipment_train string, manufacturing_date timestamp_ntz")
+    rules = Rules({"x": (0.0, 10.0), "y": (0.0, 10.0)}, [999.0], {"x": [4.0]})
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):
+        got = {r.batch: (r.v, r.high, r.formulation, r.equipment_train, r.manufacturing_date) for r in S._labelled_batches(wide, meta, rules, ["x", "y"]).collect()}
+    assert got == {
+        "A": ([1.0, 5.0], [3.0, 5.0], 1, "T1", day),
+        "B": ([None, None], None, None, None, None),
+        "C": ([7.0, -9.0], None, None, "T2", None),
+        "D": ([None, 8.0], None, None, None, None),
+    }
+    usable = wide.where("batch is not null").select(rules.usable("x"), rules.usable("y")).collect()
+    values = np.array([list(r) for r in wide.where("batch is not null").select("x", "y").collect()], dtype=float)
+    assert repr(S.usable_values(values, rules, ["x", "y"]).tolist()) == repr([[float("nan") if v is None else v for v in r] for r in usable])
+
+
+def test_usual_scatter_is_the_median_bin(spark):
+    rng = np.random.default_rng(5)
+    off = rng.normal(0, [1.0, 30.0, 0.0], (500, 3)).astype(np.float32)
+    off[rng.random(off.shape) < 0.2] = np.nan
+    off[::4, 1] = np.nan
+    trains = [("T0", "T1", None, "T2")[k % 4] for k in range(500)]
+    off[3::4] = np.nan  # T2 has no distance
+    frame = spark.createDataFrame([(t, bytearray(x.tobytes())) for t, x in zip(trains, off, strict=True)], "equipment_train string, off binary").repartition(5)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "7"):
+        got = {r.equipment_train: r.usual for r in S.usual_scatter(frame, 3).collect()}
+    assert got.keys() == {"T0", "T1"}
+    for k, t in enumerate(("T0", "T1")):
+        for f in (0, 1):
+            x = np.sort(np.abs(off[k::4, f][~np.isnan(off[k::4, f])]).astype(float))
+            if len(x):
+                bin_of = np.floor(np.log(x[(len(x) - 1) // 2]) / S.BIN)
+                assert abs(got[t][f] / (np.exp((bin_of + 0.5) * S.BIN) * 1.4826) - 1) < 1e-12
+            else:
+                assert got[t][f] is None
+        assert got[t][2] is None
